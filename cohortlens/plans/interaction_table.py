@@ -52,13 +52,9 @@ def user_totals(log: DataFrame) -> DataFrame:
 
 
 def engagement_labels(totals: DataFrame) -> DataFrame:
-    """label = total >= exact global median (one broadcast scalar row)."""
-    thr = totals.agg(F.median("n_interactions_total").alias("_thr"))
-    return (
-        totals.crossJoin(F.broadcast(thr))
-        .withColumn("high_engagement", (F.col("n_interactions_total") >= F.col("_thr")).cast("int"))
-        .drop("_thr")
-    )
+    """label = total >= exact global median (a scalar subquery)."""
+    thr = totals.agg(F.median("n_interactions_total")).scalar()
+    return totals.withColumn("high_engagement", (F.col("n_interactions_total") >= thr).cast("int"))
 
 
 def early_features(early: DataFrame) -> DataFrame:

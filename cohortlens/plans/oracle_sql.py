@@ -120,3 +120,166 @@ def q_interaction_table() -> str:
 def q_group_split() -> str:
     sql = f"WITH {STUDENT_CTE}, {student_split_cte()} SELECT id_student, split, final_grade FROM sts"
     return rounded(sql, ["final_grade"])
+
+
+# ------------------------------------------------------------ quality / effects
+STUDENT_NUMERIC = [
+    "acctbal", "dropout", "date_registration", "date_unregistration", "is_unregistered",
+    "total_vle_clicks", "n_vle_records", "n_vle_sites", "n_vle_days", "mean_vle_clicks",
+    "clicks_per_active_day", "n_assessments", "final_grade",
+]
+STUDENT_CATEGORICAL = ["nation", "region"]
+
+
+def _with_split() -> str:
+    return f"WITH {STUDENT_CTE}, {student_split_cte()}"
+
+
+def _unpivot(cols: list[str], where: str, side: int, name: str = "column_name") -> str:
+    sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    on = ", ".join(cols)
+    return (f"SELECT {side} AS side, {name}, value FROM "
+            f"(UNPIVOT (SELECT {sel} FROM sts WHERE {where}) ON {on} INTO NAME {name} VALUE value)")
+
+
+def q_ks_complement(raw: bool = False) -> str:
+    a = _unpivot(STUDENT_NUMERIC, "split = 'train'", 1)
+    b = _unpivot(STUDENT_NUMERIC, "split = 'test'", 0)
+    sql = f"""{_with_split()},
+lng AS ({a} UNION ALL {b}),
+f AS (SELECT column_name, value, sum(side) AS na, sum(1 - side) AS nb FROM lng GROUP BY column_name, value),
+c AS (SELECT column_name,
+             sum(na) OVER (PARTITION BY column_name ORDER BY value) AS ca,
+             sum(nb) OVER (PARTITION BY column_name ORDER BY value) AS cb,
+             sum(na) OVER (PARTITION BY column_name) AS ta,
+             sum(nb) OVER (PARTITION BY column_name) AS tb FROM f)
+SELECT column_name, 'KSComplement' AS metric, 1.0 - max(abs(ca / ta - cb / tb)) AS score FROM c GROUP BY column_name"""
+    return sql if raw else rounded(sql, ["score"])
+
+
+def q_tv_complement(raw: bool = False) -> str:
+    parts = []
+    for c in STUDENT_CATEGORICAL:
+        parts.append(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, CASE WHEN split = 'train' THEN 1 ELSE 0 END AS side FROM sts")
+    sql = f"""{_with_split()},
+lng AS ({' UNION ALL '.join(parts)}),
+f AS (SELECT column_name, value, sum(side) AS na, sum(1 - side) AS nb FROM lng GROUP BY column_name, value),
+t AS (SELECT column_name, sum(na) AS ta, sum(nb) AS tb FROM f GROUP BY column_name)
+SELECT f.column_name, 'TVComplement' AS metric, 1.0 - 0.5 * sum(abs(na / ta - nb / tb)) AS score
+FROM f JOIN t ON f.column_name = t.column_name GROUP BY f.column_name"""
+    return sql if raw else rounded(sql, ["score"])
+
+
+def _pairs(cols):
+    return [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+
+
+def q_correlation_similarity(raw: bool = False) -> str:
+    parts = []
+    for a, b in _pairs(STUDENT_NUMERIC):
+        parts.append(
+            f"SELECT '{a}' AS column_1, '{b}' AS column_2, 'CorrelationSimilarity' AS metric, "
+            f"1.0 - abs((SELECT corr({a}, {b}) FROM sts WHERE split = 'train') - "
+            f"(SELECT corr({a}, {b}) FROM sts WHERE split = 'test')) / 2.0 AS score")
+    sql = f"{_with_split()} {' UNION ALL '.join(parts)}"
+    return sql if raw else rounded(sql, ["score"])
+
+
+def _contingency_pairs():
+    cols = STUDENT_NUMERIC + STUDENT_CATEGORICAL
+    cats = set(STUDENT_CATEGORICAL)
+    return [(a, b) for a, b in _pairs(cols) if a in cats or b in cats]
+
+
+def _bin_sql(c: str) -> str:
+    if c in STUDENT_CATEGORICAL:
+        return f"CAST({c} AS VARCHAR)"
+    lo = f"(SELECT min({c}) FROM sts WHERE split = 'train')"
+    hi = f"(SELECT max({c}) FROM sts WHERE split = 'train')"
+    return (f"CAST(CASE WHEN {c} IS NULL THEN NULL WHEN {hi} = {lo} THEN 0 ELSE "
+            f"least(greatest(floor(({c} - {lo}) / ({hi} - {lo}) * 10), 0), 9) END AS BIGINT)::VARCHAR")
+
+
+def q_contingency_similarity(raw: bool = False) -> str:
+    parts = []
+    for a, b in _contingency_pairs():
+        parts.append(f"SELECT '{a}' AS column_1, '{b}' AS column_2, {_bin_sql(a)} AS x, {_bin_sql(b)} AS y, "
+                     f"CASE WHEN split = 'train' THEN 1 ELSE 0 END AS side FROM sts")
+    sql = f"""{_with_split()},
+lng AS ({' UNION ALL '.join(parts)}),
+f AS (SELECT column_1, column_2, x, y, sum(side) AS na, sum(1 - side) AS nb FROM lng GROUP BY ALL),
+t AS (SELECT column_1, column_2, sum(na) AS ta, sum(nb) AS tb FROM f GROUP BY ALL)
+SELECT f.column_1, f.column_2, 'ContingencySimilarity' AS metric, 1.0 - 0.5 * sum(abs(na / ta - nb / tb)) AS score
+FROM f JOIN t USING (column_1, column_2) GROUP BY f.column_1, f.column_2"""
+    return sql if raw else rounded(sql, ["score"])
+
+
+def q_quality_report() -> str:
+    shapes = f"SELECT avg(score) AS s FROM (({q_ks_complement(True)}) UNION ALL ({q_tv_complement(True)}))"
+    trends = f"SELECT avg(score) AS t FROM (({q_correlation_similarity(True)}) UNION ALL ({q_contingency_similarity(True)}))"
+    sql = (f"SELECT (s + t) / 2.0 AS overall_score, s AS column_shapes, t AS column_pair_trends "
+           f"FROM ({shapes}) AS a, ({trends}) AS b")
+    return rounded(sql, ["overall_score", "column_shapes", "column_pair_trends"])
+
+
+def q_effect_size_summary() -> str:
+    a = _unpivot(STUDENT_NUMERIC, "split = 'train'", 1, "feature")
+    b = _unpivot(STUDENT_NUMERIC, "split = 'test'", 0, "feature")
+    sql = f"""{_with_split()},
+lng AS ({a} UNION ALL {b}),
+m AS (SELECT feature,
+        count(*) FILTER (WHERE side = 1) AS n1, count(*) FILTER (WHERE side = 0) AS n2,
+        avg(value) FILTER (WHERE side = 1) AS m1, avg(value) FILTER (WHERE side = 0) AS m2,
+        var_samp(value) FILTER (WHERE side = 1) AS v1, var_samp(value) FILTER (WHERE side = 0) AS v2
+      FROM lng GROUP BY feature),
+pairs AS (SELECT r.feature, sum(CASE WHEN r.value > s.value THEN 1 ELSE 0 END) AS gt,
+                 sum(CASE WHEN r.value < s.value THEN 1 ELSE 0 END) AS lt
+          FROM (SELECT * FROM lng WHERE side = 1) r JOIN (SELECT * FROM lng WHERE side = 0) s ON r.feature = s.feature
+          GROUP BY r.feature),
+e AS (SELECT m.feature,
+        (m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 0) AS d,
+        (m1 - m2) / nullif(sqrt(v1), 0) AS glass_delta,
+        (n1 + n2 - 2.0) AS dof,
+        (gt - lt) / (CAST(n1 AS DOUBLE) * n2) AS cliff_delta
+      FROM m JOIN pairs p ON m.feature = p.feature)
+SELECT feature, d AS cohens_d,
+  CASE WHEN d IS NULL OR isnan(d) THEN 'undefined' WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small'
+       WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS d_interpretation,
+  d * (1.0 - 3.0 / (4.0 * dof - 1.0)) AS hedges_g, glass_delta, cliff_delta,
+  CASE WHEN cliff_delta IS NULL OR isnan(cliff_delta) THEN 'undefined' WHEN abs(cliff_delta) < 0.147 THEN 'negligible'
+       WHEN abs(cliff_delta) < 0.33 THEN 'small' WHEN abs(cliff_delta) < 0.474 THEN 'medium' ELSE 'large' END AS delta_interpretation
+FROM e"""
+    return rounded(sql, ["cohens_d", "hedges_g", "glass_delta", "cliff_delta"])
+
+
+def q_feature_auc() -> str:
+    """AUC of every numeric feature as a score for the dropout label, by mid-ranks."""
+    feats = [c for c in STUDENT_NUMERIC if c not in ("dropout", "final_grade")]
+    sel = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats)
+    sql = f"""{_with_split()},
+lng AS (SELECT feature, value, dropout FROM (UNPIVOT (SELECT dropout, {sel} FROM st) ON {', '.join(feats)} INTO NAME feature VALUE value)),
+rk AS (SELECT feature, dropout, rank() OVER (PARTITION BY feature ORDER BY value) AS r0,
+              count(*) OVER (PARTITION BY feature, value) AS tie FROM lng),
+u AS (SELECT feature, sum(CASE WHEN dropout = 1 THEN r0 + (tie - 1) / 2.0 ELSE 0 END) AS rsum,
+             sum(CASE WHEN dropout = 1 THEN 1 ELSE 0 END) AS n_pos, sum(CASE WHEN dropout = 1 THEN 0 ELSE 1 END) AS n_neg
+      FROM rk GROUP BY feature)
+SELECT feature, (rsum - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) AS auc,
+       greatest((rsum - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 1.0 - (rsum - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)) AS effective_auc,
+       CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg
+FROM u"""
+    return rounded(sql, ["auc", "effective_auc"])
+
+
+def q_spearman_importance() -> str:
+    """Spearman rho between |corr(feature, final_grade)| on train and on test."""
+    feats = [c for c in STUDENT_NUMERIC if c not in ("dropout", "final_grade")]
+    rows_tr = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, final_grade)) AS imp FROM sts WHERE split = 'train'" for c in feats)
+    rows_te = " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, final_grade)) AS imp FROM sts WHERE split = 'test'" for c in feats)
+    sql = f"""{_with_split()},
+a AS ({rows_tr}), b AS ({rows_te}),
+j AS (SELECT a.feature, a.imp AS ia, b.imp AS ib FROM a JOIN b ON a.feature = b.feature WHERE a.imp IS NOT NULL AND b.imp IS NOT NULL),
+r AS (SELECT feature,
+        rank() OVER (ORDER BY ia) + (count(*) OVER (PARTITION BY ia) - 1) / 2.0 AS ra,
+        rank() OVER (ORDER BY ib) + (count(*) OVER (PARTITION BY ib) - 1) / 2.0 AS rb FROM j)
+SELECT corr(ra, rb) AS spearman_rho, count(*) AS n_features FROM r"""
+    return rounded(sql, ["spearman_rho"])

@@ -10,12 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import round_doubles
 from cohortlens.plans import oracle_sql as S
 from cohortlens.plans.interaction_table import standin_interaction_table
 from cohortlens.plans.student_table import standin_student_table
+from cohortlens.operators import quality as Q
+from cohortlens.operators.dist import auc_mann_whitney
+from cohortlens.operators.effect import effect_size_summary
+from cohortlens.operators.ranks import spearman_rho
 from cohortlens.operators.split import group_split
+from cohortlens.roles import infer_feature_spec
 from cohortlens.session import ensure_checkpoint_dir
 from cohortlens.sources.tables import Tables
 
@@ -58,3 +64,84 @@ def group_split_q(spark, d):
     df, roles = standin_student_table(Tables(spark, d))
     out = group_split(df, roles.group_col, test_size=0.3, seed=0)
     return round_doubles(out.select("id_student", "split", "final_grade"))
+
+
+# ---------------------------------------------------------------- helpers
+def split_students(spark, d, seed: int = 0):
+    """Student table with a ``split`` column (group split, 30 % test)."""
+    df, roles = standin_student_table(Tables(spark, d))
+    return group_split(df, roles.group_col, test_size=0.3, seed=seed), roles
+
+
+def _real_syn(spark, d):
+    """Real/synthetic stand-in pair: train part vs test part of the split."""
+    sts, roles = split_students(spark, d)
+    spec = infer_feature_spec(sts, exclude=list(roles.id_cols) + ["split"])
+    real = sts.where(F.col("split") == "train").drop("split")
+    syn = sts.where(F.col("split") == "test").drop("split")
+    return real, syn, spec, roles
+
+
+# ---------------------------------------------------------------- quality
+@register("ks_complement", S.q_ks_complement())
+def ks_complement_q(spark, d):
+    """E2 per numeric column, train vs test."""
+    real, syn, spec, _ = _real_syn(spark, d)
+    return round_doubles(Q.ks_complement(real, syn, spec.numeric_cols))
+
+
+@register("tv_complement", S.q_tv_complement())
+def tv_complement_q(spark, d):
+    """E3 per categorical column."""
+    real, syn, spec, _ = _real_syn(spark, d)
+    return round_doubles(Q.tv_complement(real, syn, spec.categorical_cols))
+
+
+@register("correlation_similarity", S.q_correlation_similarity())
+def correlation_similarity_q(spark, d):
+    """E4 per numeric pair."""
+    real, syn, spec, _ = _real_syn(spark, d)
+    return round_doubles(Q.correlation_similarity(real, syn, spec.numeric_cols))
+
+
+@register("contingency_similarity", S.q_contingency_similarity())
+def contingency_similarity_q(spark, d):
+    """E5 per pair involving a category (numbers in 10 real-range bins)."""
+    real, syn, spec, _ = _real_syn(spark, d)
+    return round_doubles(Q.contingency_similarity(real, syn, spec))
+
+
+@register("quality_report", S.q_quality_report())
+def quality_report_q(spark, d):
+    """Overall score = mean(column shapes, column pair trends)."""
+    real, syn, spec, _ = _real_syn(spark, d)
+    return round_doubles(Q.quality_report(real, syn, spec))
+
+
+# ---------------------------------------------------------------- effects, ranks
+@register("effect_size_summary", S.q_effect_size_summary())
+def effect_size_summary_q(spark, d):
+    """Cohen's d, Hedges' g, Glass's delta, Cliff's delta per column."""
+    real, syn, spec, _ = _real_syn(spark, d)
+    return round_doubles(effect_size_summary(real, syn, spec.numeric_cols))
+
+
+@register("feature_auc", S.q_feature_auc())
+def feature_auc_q(spark, d):
+    """ROC AUC of each numeric feature as a dropout score (Mann-Whitney)."""
+    st, roles = standin_student_table(Tables(spark, d))
+    feats = [c for c in infer_feature_spec(st, exclude=list(roles.id_cols) + list(roles.target_cols)).numeric_cols]
+    lng = st.select("dropout", *[F.col(c).cast("double").alias(c) for c in feats]).unpivot(["dropout"], feats, "feature", "value")
+    return round_doubles(auc_mann_whitney(lng, "value", "dropout", group_cols=("feature",)))
+
+
+@register("spearman_importance", S.q_spearman_importance())
+def spearman_importance_q(spark, d):
+    """Spearman rho between two importance maps (|corr| with the
+    grade on train and on test)."""
+    sts, roles = split_students(spark, d)
+    feats = [c for c in infer_feature_spec(sts, exclude=list(roles.id_cols) + list(roles.target_cols) + ["split"]).numeric_cols]
+    imp = sts.groupBy("split").agg(*[F.abs(F.corr(c, "final_grade")).alias(c) for c in feats]).unpivot(["split"], feats, "feature", "importance")
+    a = imp.where(F.col("split") == "train").select("feature", F.col("importance").alias("a"))
+    b = imp.where(F.col("split") == "test").select("feature", F.col("importance").alias("b"))
+    return round_doubles(spearman_rho(a, b, "feature", "a", "b").select("spearman_rho", "n_features"))
