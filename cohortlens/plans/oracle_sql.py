@@ -283,3 +283,99 @@ r AS (SELECT feature,
         rank() OVER (ORDER BY ib) + (count(*) OVER (PARTITION BY ib) - 1) / 2.0 AS rb FROM j)
 SELECT corr(ra, rb) AS spearman_rho, count(*) AS n_features FROM r"""
     return rounded(sql, ["spearman_rho"])
+
+
+# ------------------------------------------------------------ losses and tests
+def _losses_cte() -> str:
+    return f"""{_with_split()},
+tr AS (SELECT * FROM sts WHERE split = 'train'),
+te AS (SELECT * FROM sts WHERE split = 'test'),
+gm AS (SELECT avg(final_grade) AS gr, avg(dropout) AS gc FROM tr),
+pg AS (SELECT nation, avg(final_grade) AS pr, avg(dropout) AS pc FROM tr GROUP BY nation),
+tt AS (SELECT te.id_student AS row_id, te.final_grade AS y, CAST(te.dropout AS INTEGER) AS c,
+              gm.gr, coalesce(pg.pr, gm.gr) AS pr, gm.gc, coalesce(pg.pc, gm.gc) AS pc
+       FROM te CROSS JOIN gm LEFT JOIN pg ON te.nation = pg.nation),
+losses AS (
+  SELECT row_id, 'regression' AS task, 'global' AS model, gr AS score, y AS label, abs(y - gr) AS loss FROM tt
+  UNION ALL SELECT row_id, 'regression', 'group', pr, y, abs(y - pr) FROM tt
+  UNION ALL SELECT row_id, 'classification', 'global', gc, CAST(c AS DOUBLE),
+               -ln(least(greatest(CASE WHEN c = 1 THEN gc ELSE 1 - gc END, 1e-15), 1.0)) FROM tt
+  UNION ALL SELECT row_id, 'classification', 'group', pc, CAST(c AS DOUBLE),
+               -ln(least(greatest(CASE WHEN c = 1 THEN pc ELSE 1 - pc END, 1e-15), 1.0)) FROM tt
+)"""
+
+
+def q_baseline_losses() -> str:
+    return rounded(f"{_losses_cte()} SELECT * FROM losses", ["score", "label", "loss"])
+
+
+def _md5_sign(seed: str, rep: str, key: str) -> str:
+    return f"(CASE WHEN substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({rep} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END)"
+
+
+def _uniform(seed: str, rep: str, key: str) -> str:
+    return (f"(CAST(('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({rep} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 13)) AS BIGINT)"
+            f" / 4503599627370496.0)")
+
+
+def _poisson_sql(u: str) -> str:
+    from cohortlens.operators.resample import poisson1_cdf
+
+    return "(" + " + ".join(f"(CASE WHEN {u} >= {t!r} THEN 1 ELSE 0 END)" for t in poisson1_cdf()) + ")"
+
+
+def _perm_sql(n_perm: int = 10000, seed: int = 0) -> str:
+    return f"""{_losses_cte()},
+pr AS (SELECT a.row_id, a.task, a.loss - b.loss AS d
+       FROM (SELECT * FROM losses WHERE model = 'global') a
+       JOIN (SELECT * FROM losses WHERE model = 'group') b ON a.row_id = b.row_id AND a.task = b.task),
+obs AS (SELECT task, sum(d) AS s, avg(d) AS mean_diff, count(*) AS n,
+               CASE WHEN stddev_samp(d) = 0 THEN 0.0 ELSE avg(d) / stddev_samp(d) END AS cohens_d FROM pr GROUP BY task),
+fl AS (SELECT task, rep, sum({_md5_sign(str(seed), 'rep', 'row_id')} * d) AS s
+       FROM pr, (SELECT range AS rep FROM range({n_perm})) r GROUP BY task, rep),
+pv AS (SELECT fl.task, avg(CASE WHEN abs(fl.s) >= abs(obs.s) THEN 1.0 ELSE 0.0 END) AS p_value
+       FROM fl JOIN obs ON fl.task = obs.task GROUP BY fl.task),
+tests AS (
+SELECT obs.task, p_value, mean_diff, cohens_d,
+  CASE WHEN abs(cohens_d) < 0.2 THEN 'negligible' WHEN abs(cohens_d) < 0.5 THEN 'small'
+       WHEN abs(cohens_d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_interpretation,
+  n, {n_perm} AS n_permutations
+FROM obs JOIN pv ON obs.task = pv.task)"""
+
+
+def q_paired_permutation() -> str:
+    return rounded(f"{_perm_sql()} SELECT * FROM tests", ["p_value", "mean_diff", "cohens_d"])
+
+
+def q_bonferroni_tests() -> str:
+    sql = (f"{_perm_sql()} SELECT *, (SELECT count(*) FROM tests) AS n_tests, "
+           f"0.05 / (SELECT count(*) FROM tests) AS alpha_corrected, "
+           f"p_value < 0.05 / (SELECT count(*) FROM tests) AS significant FROM tests")
+    return rounded(sql, ["p_value", "mean_diff", "cohens_d", "alpha_corrected"])
+
+
+def q_bootstrap_loss_ci(n_boot: int = 1000, seed: int = 0) -> str:
+    w = _poisson_sql(_uniform(str(seed), "rep", "row_id"))
+    sql = f"""{_losses_cte()},
+sz AS (SELECT task, model, count(*) AS n_samples FROM losses GROUP BY task, model),
+rp AS (SELECT task, model, rep, sum(w * loss) / nullif(sum(w), 0) AS m
+       FROM (SELECT task, model, loss, rep, {w} AS w FROM losses, (SELECT range AS rep FROM range({n_boot})) r)
+       GROUP BY task, model, rep)
+SELECT rp.task, rp.model, avg(m) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high,
+       any_value(sz.n_samples) AS n_samples, {n_boot} AS n_bootstrap
+FROM rp JOIN sz ON rp.task = sz.task AND rp.model = sz.model GROUP BY rp.task, rp.model"""
+    return rounded(sql, ["mean", "ci_low", "ci_high"])
+
+
+def q_bootstrap_auc_ci(n_boot: int = 1000, seed: int = 0) -> str:
+    w = _poisson_sql(_uniform(str(seed), "rep", "row_id"))
+    sql = f"""{_losses_cte()},
+sc AS (SELECT model, row_id, score, label FROM losses WHERE task = 'classification'),
+wt AS (SELECT model, rep, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS wp, sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS wn
+       FROM (SELECT model, score, label, rep, {w} AS w FROM sc, (SELECT range AS rep FROM range({n_boot})) r)
+       GROUP BY model, rep, score),
+cu AS (SELECT model, rep, wp, wn, sum(wn) OVER (PARTITION BY model, rep ORDER BY score) - wn AS below FROM wt),
+au AS (SELECT model, rep, sum(wp * (below + 0.5 * wn)) / nullif(sum(wp) * sum(wn), 0) AS a FROM cu GROUP BY model, rep)
+SELECT model, avg(a) AS mean, quantile_cont(a, 0.025) AS ci_low, quantile_cont(a, 0.975) AS ci_high, count(*) AS n_bootstrap
+FROM au WHERE a IS NOT NULL GROUP BY model"""
+    return rounded(sql, ["mean", "ci_low", "ci_high"])

@@ -17,6 +17,8 @@ from cohortlens.plans import oracle_sql as S
 from cohortlens.plans.interaction_table import standin_interaction_table
 from cohortlens.plans.student_table import standin_student_table
 from cohortlens.operators import quality as Q
+from cohortlens.operators import resample as R
+from cohortlens.plans.losses import baseline_losses, paired
 from cohortlens.operators.dist import auc_mann_whitney
 from cohortlens.operators.effect import effect_size_summary
 from cohortlens.operators.ranks import spearman_rho
@@ -145,3 +147,43 @@ def spearman_importance_q(spark, d):
     a = imp.where(F.col("split") == "train").select("feature", F.col("importance").alias("a"))
     b = imp.where(F.col("split") == "test").select("feature", F.col("importance").alias("b"))
     return round_doubles(spearman_rho(a, b, "feature", "a", "b").select("spearman_rho", "n_features"))
+
+
+# ---------------------------------------------------------------- losses, resampling
+def _losses(spark, d):
+    sts, _ = split_students(spark, d)
+    return baseline_losses(sts, key="id_student", group_col="nation", reg_target="final_grade", cls_target="dropout")
+
+
+@register("baseline_losses", S.q_baseline_losses())
+def baseline_losses_q(spark, d):
+    """F6 loss table: per test row, two baseline predictors, two tasks."""
+    return round_doubles(_losses(spark, d))
+
+
+@register("paired_permutation", S.q_paired_permutation())
+def paired_permutation_q(spark, d):
+    """10 000 sign flips per task, global vs per-group predictor."""
+    pr = paired(_losses(spark, d), "global", "group")
+    return round_doubles(R.paired_permutation_test(pr, "loss_a", "loss_b", "row_id", group_cols=("task",), n_perm=10000, seed=0))
+
+
+@register("bonferroni_tests", S.q_bonferroni_tests())
+def bonferroni_tests_q(spark, d):
+    """The permutation tests with alpha / n_tests."""
+    pr = paired(_losses(spark, d), "global", "group")
+    t = R.paired_permutation_test(pr, "loss_a", "loss_b", "row_id", group_cols=("task",), n_perm=10000, seed=0)
+    return round_doubles(R.bonferroni(t, 0.05))
+
+
+@register("bootstrap_loss_ci", S.q_bootstrap_loss_ci())
+def bootstrap_loss_ci_q(spark, d):
+    """1000-replicate bootstrap interval of the mean loss per task and model."""
+    return round_doubles(R.bootstrap_mean_ci(_losses(spark, d), "loss", "row_id", group_cols=("task", "model"), n_boot=1000, seed=0))
+
+
+@register("bootstrap_auc_ci", S.q_bootstrap_auc_ci())
+def bootstrap_auc_ci_q(spark, d):
+    """1000-replicate bootstrap interval of ROC AUC per classifier."""
+    cls = _losses(spark, d).where(F.col("task") == "classification")
+    return round_doubles(R.bootstrap_auc_ci(cls, "score", "label", "row_id", group_cols=("model",), n_boot=1000, seed=0))
