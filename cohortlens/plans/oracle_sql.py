@@ -379,3 +379,106 @@ au AS (SELECT model, rep, sum(wp * (below + 0.5 * wn)) / nullif(sum(wp) * sum(wn
 SELECT model, avg(a) AS mean, quantile_cont(a, 0.025) AS ci_low, quantile_cont(a, 0.975) AS ci_high, count(*) AS n_bootstrap
 FROM au WHERE a IS NOT NULL GROUP BY model"""
     return rounded(sql, ["mean", "ci_low", "ci_high"])
+
+
+# ------------------------------------------------------------ diagnostics and roll-ups
+def q_leakage_screen() -> str:
+    feats = [c for c in STUDENT_NUMERIC]
+    parts = []
+    for t in ["dropout", "final_grade"]:
+        for f in feats:
+            if f != t:
+                parts.append(f"SELECT '{t}' AS target, '{f}' AS feature, abs(corr({f}, {t})) AS r FROM st")
+    sql = f"""WITH {STUDENT_CTE}, lc AS ({' UNION ALL '.join(parts)})
+SELECT target, max(r) AS max_abs_corr, arg_max(feature, r) AS max_feature, max(r) > 0.8 AS warn, max(r) >= 0.99 AS error
+FROM lc WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY target"""
+    return rounded(sql, ["max_abs_corr"])
+
+
+def q_class_balance() -> str:
+    sql = f"""WITH {STUDENT_CTE}, c AS (SELECT CAST(dropout AS VARCHAR) AS class, count(*) AS n FROM st GROUP BY dropout)
+SELECT class, n, (SELECT CAST(min(n) AS DOUBLE) / max(n) FROM c) AS balance_ratio FROM c"""
+    return rounded(sql, ["balance_ratio"])
+
+
+def q_target_describe() -> str:
+    sql = f"WITH {STUDENT_CTE} SELECT min(final_grade) AS min, max(final_grade) AS max, avg(final_grade) AS mean, stddev_samp(final_grade) AS std FROM st"
+    return rounded(sql, ["min", "max", "mean", "std"])
+
+
+def q_split_sizes() -> str:
+    return f"{_with_split()} SELECT split, count(*) AS n_rows FROM sts GROUP BY split"
+
+
+def q_coverage_diagnostic() -> str:
+    sql = f"""WITH {INTERACTION_CTE}
+SELECT count(*) AS n_users, count(*) FILTER (WHERE n_total >= 20) AS n_full_window,
+       avg(CASE WHEN n_total >= 20 THEN 1.0 ELSE 0.0 END) AS share_full_window,
+       avg(CASE WHEN n_total >= (SELECT thr FROM ev_thr) THEN 1.0 ELSE 0.0 END) AS share_high_engagement,
+       median(n_total) AS engagement_threshold
+FROM ev_tot"""
+    return rounded(sql, ["share_full_window", "share_high_engagement", "engagement_threshold"])
+
+
+METRICS_CTE = """
+mw AS (
+  SELECT event_type AS synthesizer, dayofweek(ts) AS seed,
+         avg(value) AS mean_value, CAST(count(*) AS DOUBLE) AS n_events,
+         avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS mean_k,
+         avg(CASE WHEN value > 300.0 THEN value END) AS high_value_mean
+  FROM events GROUP BY event_type, dayofweek(ts)
+),
+metrics AS (
+  SELECT 'events' AS dataset, synthesizer, CAST(seed AS INTEGER) AS seed, metric, value FROM (
+    SELECT synthesizer, seed, 'mean_value' AS metric, mean_value AS value FROM mw
+    UNION ALL SELECT synthesizer, seed, 'n_events', n_events FROM mw
+    UNION ALL SELECT synthesizer, seed, 'mean_k', mean_k FROM mw
+    UNION ALL SELECT synthesizer, seed, 'high_value_mean', high_value_mean FROM mw)
+)"""
+
+
+def q_seed_rollup() -> str:
+    sql = f"""WITH {METRICS_CTE}
+SELECT dataset, synthesizer, metric, avg(value) AS mean, coalesce(stddev_samp(value), 0.0) AS std, count(*) AS n_observed
+FROM metrics WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY dataset, synthesizer, metric"""
+    return rounded(sql, ["mean", "std"])
+
+
+def q_chart_rollup() -> str:
+    sql = f"""WITH {METRICS_CTE}
+SELECT dataset, synthesizer, metric, avg(value) AS mean, stddev_pop(value) AS std_pop
+FROM metrics WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY dataset, synthesizer, metric"""
+    return rounded(sql, ["mean", "std_pop"])
+
+
+def q_seeds_observed() -> str:
+    return f"WITH {METRICS_CTE} SELECT dataset, count(DISTINCT seed) AS seeds_observed, 7 AS seeds_requested FROM metrics GROUP BY dataset"
+
+
+def q_missing_metrics() -> str:
+    return f"""WITH {METRICS_CTE},
+grid AS (SELECT p.dataset, p.synthesizer, CAST(s.range AS INTEGER) AS seed, m.metric
+         FROM (SELECT DISTINCT dataset, synthesizer FROM metrics) p, range(7) s,
+              (VALUES ('mean_value'), ('n_events'), ('mean_k'), ('high_value_mean')) m(metric))
+SELECT g.* FROM grid g WHERE NOT EXISTS (
+  SELECT 1 FROM metrics o WHERE o.value IS NOT NULL AND NOT isnan(o.value)
+    AND o.dataset = g.dataset AND o.synthesizer = g.synthesizer AND o.seed = g.seed AND o.metric = g.metric)"""
+
+
+def q_timing_summary() -> str:
+    sql = """SELECT event_type AS operation, count(*) AS count, avg(value) AS mean, median(value) AS median,
+       min(value) AS min, max(value) AS max, sum(value) AS total, sum(value) / 60.0 AS total_minutes
+FROM events GROUP BY event_type"""
+    return rounded(sql, ["mean", "median", "min", "max", "total", "total_minutes"])
+
+
+def q_performance_matrix() -> str:
+    sql = f"""WITH {METRICS_CTE},
+r AS (SELECT dataset, synthesizer, metric, avg(value) AS mean FROM metrics
+      WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY dataset, synthesizer, metric)
+SELECT dataset, synthesizer,
+  max(CASE WHEN metric = 'mean_value' THEN mean END) AS mean_value,
+  max(CASE WHEN metric = 'n_events' THEN mean END) AS n_events,
+  max(CASE WHEN metric = 'mean_k' THEN mean END) AS mean_k
+FROM r GROUP BY dataset, synthesizer"""
+    return rounded(sql, ["mean_value", "n_events", "mean_k"])

@@ -17,7 +17,11 @@ from cohortlens.plans import oracle_sql as S
 from cohortlens.plans.interaction_table import standin_interaction_table
 from cohortlens.plans.student_table import standin_student_table
 from cohortlens.operators import quality as Q
+from cohortlens.operators import diagnostics as D
+from cohortlens.operators import report as P
 from cohortlens.operators import resample as R
+from cohortlens.plans.interaction_table import coverage_diagnostic, standin_log
+from cohortlens.plans.metrics_table import STANDIN_METRICS, expected_grid, standin_metrics
 from cohortlens.plans.losses import baseline_losses, paired
 from cohortlens.operators.dist import auc_mann_whitney
 from cohortlens.operators.effect import effect_size_summary
@@ -187,3 +191,83 @@ def bootstrap_auc_ci_q(spark, d):
     """1000-replicate bootstrap interval of ROC AUC per classifier."""
     cls = _losses(spark, d).where(F.col("task") == "classification")
     return round_doubles(R.bootstrap_auc_ci(cls, "score", "label", "row_id", group_cols=("model",), n_boot=1000, seed=0))
+
+
+# ---------------------------------------------------------------- diagnostics
+@register("leakage_screen", S.q_leakage_screen())
+def leakage_screen_q(spark, d):
+    """Max |corr| of any numeric column with each target, and flags."""
+    st, roles = standin_student_table(Tables(spark, d))
+    num = infer_feature_spec(st, exclude=list(roles.id_cols)).numeric_cols
+    return round_doubles(D.leakage_screen(st, num, roles.target_cols))
+
+
+@register("class_balance", S.q_class_balance())
+def class_balance_q(spark, d):
+    """A10: dropout class counts and balance ratio."""
+    st, _ = standin_student_table(Tables(spark, d))
+    return round_doubles(D.class_balance(st, "dropout"))
+
+
+@register("target_describe", S.q_target_describe())
+def target_describe_q(spark, d):
+    """Final grade min/max/mean/std."""
+    st, _ = standin_student_table(Tables(spark, d))
+    return round_doubles(D.target_describe(st, "final_grade"))
+
+
+@register("split_sizes", S.q_split_sizes())
+def split_sizes_q(spark, d):
+    """Rows per split side."""
+    sts, _ = split_students(spark, d)
+    return D.split_sizes(sts)
+
+
+@register("coverage_diagnostic", S.q_coverage_diagnostic())
+def coverage_diagnostic_q(spark, d):
+    """Users with a full early window, label share, threshold."""
+    return round_doubles(coverage_diagnostic(standin_log(Tables(spark, d))))
+
+
+# ---------------------------------------------------------------- roll-ups
+def _metrics(spark, d):
+    return standin_metrics(Tables(spark, d))
+
+
+@register("seed_rollup", S.q_seed_rollup())
+def seed_rollup_q(spark, d):
+    """Mean, sample std, observed count over seeds."""
+    return round_doubles(P.seed_rollup(_metrics(spark, d)))
+
+
+@register("chart_rollup", S.q_chart_rollup())
+def chart_rollup_q(spark, d):
+    """Mean and population std over seeds."""
+    return round_doubles(P.chart_rollup(_metrics(spark, d)))
+
+
+@register("seeds_observed", S.q_seeds_observed())
+def seeds_observed_q(spark, d):
+    """Seeds requested vs observed."""
+    return P.seeds_observed(_metrics(spark, d), 7)
+
+
+@register("missing_metrics", S.q_missing_metrics())
+def missing_metrics_q(spark, d):
+    """Expected metric cells that hold no valid value."""
+    m = _metrics(spark, d)
+    return P.missing_metrics(m, expected_grid(m, 7, STANDIN_METRICS))
+
+
+@register("timing_summary", S.q_timing_summary())
+def timing_summary_q(spark, d):
+    """Per-operation timing summary over an operation log."""
+    oplog = Tables(spark, d).events.select(F.col("event_type").alias("operation"), F.col("value").alias("seconds"))
+    return round_doubles(P.timing_summary(oplog))
+
+
+@register("performance_matrix", S.q_performance_matrix())
+def performance_matrix_q(spark, d):
+    """Synthesizer x metric matrix of seed means."""
+    roll = P.seed_rollup(_metrics(spark, d))
+    return round_doubles(P.performance_matrix(roll, ["mean_value", "n_events", "mean_k"]))
