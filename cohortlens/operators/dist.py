@@ -121,3 +121,54 @@ def cliff_counts(a: DataFrame, b: DataFrame, value_col: str, *, group_cols: tupl
         F.sum("na").alias("n1"),
         F.sum("nb").alias("n2"),
     )
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], *, accuracy: int = 100000) -> list[float | None]:
+    """Exact percentiles (linear interpolation between order statistics, as
+    numpy's default) without holding the column in one task.
+
+    An approximate quantile pass brackets each needed order statistic
+    (rank error <= n / accuracy); then one pass counts the rows below the
+    lowest bracket and gathers the *distinct* values inside the brackets
+    with their counts, a list bounded by the bracket width, not by n.
+    """
+    x = F.col(col).cast("double")
+    base = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    n = base.count()
+    if n == 0:
+        return [None for _ in probs]
+    ranks = set()
+    for p in probs:
+        pos = p * (n - 1)
+        lo = int(pos)
+        ranks.update({lo, min(lo + 1, n - 1)})
+    need = sorted(ranks)
+    order_stat: dict = {}
+    for widen in (1.0, 16.0, 256.0):
+        slack = widen * (2.0 / accuracy + 1.0 / n)
+        qp = sorted({min(1.0, max(0.0, r / max(n - 1, 1) + s)) for r in ranks for s in (-slack, slack)})
+        approx = base.agg(F.percentile_approx("_x", qp, accuracy).alias("q")).first()["q"]
+        lo_v, hi_v = min(approx), max(approx)
+        below = base.where(F.col("_x") < F.lit(lo_v)).count()
+        inside = (base.where((F.col("_x") >= F.lit(lo_v)) & (F.col("_x") <= F.lit(hi_v)))
+                  .groupBy("_x").count().orderBy("_x").collect())
+        order_stat, cum = {}, below
+        for row in inside:
+            c = int(row["count"])
+            for r in need:
+                if cum <= r < cum + c:
+                    order_stat[r] = row["_x"]
+            cum += c
+        if len(order_stat) == len(need):
+            break
+    else:
+        raise RuntimeError(f"exact_percentiles: brackets missed ranks of {col}")
+    out = []
+    for p in probs:
+        pos = p * (n - 1)
+        lo = int(pos)
+        hi = min(lo + 1, n - 1)
+        frac = pos - lo
+        a, b = order_stat[lo], order_stat[hi]
+        out.append(a + (b - a) * frac)
+    return out
