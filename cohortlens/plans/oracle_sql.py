@@ -482,3 +482,32 @@ SELECT dataset, synthesizer,
   max(CASE WHEN metric = 'mean_k' THEN mean END) AS mean_k
 FROM r GROUP BY dataset, synthesizer"""
     return rounded(sql, ["mean_value", "n_events", "mean_k"])
+
+
+# ------------------------------------------------------------ nearest neighbours
+def _role_sql() -> str:
+    u = f"({sql_h52('0', 'vec_id')} / 4503599627370496.0)"
+    return f"CASE WHEN {u} < 1.0 / 3 THEN 'member' WHEN {u} < 2.0 / 3 THEN 'nonmember' ELSE 'synthetic' END"
+
+
+def q_knn_distances() -> str:
+    sql = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, {_role_sql()} AS role FROM embeddings),
+q AS (SELECT * FROM e WHERE role <> 'synthetic'), r AS (SELECT * FROM e WHERE role = 'synthetic'),
+d AS (SELECT q.vec_id, q.role, list_distance(q.v, r.v) AS dist FROM q, r),
+k AS (SELECT vec_id, role, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rn FROM d)
+SELECT vec_id, role, min(dist) AS d_min, avg(dist) AS d_mean_k FROM k WHERE rn <= 5 GROUP BY vec_id, role"""
+    return rounded(sql, ["d_min", "d_mean_k"])
+
+
+def q_streaming_click_features() -> str:
+    sql = """SELECT user_id AS id_student, CAST(sum(value) AS DOUBLE) AS total_vle_clicks, count(*) AS n_vle_records,
+       count(DISTINCT event_type) AS n_vle_sites, count(DISTINCT CAST(ts AS DATE)) AS n_vle_days,
+       sum(value) / count(*) AS mean_vle_clicks, sum(value) / count(DISTINCT CAST(ts AS DATE)) AS clicks_per_active_day
+FROM events GROUP BY user_id"""
+    return rounded(sql, ["total_vle_clicks", "mean_vle_clicks", "clicks_per_active_day"])
+
+
+def q_consolidated_slice() -> str:
+    sql = f"""{_with_split()}
+SELECT id_student, nation, final_grade, dropout, split, 'real' AS synthesizer FROM sts WHERE split = 'test'"""
+    return rounded(sql, ["final_grade", "dropout"])

@@ -20,6 +20,13 @@ from cohortlens.operators import quality as Q
 from cohortlens.operators import diagnostics as D
 from cohortlens.operators import report as P
 from cohortlens.operators import resample as R
+from cohortlens.sources.sinks import read_slice, write_consolidated
+from cohortlens.streaming.clicks import run_incremental, standin_click_stream
+from cohortlens.functions.hashing import uniform
+from cohortlens.operators.evaluate import c2st_effective_auc, mia_worst_case, tstr_utility
+from cohortlens.operators.knn import knn_distances
+from cohortlens.operators.models import ForestParams
+from cohortlens.operators.synth import GaussianCopula
 from cohortlens.plans.interaction_table import coverage_diagnostic, standin_log
 from cohortlens.plans.metrics_table import STANDIN_METRICS, expected_grid, standin_metrics
 from cohortlens.plans.losses import baseline_losses, paired
@@ -271,3 +278,89 @@ def performance_matrix_q(spark, d):
     """Synthesizer x metric matrix of seed means."""
     roll = P.seed_rollup(_metrics(spark, d))
     return round_doubles(P.performance_matrix(roll, ["mean_value", "n_events", "mean_k"]))
+
+
+# ---------------------------------------------------------------- neighbours, models
+def embedding_roles(t):
+    """embeddings split by hash bands into members / non-members / synthetic."""
+    u = uniform(0, F.col("vec_id"))
+    role = F.when(u < 1.0 / 3, "member").when(u < 2.0 / 3, "nonmember").otherwise("synthetic")
+    return t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("features_arr"), role.alias("role"))
+
+
+@register("knn_distances", S.q_knn_distances())
+def knn_distances_q(spark, d):
+    """Distance to the nearest and mean of the 5 nearest synthetic rows."""
+    e = embedding_roles(Tables(spark, d))
+    q = e.where(F.col("role") != "synthetic")
+    r = e.where(F.col("role") == "synthetic")
+    dist = knn_distances(q, r, key="vec_id", k=5)
+    return round_doubles(dist.join(q.select("vec_id", "role"), "vec_id").select("vec_id", "role", "d_min", "d_mean_k"))
+
+
+# Forest settings of the registered model queries (recorded in their output).
+QUERY_FOREST = ForestParams(num_trees=100, max_depth=10)
+
+
+def _copula_sample(spark, d, seed: int = 0):
+    sts, roles = split_students(spark, d, seed)
+    sts = sts.checkpoint(eager=True)
+    tr = sts.where(F.col("split") == "train").drop("split")
+    te = sts.where(F.col("split") == "test").drop("split")
+    gc = GaussianCopula(exclude=roles.id_cols).fit(tr)
+    syn = gc.sample(spark, tr.count(), seed=seed).checkpoint(eager=True)
+    return tr, te, syn, roles
+
+
+@register("copula_sample", None)
+def copula_sample_q(spark, d):
+    """Y1 + Y2: Gaussian copula fitted on the train part, as many rows sampled."""
+    _, _, syn, _ = _copula_sample(spark, d)
+    return syn
+
+
+@register("c2st", None)
+def c2st_q(spark, d):
+    """Classifier two-sample test, real test part vs copula sample."""
+    _, te, syn, roles = _copula_sample(spark, d)
+    r = c2st_effective_auc(te, syn, roles, fp=QUERY_FOREST)
+    return spark.createDataFrame([r]).select("effective_auc", "auc", "n_per_class", "num_trees", "max_depth")
+
+
+@register("mia", None)
+def mia_q(spark, d):
+    """Membership inference from kNN distances, three attackers, worst case."""
+    tr, te, syn, roles = _copula_sample(spark, d)
+    r = mia_worst_case(tr, te, syn, roles, key="id_student", fp=QUERY_FOREST)
+    rows = [(name, v["auc"], v["effective_auc"], r["worst_case_effective_auc"], r["n_members"]) for name, v in r["attackers"].items()]
+    return spark.createDataFrame(rows, "attacker string, auc double, effective_auc double, worst_case_effective_auc double, n_members long")
+
+
+@register("tstr_utility", None)
+def tstr_utility_q(spark, d):
+    """E13 + E14: TSTR and TRTR metrics (long form) for both tasks."""
+    tr, te, syn, roles = _copula_sample(spark, d)
+    m, _ = tstr_utility(tr, te, syn, roles, key="id_student", fp=QUERY_FOREST)
+    rows = [(task, k, float(v) if v is not None else None) for task, kv in m.items() for k, v in kv.items()]
+    return spark.createDataFrame(rows, "task string, metric string, value double")
+
+
+# ---------------------------------------------------------------- streaming, sinks
+@register("streaming_click_features", S.q_streaming_click_features())
+def streaming_click_features_q(spark, d):
+    """Click features per student from a file stream (availableNow)."""
+    return round_doubles(run_incremental(spark, standin_click_stream(spark, d), ["id_student"]))
+
+
+@register("consolidated_slice", S.q_consolidated_slice())
+def consolidated_slice_q(spark, d):
+    """S10 + S11: write train/test into the partitioned table, read one slice back."""
+    import os
+    import uuid
+
+    sts, _ = split_students(spark, d)
+    cols = ["id_student", "nation", "final_grade", "dropout"]
+    path = os.path.join(ensure_checkpoint_dir(spark), f"consolidated-{uuid.uuid4().hex}")
+    write_consolidated({("real_train", "real"): sts.where(F.col("split") == "train").select(*cols),
+                        ("test", "real"): sts.where(F.col("split") == "test").select(*cols)}, path)
+    return round_doubles(read_slice(spark, path, "test", "real").select(*cols, "split", "synthesizer"))
