@@ -33,9 +33,8 @@ def poisson1_cdf(kmax: int = 12) -> list[float]:
     return out
 
 
-def poisson_weight(seed, rep: Column, key: Column) -> Column:
+def poisson_from_uniform(u: Column) -> Column:
     """Poisson(1) count from a uniform: number of CDF thresholds below it."""
-    u = uniform(seed, rep, key)
     w = F.lit(0)
     for t in poisson1_cdf():
         w = w + F.when(u >= F.lit(t), F.lit(1)).otherwise(F.lit(0))
@@ -63,8 +62,8 @@ def bootstrap_mean_ci(df: DataFrame, value_col: str, key_col: str, *, group_cols
     sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_samples"))
     n_min = sizes.agg(F.min("n_samples")).first()[0] or 0
     b = n_boot_for(n_min, n_boot)
-    rep = base.select(*g, "_k", "_x", _reps(b))
-    w = poisson_weight(seed, F.col("rep"), F.col("_k"))
+    rep = base.select(*g, "_k", "_x", _reps(b)).select(*g, "rep", "_x", uniform(seed, F.col("rep"), F.col("_k")).alias("_u"))
+    w = poisson_from_uniform(F.col("_u"))
     per_rep = rep.select(*g, "rep", "_x", w.alias("_w")).groupBy(*g, "rep").agg(
         (F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
     ci = per_rep.groupBy(*g).agg(
@@ -83,8 +82,8 @@ def bootstrap_auc_ci(scored: DataFrame, score_col: str, label_col: str, key_col:
     single class give NULL and are skipped."""
     g = list(group_cols)
     base = scored.select(*g, F.col(key_col).alias("_k"), F.col(score_col).cast("double").alias("_s"), F.col(label_col).alias("_y"))
-    rep = base.select(*g, "_k", "_s", "_y", _reps(n_boot))
-    w = poisson_weight(seed, F.col("rep"), F.col("_k"))
+    rep = base.select(*g, "_k", "_s", "_y", _reps(n_boot)).select(*g, "rep", "_s", "_y", uniform(seed, F.col("rep"), F.col("_k")).alias("_u"))
+    w = poisson_from_uniform(F.col("_u"))
     weighted = rep.select(*g, "rep", "_s", (F.when(F.col("_y") == 1, w).otherwise(0)).alias("_wp"),
                           (F.when(F.col("_y") == 1, 0).otherwise(w)).alias("_wn"))
     pre = value_prefix(weighted, "_s", {"pos": F.col("_wp"), "neg": F.col("_wn")}, group_cols=(*g, "rep"))
@@ -127,3 +126,106 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     n = tests.agg(F.count(F.lit(1))).scalar()
     a = F.lit(alpha) / n
     return tests.select("*", n.alias("n_tests"), a.alias("alpha_corrected"), (F.col("p_value") < a).alias("significant"))
+
+
+# ----------------------------------------------------------------- bucketed engine
+# The md5 form above is portable (any SQL engine recomputes it) but costs a
+# hash per (replicate, row).  The bucketed form draws the same kind of
+# randomness with numpy: rows go to fixed hash buckets, each bucket sorts
+# its rows by key and seeds its generator with (seed, group, bucket), so a
+# retried task redraws identical numbers; every bucket returns one partial
+# sum per replicate and the shuffle carries groups x buckets x replicates
+# values, independent of the row count.
+ROWS_PER_BUCKET = 200000
+ROW_CHUNK = 4096
+
+
+def _n_buckets(df: DataFrame, rows: int) -> int:
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    return max(base, -(-rows // ROWS_PER_BUCKET))
+
+
+def _bucketed(df: DataFrame, g: list, key: str, buckets: int) -> DataFrame:
+    gh = F.xxhash64(*[F.col(c) for c in g]) if g else F.lit(0).cast("long")
+    return df.withColumn("_gh", gh).withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+
+
+def permutation_test_bucketed(pairs: DataFrame, a_col: str, b_col: str, key_col: str, *, group_cols: tuple[str, ...] = (),
+                              n_perm: int = 10000, seed: int = 0) -> DataFrame:
+    """E15 with numpy sign matrices per hash bucket (same output as
+    ``paired_permutation_test``; p agrees in distribution, not bitwise)."""
+    import numpy as np
+    import pandas as pd
+
+    g = list(group_cols)
+    d = pairs.select(*g, F.col(key_col).alias("_k"), (F.col(a_col) - F.col(b_col)).cast("double").alias("_d")).where(F.col("_d").isNotNull())
+    B = _n_buckets(d, d.count())
+    db = _bucketed(d, g, "_k", B)
+    gschema = ", ".join(f"{c} {t}" for c, t in db.select(*g).dtypes)
+    schema = (gschema + ", " if g else "") + "rep int, _s double"
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k", kind="mergesort")
+        rng = np.random.default_rng([seed, int(pdf["_gh"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, int(pdf["_b"].iloc[0])])
+        x = pdf["_d"].to_numpy(dtype=np.float64)
+        s = np.zeros(n_perm)
+        for i in range(0, len(x), ROW_CHUNK):
+            xc = x[i:i + ROW_CHUNK]
+            signs = rng.integers(0, 2, size=(n_perm, len(xc)), dtype=np.int8) * 2 - 1
+            s += signs @ xc
+        out = pd.DataFrame({"rep": np.arange(n_perm, dtype=np.int32), "_s": s})
+        for c in g:
+            out.insert(0, c, pdf[c].iloc[0])
+        return out[[*g, "rep", "_s"]]
+
+    flips = db.groupBy(*g, "_gh", "_b").applyInPandas(part, schema).groupBy(*g, "rep").agg(F.sum("_s").alias("_s"))
+    sd = F.stddev_samp("_d")
+    obs = d.groupBy(*g).agg(
+        F.sum("_d").alias("_sum"), F.avg("_d").alias("mean_diff"), F.count(F.lit(1)).alias("n"),
+        F.when(sd == 0, F.lit(0.0)).otherwise(F.avg("_d") / sd).alias("cohens_d"))
+    j = flips.join(obs.select(*g, "_sum"), g, "inner") if g else flips.select("*", obs.select("_sum").scalar().alias("_sum"))
+    p = j.groupBy(*g).agg(F.avg((F.abs("_s") >= F.abs("_sum") * F.lit(1 - 1e-12)).cast("double")).alias("p_value"))
+    out = obs.join(p, g, "inner") if g else obs.select("*", p.select("p_value").scalar().alias("p_value"))
+    return out.select(*g, "p_value", "mean_diff", "cohens_d", cohens_label(F.col("cohens_d")).alias("effect_interpretation"),
+                      "n", F.lit(n_perm).alias("n_permutations"))
+
+
+def bootstrap_mean_ci_bucketed(df: DataFrame, value_col: str, key_col: str, *, group_cols: tuple[str, ...] = (),
+                               n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """E11 with numpy Poisson(1) weights per hash bucket."""
+    import numpy as np
+    import pandas as pd
+
+    g = list(group_cols)
+    base = df.select(*g, F.col(key_col).alias("_k"), F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_samples")).checkpoint(eager=True)
+    agg = sizes.agg(F.min("n_samples"), F.sum("n_samples")).first()
+    b = n_boot_for(agg[0] or 0, n_boot)
+    B = _n_buckets(base, agg[1] or 0)
+    db = _bucketed(base, g, "_k", B)
+    gschema = ", ".join(f"{c} {t}" for c, t in db.select(*g).dtypes)
+    schema = (gschema + ", " if g else "") + "rep int, _sw double, _swx double"
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k", kind="mergesort")
+        rng = np.random.default_rng([seed, int(pdf["_gh"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, int(pdf["_b"].iloc[0])])
+        x = pdf["_x"].to_numpy(dtype=np.float64)
+        sw, swx = np.zeros(b), np.zeros(b)
+        for i in range(0, len(x), ROW_CHUNK):
+            xc = x[i:i + ROW_CHUNK]
+            w = rng.poisson(1.0, size=(b, len(xc))).astype(np.float64)
+            sw += w.sum(axis=1)
+            swx += w @ xc
+        out = pd.DataFrame({"rep": np.arange(b, dtype=np.int32), "_sw": sw, "_swx": swx})
+        for c in g:
+            out.insert(0, c, pdf[c].iloc[0])
+        return out[[*g, "rep", "_sw", "_swx"]]
+
+    per_rep = db.groupBy(*g, "_gh", "_b").applyInPandas(part, schema).groupBy(*g, "rep").agg(
+        (F.sum("_swx") / F.nullif(F.sum("_sw"), F.lit(0.0))).alias("_m"))
+    ci = per_rep.groupBy(*g).agg(
+        F.avg("_m").alias("mean"),
+        F.percentile("_m", alpha / 2).alias("ci_low"),
+        F.percentile("_m", 1 - alpha / 2).alias("ci_high"))
+    out = ci.join(sizes, g, "inner") if g else ci.select("*", sizes.select("n_samples").scalar().alias("n_samples"))
+    return out.withColumn("n_bootstrap", F.lit(b))

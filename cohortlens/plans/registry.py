@@ -81,8 +81,13 @@ def group_split_q(spark, d):
 
 # ---------------------------------------------------------------- helpers
 def split_students(spark, d, seed: int = 0):
-    """Student table with a ``split`` column (group split, 30 % test)."""
+    """Student table with a ``split`` column (group split, 30 % test).
+
+    The feature table is materialised once into the shared checkpoint
+    folder: every later pass (split threshold, metrics, models) reads it
+    instead of re-running the star join, and lineage is cut for retries."""
     df, roles = standin_student_table(Tables(spark, d))
+    df = df.checkpoint(eager=True)
     return group_split(df, roles.group_col, test_size=0.3, seed=seed), roles
 
 
@@ -304,7 +309,6 @@ QUERY_FOREST = ForestParams(num_trees=100, max_depth=10)
 
 def _copula_sample(spark, d, seed: int = 0):
     sts, roles = split_students(spark, d, seed)
-    sts = sts.checkpoint(eager=True)
     tr = sts.where(F.col("split") == "train").drop("split")
     te = sts.where(F.col("split") == "test").drop("split")
     gc = GaussianCopula(exclude=roles.id_cols).fit(tr)
@@ -364,3 +368,16 @@ def consolidated_slice_q(spark, d):
     write_consolidated({("real_train", "real"): sts.where(F.col("split") == "train").select(*cols),
                         ("test", "real"): sts.where(F.col("split") == "test").select(*cols)}, path)
     return round_doubles(read_slice(spark, path, "test", "real").select(*cols, "split", "synthesizer"))
+
+
+@register("paired_permutation_bucketed", None)
+def paired_permutation_bucketed_q(spark, d):
+    """E15 (scale form): numpy sign matrices per hash bucket, 10 000 flips."""
+    pr = paired(_losses(spark, d), "global", "group")
+    return round_doubles(R.permutation_test_bucketed(pr, "loss_a", "loss_b", "row_id", group_cols=("task",), n_perm=10000, seed=0))
+
+
+@register("bootstrap_loss_ci_bucketed", None)
+def bootstrap_loss_ci_bucketed_q(spark, d):
+    """E11 (scale form): numpy Poisson weights per hash bucket, 1000 replicates."""
+    return round_doubles(R.bootstrap_mean_ci_bucketed(_losses(spark, d), "loss", "row_id", group_cols=("task", "model"), n_boot=1000, seed=0))
