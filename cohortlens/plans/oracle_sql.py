@@ -358,11 +358,13 @@ def q_bootstrap_loss_ci(n_boot: int = 1000, seed: int = 0) -> str:
     w = _poisson_sql(_uniform(str(seed), "rep", "row_id"))
     sql = f"""{_losses_cte()},
 sz AS (SELECT task, model, count(*) AS n_samples FROM losses GROUP BY task, model),
+nb AS (SELECT CASE WHEN min(n_samples) < 50 THEN least({n_boot}, 500) ELSE {n_boot} END AS b FROM sz),
 rp AS (SELECT task, model, rep, sum(w * loss) / nullif(sum(w), 0) AS m
-       FROM (SELECT task, model, loss, rep, {w} AS w FROM losses, (SELECT range AS rep FROM range({n_boot})) r)
+       FROM (SELECT task, model, loss, rep, {w} AS w FROM losses, (SELECT range AS rep FROM range({n_boot})) r
+             WHERE rep < (SELECT b FROM nb))
        GROUP BY task, model, rep)
 SELECT rp.task, rp.model, avg(m) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high,
-       any_value(sz.n_samples) AS n_samples, {n_boot} AS n_bootstrap
+       any_value(sz.n_samples) AS n_samples, CAST((SELECT b FROM nb) AS INTEGER) AS n_bootstrap
 FROM rp JOIN sz ON rp.task = sz.task AND rp.model = sz.model GROUP BY rp.task, rp.model"""
     return rounded(sql, ["mean", "ci_low", "ci_high"])
 
