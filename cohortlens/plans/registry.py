@@ -23,7 +23,7 @@ from cohortlens.operators import resample as R
 from cohortlens.sources.sinks import read_slice, write_consolidated
 from cohortlens.streaming.clicks import run_incremental, standin_click_stream
 from cohortlens.functions.hashing import uniform
-from cohortlens.operators.evaluate import c2st_effective_auc, mia_worst_case, tstr_utility
+from cohortlens.operators.evaluate import c2st_effective_auc, importance_preservation, mia_worst_case, tstr_utility
 from cohortlens.operators.knn import knn_distances
 from cohortlens.operators.models import ForestParams
 from cohortlens.operators.synth import GaussianCopula
@@ -381,3 +381,10 @@ def paired_permutation_bucketed_q(spark, d):
 def bootstrap_loss_ci_bucketed_q(spark, d):
     """E11 (scale form): numpy Poisson weights per hash bucket, 1000 replicates."""
     return round_doubles(R.bootstrap_mean_ci_bucketed(_losses(spark, d), "loss", "row_id", group_cols=("task", "model"), n_boot=1000, seed=0))
+
+
+@register("importance_preservation", None)
+def importance_preservation_q(spark, d):
+    """A19 + M13: TRTR vs TSTR forest importances, Spearman rho and p per task."""
+    tr, _, syn, roles = _copula_sample(spark, d)
+    return importance_preservation(tr, syn, roles, key="id_student", fp=QUERY_FOREST)
