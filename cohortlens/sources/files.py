@@ -112,3 +112,10 @@ def results_to_metrics(results: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def attacker_table(results: DataFrame) -> DataFrame:
+    """Per-attacker AUCs of every run (explode of the attackers map)."""
+    syn = results.select("dataset", "seed", F.explode("synthesizers").alias("synthesizer", "r"))
+    return syn.select("dataset", "seed", "synthesizer", F.explode("r.mia.attackers").alias("attacker", "a")).select(
+        "dataset", "seed", "synthesizer", "attacker", F.col("a.auc").alias("auc"), F.col("a.effective_auc").alias("effective_auc"))
