@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
+from cohortlens.llm.packing import best_fit_packing
 from cohortlens.session import ensure_checkpoint_dir
 
 QUERIES = {}
@@ -39,3 +41,9 @@ def query(name: str, sql: str | None = None):
 def op3_exact_dedup(spark, d):
     """Exact duplicates of all documents through a new digest index."""
     return exact_duplicates(read(spark, d, "documents"))
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, d):
+    """Pieces of all documents packed into sequences of 1024 tokens."""
+    return best_fit_packing(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
