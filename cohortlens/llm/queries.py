@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
 from cohortlens.llm.packing import best_fit_packing
+from cohortlens.llm.tokencount import token_counts
 from cohortlens.session import ensure_checkpoint_dir
 
 QUERIES = {}
@@ -47,3 +48,9 @@ def op3_exact_dedup(spark, d):
 def op4_best_fit_packing(spark, d):
     """Pieces of all documents packed into sequences of 1024 tokens."""
     return best_fit_packing(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, d):
+    """Tokens of every document by the 50k byte-level vocabulary."""
+    return token_counts(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
