@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
 from cohortlens.llm.packing import best_fit_packing
+from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tokencount import token_counts
 from cohortlens.session import ensure_checkpoint_dir
 
@@ -54,3 +55,9 @@ def op4_best_fit_packing(spark, d):
 def op8_token_counts(spark, d):
     """Tokens of every document by the 50k byte-level vocabulary."""
     return token_counts(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_simhash_near_dedup")
+def op2_simhash_near_dedup(spark, d):
+    """SimHash components of all documents: 3-word shingles, 3 bits."""
+    return near_duplicates(read(spark, d, "documents"), words=3, max_bits=3)
