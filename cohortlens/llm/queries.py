@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlens.functions.hashing import sql_h52, sql_uniform
 from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
+from cohortlens.llm.mixing import SEED, poisson_mixture
 from cohortlens.llm.packing import best_fit_packing
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tokencount import token_counts
@@ -61,3 +63,35 @@ def op8_token_counts(spark, d):
 def op2_simhash_near_dedup(spark, d):
     """SimHash components of all documents: 3-word shingles, 3 bits."""
     return near_duplicates(read(spark, d, "documents"), words=3, max_bits=3)
+
+
+@query(
+    "op7_poisson_mixing",
+    f"""
+    WITH RECURSIVE sizes AS (
+        SELECT source, sum(coalesce(strlen(text), 0)) AS bytes FROM documents GROUP BY source HAVING sum(coalesce(strlen(text), 0)) > 0),
+    rates AS (
+        SELECT source, 1.0::DOUBLE / (SELECT count(*)::DOUBLE FROM sizes) * (SELECT sum(bytes)::DOUBLE FROM sizes) / bytes AS rate
+        FROM sizes),
+    part AS (SELECT source, rate, greatest(1, ceil(rate / 32.0))::INT AS parts, rate / greatest(1, ceil(rate / 32.0)) AS r FROM rates),
+    cdf AS (
+        SELECT source, r, 0 AS k, exp(-r) AS p, exp(-r) AS c FROM part
+        UNION ALL
+        SELECT source, r, k + 1, p * r / (k + 1), c + p * r / (k + 1) FROM cdf WHERE c <= 1 - 1e-13),
+    drawn AS (
+        SELECT d.doc_id, d.source, coalesce(strlen(text), 0) AS n_bytes, rate, parts,
+               {sql_uniform(SEED, "d.doc_id", "j.j")} AS u
+        FROM documents d JOIN part ON d.source IS NOT DISTINCT FROM part.source, unnest(range(1, parts + 1)) AS j(j)),
+    counted AS (
+        SELECT w.doc_id, w.source, n_bytes, rate,
+               count(c.k) AS copies
+        FROM drawn w LEFT JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.c <= least(w.u, 1 - 1e-13)
+        GROUP BY ALL)
+    SELECT doc_id, source, n_bytes, round(rate, 6) AS rate, copies, copy,
+           {sql_h52(SEED, "'order'", "doc_id", "copy")} AS shuffle_key
+    FROM counted, unnest(range(1, copies + 1)) AS x(copy)
+    """,
+)
+def op7_poisson_mixing(spark, d):
+    """All documents replicated to equal byte shares of the sources, and shuffled."""
+    return poisson_mixture(read(spark, d, "documents"))
