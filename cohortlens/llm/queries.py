@@ -10,6 +10,7 @@ from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
 from cohortlens.llm.mixing import SEED, poisson_mixture
 from cohortlens.llm.packing import best_fit_packing
+from cohortlens.llm.sharding import histogram_shards
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tokencount import token_counts
 from cohortlens.session import ensure_checkpoint_dir
@@ -95,3 +96,9 @@ def op2_simhash_near_dedup(spark, d):
 def op7_poisson_mixing(spark, d):
     """All documents replicated to equal byte shares of the sources, and shuffled."""
     return poisson_mixture(read(spark, d, "documents"))
+
+
+@query("op5_histogram_sharding")
+def op5_histogram_sharding(spark, d):
+    """All documents in 40 shards of near equal bytes."""
+    return histogram_shards(read(spark, d, "documents"), shards=40)
