@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.functions.hashing import sql_h52, sql_uniform
 from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
+from cohortlens.llm.hostrules import judge
 from cohortlens.llm.mixing import SEED, poisson_mixture
 from cohortlens.llm.packing import best_fit_packing
 from cohortlens.llm.sharding import histogram_shards
@@ -102,3 +103,46 @@ def op7_poisson_mixing(spark, d):
 def op5_histogram_sharding(spark, d):
     """All documents in 40 shards of near equal bytes."""
     return histogram_shards(read(spark, d, "documents"), shards=40)
+
+
+@query(
+    "op6_host_rules",
+    """
+    WITH w AS (
+        SELECT rowid_ AS r, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM (
+            SELECT row_number() OVER () AS rowid_, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents)),
+    d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+    g AS (
+        SELECT r, i, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN
+            concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) END AS gram
+        FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+    twice AS (SELECT r, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY r, gram) > 1 AS dup FROM g),
+    covered AS (SELECT r, max(dup::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM twice),
+    rep AS (SELECT r, sum(c) AS n_repeat_words FROM covered GROUP BY r),
+    words AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY r),
+    lines AS (
+        SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+    f AS (
+        SELECT d.doc_id, d.source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+               length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+               coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+        FROM d LEFT JOIN words USING (r) LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)),
+    t AS (
+        SELECT *, n_words < 10 AS f1, 100 * n_repeat_words > 20 * n_words AS f2, 10 * n_symbols > word_chars AS f3,
+               100 * n_dup_lines > 30 * n_lines AS f4 FROM f),
+    h AS (
+        SELECT source, count(*)::DOUBLE AS n, [sum(f1::INT), sum(f2::INT), sum(f3::INT), sum(f4::INT)]::DOUBLE[] AS ks
+        FROM t GROUP BY source),
+    k AS (SELECT source, n, unnest(ks) AS k, unnest([1, 2, 3, 4]) AS rule FROM h),
+    mv AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM k GROUP BY rule),
+    s AS (SELECT rule, m, CASE WHEN v <= 1e-12 THEN 1e6 ELSE least(1e6, greatest(0, m * (1 - m) / v - 1)) END AS s FROM mv),
+    host AS (SELECT source, max((k + m * s) / (n + s)) AS host_rate FROM k JOIN s USING (rule) GROUP BY source)
+    SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+           f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT (host_rate > 0.5) AS kept, round(host_rate, 6) AS host_rate
+    FROM t JOIN host ON t.source IS NOT DISTINCT FROM host.source
+    """,
+)
+def op6_host_rules(spark, d):
+    """Rules on all documents, failure rates per host, and host verdicts."""
+    return judge(read(spark, d, "documents"))
