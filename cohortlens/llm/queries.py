@@ -9,6 +9,7 @@ from cohortlens.functions.hashing import sql_h52, sql_uniform
 from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
 from cohortlens.llm.hostrules import judge
+from cohortlens.llm.langid import identify_languages
 from cohortlens.llm.mixing import SEED, poisson_mixture
 from cohortlens.llm.packing import best_fit_packing
 from cohortlens.llm.sharding import histogram_shards
@@ -146,3 +147,9 @@ def op5_histogram_sharding(spark, d):
 def op6_host_rules(spark, d):
     """Rules on all documents, failure rates per host, and host verdicts."""
     return judge(read(spark, d, "documents"))
+
+
+@query("op1_language_id")
+def op1_language_id(spark, d):
+    """Language of every whole text by character models learned from two thirds of the documents."""
+    return identify_languages(read(spark, d, "documents"))
