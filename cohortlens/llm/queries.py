@@ -15,6 +15,7 @@ from cohortlens.llm.packing import best_fit_packing
 from cohortlens.llm.sharding import histogram_shards
 from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.tokencount import token_counts
+from cohortlens.llm.toxicity import toxicity
 from cohortlens.session import ensure_checkpoint_dir
 
 QUERIES = {}
@@ -153,3 +154,9 @@ def op6_host_rules(spark, d):
 def op1_language_id(spark, d):
     """Language of every whole text by character models learned from two thirds of the documents."""
     return identify_languages(read(spark, d, "documents"))
+
+
+@query("op9_toxicity_chain")
+def op9_toxicity_chain(spark, d):
+    """Toxicity of every document by a classifier chain fitted on labelled rows."""
+    return toxicity(read(spark, d, "documents"), read(spark, d, "labels"))
