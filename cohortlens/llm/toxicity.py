@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=None, train_rows: int = T
     sample = rows.select(*ordered).mapInArrow(keep, f"fold int, {kinds}, form array<double>, features array<bigint>").collect()
     sample.sort(key=lambda r: (r["fold"], tuple(r["features"]), tuple(r["form"])))
     fold = np.array([r["fold"] for r in sample], np.int64)
-    dense = np.array([r["form"] for r in sample], float).reshape(len(sample), -1)
+    dense = np.array([r["form"] for r in sample], float).reshape(len(sample), 2)
     lengths = [len(r["features"]) for r in sample]
     row = np.repeat(np.arange(len(sample)), lengths)
     col = np.array([f for r in sample for f in r["features"]], np.int64)
