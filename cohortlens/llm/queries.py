@@ -14,6 +14,7 @@ from cohortlens.llm.mixing import SEED, poisson_mixture
 from cohortlens.llm.packing import best_fit_packing
 from cohortlens.llm.sharding import histogram_shards
 from cohortlens.llm.simhash import near_duplicates
+from cohortlens.llm.template import main_texts
 from cohortlens.llm.tokencount import token_counts
 from cohortlens.llm.toxicity import toxicity
 from cohortlens.session import ensure_checkpoint_dir
@@ -160,3 +161,9 @@ def op1_language_id(spark, d):
 def op9_toxicity_chain(spark, d):
     """Toxicity of every document by a classifier chain fitted on labelled rows."""
     return toxicity(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+@query("op10_template_extraction")
+def op10_template_extraction(spark, d):
+    """Main text of all pages through their hosts' templates."""
+    return main_texts(read(spark, d, "pages"))
