@@ -8,4 +8,4 @@ from cohortlens.functions.exprs import (  # noqa: F401
     round_doubles,
     safe_div,
 )
-from cohortlens.functions.hashing import h52, md5_sign, uniform  # noqa: F401
+from cohortlens.functions.hashing import h52, uniform  # noqa: F401

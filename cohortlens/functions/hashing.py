@@ -31,11 +31,6 @@ def uniform(seed, *parts) -> Column:
     return h52(seed, *parts) / F.lit(TWO_52)
 
 
-def md5_sign(seed, *parts) -> Column:
-    """+1 / -1 with probability 1/2 each: first hex digit below '8'."""
-    return F.when(F.substring(F.md5(_key(seed, *parts)), 1, 1) < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def sql_h52(seed_sql: str, *parts_sql: str) -> str:
     """The same hash as an ANSI/DuckDB SQL expression (for oracles)."""
     inner = " || ':' || ".join([f"CAST({seed_sql} AS VARCHAR)"] + [f"CAST({p} AS VARCHAR)" for p in parts_sql])
@@ -44,8 +39,3 @@ def sql_h52(seed_sql: str, *parts_sql: str) -> str:
 
 def sql_uniform(seed_sql: str, *parts_sql: str) -> str:
     return f"({sql_h52(seed_sql, *parts_sql)} / 4503599627370496.0)"
-
-
-def sql_md5_sign(seed_sql: str, *parts_sql: str) -> str:
-    inner = " || ':' || ".join([f"CAST({seed_sql} AS VARCHAR)"] + [f"CAST({p} AS VARCHAR)" for p in parts_sql])
-    return f"(CASE WHEN substr(md5({inner}), 1, 1) < '8' THEN 1.0 ELSE -1.0 END)"

@@ -5,7 +5,7 @@ weights (partial/final aggregate, so a value held by a third of the rows
 is one row afterwards), cuts the value range into buckets at approximate
 quantiles (only balance depends on them, never the result), takes a
 running sum inside each bucket (one window per bucket) and adds the
-bucket offsets, a table of at most ``buckets`` rows joined by broadcast.
+bucket offsets, a table of at most ``buckets`` rows per group.
 
 Everything that needs order statistics builds on it: KS distance, ROC
 AUC by Mann-Whitney, mid-ranks for Spearman, Cliff's delta.
@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.exprs import safe_div
+
 
 def _n_buckets(df: DataFrame, buckets: int | None) -> int:
     if buckets:
@@ -53,7 +55,7 @@ def value_prefix(df: DataFrame, value_col: str, weights: dict, *, group_cols: tu
     offs = tot.select(*g, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(wo), F.lit(0)).alias(f"_o_{n}") for n in weights])
     wl = Window.partitionBy(*g, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     local = agg.select(*g, "_b", "_v", *weights, *[F.sum(n).over(wl).alias(f"_l_{n}") for n in weights])
-    out = local.join(F.broadcast(offs), [*g, "_b"], "inner")
+    out = local.join(offs, [*g, "_b"], "inner")  # AQE broadcasts by measured size
     return out.select(
         *g, F.col("_v").alias("value"), *weights,
         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in weights],
@@ -61,10 +63,10 @@ def value_prefix(df: DataFrame, value_col: str, weights: dict, *, group_cols: tu
 
 
 def _attach(df: DataFrame, totals: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Add per-group totals: broadcast join on the (few) groups, or scalar
-    subqueries when there are no groups."""
+    """Add per-group totals: a join on the groups (AQE broadcasts by measured
+    size), or scalar subqueries when there are no groups."""
     if group_cols:
-        return df.join(F.broadcast(totals), group_cols, "inner")
+        return df.join(totals, group_cols, "inner")
     return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
 
 
@@ -75,7 +77,8 @@ def ks_statistic(a: DataFrame, b: DataFrame, value_col: str, *, group_cols: tupl
     pre = value_prefix(both, value_col, {"na": (F.col("_s") == 1).cast("long"), "nb": (F.col("_s") == 2).cast("long")}, group_cols=group_cols)
     tot = pre.groupBy(*g).agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"))
     j = _attach(pre, tot, g)
-    d = F.abs(F.col("cum_na") / F.col("n_a") - F.col("cum_nb") / F.col("n_b"))
+    # a side without values has no distribution: NULL
+    d = F.abs(safe_div(F.col("cum_na"), F.col("n_a")) - safe_div(F.col("cum_nb"), F.col("n_b")))
     return j.groupBy(*g).agg(F.max(d).alias("ks"))
 
 
@@ -123,108 +126,47 @@ def cliff_counts(a: DataFrame, b: DataFrame, value_col: str, *, group_cols: tupl
     )
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], *, accuracy: int = 100000) -> list[float | None]:
-    """Exact percentiles (linear interpolation between order statistics, as
-    numpy's default) without holding the column in one task.
+def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], *, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles per group, interpolated linearly between order
+    statistics (numpy's default): columns ``q0, q1, ...`` in the order of ``probs``.
 
-    An approximate quantile pass brackets each needed order statistic
-    (rank error <= n / accuracy); then one pass counts the rows below the
-    lowest bracket and gathers the *distinct* values inside the brackets
-    with their counts, a list bounded by the bracket width, not by n.
+    Ranks are looked up in the prefix sums of the distinct values, so only
+    the rows that hold a wanted rank (two per group and probability) meet
+    in the final aggregate; nothing else leaves its task.  NULL and NaN are
+    no values; a group without values does not appear.
     """
-    x = F.col(col).cast("double")
-    base = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    n = base.count()
-    if n == 0:
-        return [None for _ in probs]
-    ranks = set()
-    for p in probs:
-        pos = p * (n - 1)
-        lo = int(pos)
-        ranks.update({lo, min(lo + 1, n - 1)})
-    need = sorted(ranks)
-    order_stat: dict = {}
-    for widen in (1.0, 16.0, 256.0):
-        slack = widen * (2.0 / accuracy + 1.0 / n)
-        qp = sorted({min(1.0, max(0.0, r / max(n - 1, 1) + s)) for r in ranks for s in (-slack, slack)})
-        approx = base.agg(F.percentile_approx("_x", qp, accuracy).alias("q")).first()["q"]
-        lo_v, hi_v = min(approx), max(approx)
-        below = base.where(F.col("_x") < F.lit(lo_v)).count()
-        inside = (base.where((F.col("_x") >= F.lit(lo_v)) & (F.col("_x") <= F.lit(hi_v)))
-                  .groupBy("_x").count().orderBy("_x").collect())
-        order_stat, cum = {}, below
-        for row in inside:
-            c = int(row["count"])
-            for r in need:
-                if cum <= r < cum + c:
-                    order_stat[r] = row["_x"]
-            cum += c
-        if len(order_stat) == len(need):
-            break
-    else:
-        raise RuntimeError(f"exact_percentiles: brackets missed ranks of {col}")
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo = int(pos)
-        hi = min(lo + 1, n - 1)
-        frac = pos - lo
-        a, b = order_stat[lo], order_stat[hi]
-        out.append(a + (b - a) * frac)
-    return out
-
-
-def exact_percentiles_multi(df: DataFrame, cols, probs: list[float], *, accuracy: int = 100000) -> dict:
-    """``exact_percentiles`` for many columns in three passes in total:
-    counts + approximate brackets, rows below each bracket, and the
-    distinct in-bracket values of all columns (one unpivoted aggregate)."""
+    g = list(group_cols)
+    x = df.select(*g, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    pre = value_prefix(x, "_x", {"c": F.lit(1).cast("long")}, group_cols=group_cols)
+    sizes = pre.groupBy(*g).agg(F.sum("c").alias("_n"))
+    j = pre.join(sizes, g, "inner") if g else pre.select("*", sizes.select("_n").scalar().alias("_n"))
+    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    first = F.col("cum_c") - F.col("c")
+    holds = lambda r: (first <= r) & (r < F.col("cum_c"))
+    wanted = F.lit(False)
+    for p in pos:
+        wanted = wanted | holds(F.floor(p)) | holds(F.ceil(p))
+    aggs = []
+    for i, p in enumerate(pos):
+        low = F.max(F.when(holds(F.floor(p)), F.col("value")))
+        high = F.max(F.when(holds(F.ceil(p)), F.col("value")))
+        share = F.max(p - F.floor(p))
+        aggs.append((low + (high - low) * share).alias(f"q{i}"))
+    return j.where(wanted).groupBy(*g).agg(*aggs)
+
+
+def exact_percentiles_multi(df: DataFrame, cols, probs: list[float]) -> dict:
+    """``{column: quantiles}`` of many columns in one pass over the unpivoted
+    columns; to the driver go columns x probabilities numbers.  A column
+    without values has None throughout."""
     cols = list(cols)
     if not cols:
         return {}
-    xs = {c: F.col(c).cast("double") for c in cols}
-    valid = {c: xs[c].isNotNull() & ~F.isnan(xs[c]) for c in cols}
-    ns = df.agg(*[F.count_if(valid[c]).alias(c) for c in cols]).first()
-    ranks, qps = {}, {}
-    for c in cols:
-        n = ns[c]
-        rk = set()
-        for p in probs:
-            pos = p * (n - 1) if n else 0
-            lo = int(pos)
-            rk.update({lo, min(lo + 1, max(n - 1, 0))})
-        ranks[c] = sorted(rk)
-        slack = 2.0 / accuracy + 1.0 / max(n, 1)
-        qps[c] = sorted({min(1.0, max(0.0, r / max(n - 1, 1) + s)) for r in rk for s in (-slack, slack)})
-    live = [c for c in cols if ns[c]]
-    out = {c: [None for _ in probs] for c in cols if not ns[c]}
-    if not live:
-        return out
-    ap = df.agg(*[F.percentile_approx(F.when(valid[c], xs[c]), qps[c], accuracy).alias(c) for c in live]).first()
-    br = {c: (min(ap[c]), max(ap[c])) for c in live}
-    below = df.agg(*[F.count_if(valid[c] & (xs[c] < F.lit(br[c][0]))).alias(c) for c in live]).first()
-    arr = F.array(*[F.struct(F.lit(c).alias("c"), F.when(valid[c] & (xs[c] >= F.lit(br[c][0])) & (xs[c] <= F.lit(br[c][1])), xs[c]).alias("x"))
-                    for c in live])
-    inside = (df.select(F.explode(arr).alias("t")).where(F.col("t.x").isNotNull())
-              .groupBy(F.col("t.c").alias("c"), F.col("t.x").alias("x")).count().collect())
-    per = {}
-    for r in inside:
-        per.setdefault(r["c"], []).append((r["x"], int(r["count"])))
-    for c in live:
-        stat, cum = {}, below[c]
-        for x, cnt in sorted(per.get(c, [])):
-            for r in ranks[c]:
-                if cum <= r < cum + cnt:
-                    stat[r] = x
-            cum += cnt
-        if len(stat) < len(ranks[c]):  # bracket missed: fall back to the careful single-column path
-            out[c] = exact_percentiles(df, c, probs, accuracy=accuracy)
-            continue
-        n = ns[c]
-        vals = []
-        for p in probs:
-            pos = p * (n - 1)
-            lo = int(pos)
-            hi = min(lo + 1, n - 1)
-            vals.append(stat[lo] + (stat[hi] - stat[lo]) * (pos - lo))
-        out[c] = vals
-    return out
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "_column", "_value")
+    found = {r["_column"]: [r[f"q{i}"] for i in range(len(probs))] for r in exact_quantiles(long, "_value", probs, group_cols=("_column",)).collect()}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+    """Exact quantiles of one column."""
+    return exact_percentiles_multi(df, [col], probs)[col]

@@ -19,6 +19,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.exprs import safe_div
 from cohortlens.operators.dist import ks_statistic
 from cohortlens.roles import FeatureSpec
 
@@ -45,8 +46,8 @@ def tv_complement(real: DataFrame, syn: DataFrame, cols) -> DataFrame:
         _long_categorical(syn, cols).withColumn("_r", F.lit(0)))
     freq = both.groupBy("column_name", "value").agg(F.sum("_r").alias("na"), F.sum(F.lit(1) - F.col("_r")).alias("nb"))
     tot = freq.groupBy("column_name").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    j = freq.join(F.broadcast(tot), "column_name")
-    diff = F.abs(F.col("na") / F.col("ta") - F.col("nb") / F.col("tb"))
+    j = freq.join(tot, "column_name")
+    diff = F.abs(safe_div(F.col("na"), F.col("ta")) - safe_div(F.col("nb"), F.col("tb")))
     return j.groupBy("column_name").agg((F.lit(1.0) - F.lit(0.5) * F.sum(diff)).alias("score")).select(
         "column_name", F.lit("TVComplement").alias("metric"), "score")
 
@@ -109,8 +110,8 @@ def contingency_similarity(real: DataFrame, syn: DataFrame, spec: FeatureSpec) -
     both = joint(real, 1).unionByName(joint(syn, 0))
     freq = both.groupBy("p", "x", "y").agg(F.sum("_r").alias("na"), F.sum(F.lit(1) - F.col("_r")).alias("nb"))
     tot = freq.groupBy("p").agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    diff = F.abs(F.col("na") / F.col("ta") - F.col("nb") / F.col("tb"))
-    res = freq.join(F.broadcast(tot), "p").groupBy("p").agg((F.lit(1.0) - F.lit(0.5) * F.sum(diff)).alias("score"))
+    diff = F.abs(safe_div(F.col("na"), F.col("ta")) - safe_div(F.col("nb"), F.col("tb")))
+    res = freq.join(tot, "p").groupBy("p").agg((F.lit(1.0) - F.lit(0.5) * F.sum(diff)).alias("score"))
     names = real.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "p int, column_1 string, column_2 string")
     return res.join(F.broadcast(names), "p").select("column_1", "column_2", F.lit("ContingencySimilarity").alias("metric"), "score")
 

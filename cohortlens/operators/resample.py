@@ -1,124 +1,208 @@
 """Bootstrap intervals and paired permutation tests.
 
-Replicates are columns, not loops: each row is expanded into its
-replicate draws inside the scan stage (``explode(sequence)``), weighted,
-and folded by a partial aggregate before the shuffle, so the exchange
-carries (groups x replicates) partial sums whatever the row count.  Draws
-are functions of (seed, replicate, row key) -- a retried task redraws the
-same numbers, and an SQL engine with ``md5`` reproduces them.
+One engine.  Every random draw is cut from ``md5("seed:block:key")``: 128
+sign bits or four 32-bit uniforms per hash, so a draw is a function of
+(seed, replicate, row key) alone.  Results do not depend on partitions or
+row counts, a retried task redraws the same numbers, and any SQL engine with
+``md5`` recomputes them.  Tasks unpack the digests with numpy and fold their
+rows into one partial sum per (group, replicate); only those are shuffled.
 
 Bootstrap weights are Poisson(1) counts (the scalable form of resampling
-with replacement: each row is drawn k times with probability e^-1 / k!),
-read from one uniform per (replicate, row) by inverse CDF.
+with replacement), read from a 32-bit uniform by inverse CDF.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import cohens_label
-from cohortlens.functions.hashing import md5_sign, uniform
-from cohortlens.operators.dist import value_prefix
 
-
-def poisson1_cdf(kmax: int = 12) -> list[float]:
-    """P(K <= k) for K ~ Poisson(1), k = 0..kmax-1 (thresholds of the draw)."""
-    out, acc = [], 0.0
-    for k in range(kmax):
-        acc += math.exp(-1.0) / math.factorial(k)
-        out.append(acc)
-    return out
-
-
-def poisson_from_uniform(u: Column) -> Column:
-    """Poisson(1) count from a uniform: number of CDF thresholds below it."""
-    w = F.lit(0)
-    for t in poisson1_cdf():
-        w = w + F.when(u >= F.lit(t), F.lit(1)).otherwise(F.lit(0))
-    return w
-
-
-def _reps(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")
+SIGNS_PER_HASH = 128
+UNIFORMS_PER_HASH = 4
+#: P(K <= k) * 2^32 of K ~ Poisson(1), k = 0, 1, ... : the weight is the number of thresholds at or below the draw
+POISSON_THRESHOLDS = np.array([int(sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)], np.uint64)
+#: |replicate| counts as large as |observed| within this share (sums of equal terms differ by rounding only)
+TIE_SHARE = 1e-9
+ROW_CHUNK = 256
+ROWS_PER_BUCKET = 50_000
+GROUPS_PER_FLUSH = 512
+
+
+def _digests(keys, seed: int, blocks: int) -> np.ndarray:
+    """rows x (16 * blocks) bytes."""
+    heads = [f"{seed}:{b}:".encode() for b in range(blocks)]
+    md5 = hashlib.md5
+    raw = b"".join(md5(h + k).digest() for k in (str(x).encode() for x in keys) for h in heads)
+    return np.frombuffer(raw, np.uint8).reshape(len(keys), 16 * blocks)
+
+
+def sign_matrix(keys, seed: int, n: int) -> np.ndarray:
+    """rows x n of +1 / -1: the bits of the digests, highest first."""
+    bits = np.unpackbits(_digests(keys, seed, -(-n // SIGNS_PER_HASH)), axis=1)[:, :n]
+    return bits.astype(np.float64) * 2 - 1
+
+
+def weight_matrix(keys, seed: int, n: int) -> np.ndarray:
+    """rows x n Poisson(1) counts."""
+    draws = _digests(keys, seed, -(-n // UNIFORMS_PER_HASH)).view(">u4")[:, :n].astype(np.uint64)
+    return np.searchsorted(POISSON_THRESHOLDS, draws.ravel(), side="right").reshape(draws.shape).astype(np.float64)
+
+
+def _folded(df: DataFrame, g: list[str], n: int, names: list[str], kernel: Callable[[pd.DataFrame], list[np.ndarray]]) -> DataFrame:
+    """(groups, rep, names...): sums over all rows of what ``kernel`` gives per chunk of rows."""
+    kinds = "".join(f"{c} {t}, " for c, t in df.select(*g).dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+
+        def out():
+            for key, parts in sums.items():
+                yield pd.DataFrame({**{c: [v] * n for c, v in zip(g, key)}, "rep": np.arange(n, dtype=np.int32), **dict(zip(names, parts))})
+
+        for batch in batches:
+            for key, rows in batch.groupby(g, dropna=False, sort=False) if g else [((), batch)]:
+                key = tuple(None if pd.isna(k) else k for k in key)
+                parts = sums.setdefault(key, [np.zeros(n) for _ in names])
+                for a in range(0, len(rows), ROW_CHUNK):
+                    for total, part in zip(parts, kernel(rows.iloc[a : a + ROW_CHUNK])):
+                        total += part
+            if len(sums) > GROUPS_PER_FLUSH:
+                yield from out()
+                sums.clear()
+        yield from out()
+
+    doubles = ", ".join(f"{x} double" for x in names)
+    return df.mapInPandas(run, f"{kinds}rep int, {doubles}").groupBy(*g, "rep").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def _interval(per_rep: DataFrame, g: list[str], col: str, alpha: float) -> DataFrame:
+    return per_rep.where(F.col(col).isNotNull()).groupBy(*g).agg(
+        F.avg(col).alias("mean"),
+        F.percentile(col, alpha / 2).alias("ci_low"),
+        F.percentile(col, 1 - alpha / 2).alias("ci_high"),
+        F.count(F.lit(1)).cast("int").alias("n_bootstrap"),
+    )
 
 
-def n_boot_for(n_rows: int, n_boot: int) -> int:
-    """At most 500 replicates below 50 rows, as the source does."""
-    return min(n_boot, 500) if n_rows < 50 else n_boot
+def _group_join(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
+    if not g:
+        return a.select("*", *[b.select(c).scalar().alias(c) for c in b.columns])
+    other = b.select(*[F.col(c).alias(f"__{c}") for c in g], *[c for c in b.columns if c not in g])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in g]
+    return a.join(other, same, "inner").drop(*[f"__{c}" for c in g])
 
 
 def bootstrap_mean_ci(df: DataFrame, value_col: str, key_col: str, *, group_cols: tuple[str, ...] = (),
                       n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Percentile bootstrap interval of a mean, per group.
 
-    Returns (groups, mean, ci_low, ci_high, n_samples, n_bootstrap).
-    Quantiles interpolate linearly between order statistics.
+    ``key_col`` must identify a row within its group.  Returns (groups, mean,
+    ci_low, ci_high, n_samples, n_bootstrap); quantiles interpolate linearly.
     """
     g = list(group_cols)
-    base = df.select(*g, F.col(key_col).alias("_k"), F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    base = df.select(*g, F.col(key_col).cast("string").alias("_k"), F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_samples"))
-    n_min = sizes.agg(F.min("n_samples")).first()[0] or 0
-    b = n_boot_for(n_min, n_boot)
-    rep = base.select(*g, "_k", "_x", _reps(b)).select(*g, "rep", "_x", uniform(seed, F.col("rep"), F.col("_k")).alias("_u"))
-    w = poisson_from_uniform(F.col("_u"))
-    per_rep = rep.select(*g, "rep", "_x", w.alias("_w")).groupBy(*g, "rep").agg(
-        (F.sum(F.col("_w") * F.col("_x")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))
-    ci = per_rep.groupBy(*g).agg(
-        F.avg("_m").alias("mean"),
-        F.percentile("_m", alpha / 2).alias("ci_low"),
-        F.percentile("_m", 1 - alpha / 2).alias("ci_high"),
-    )
-    out = ci.join(sizes, g, "inner") if g else ci.select("*", sizes.select("n_samples").scalar().alias("n_samples"))
-    return out.withColumn("n_bootstrap", F.lit(b))
+
+    def kernel(rows: pd.DataFrame):
+        w = weight_matrix(rows["_k"], seed, n_boot)
+        return [w.sum(axis=0), rows["_x"].to_numpy() @ w]
+
+    per_rep = _folded(base, g, n_boot, ["_w", "_wx"], kernel).withColumn("_m", F.col("_wx") / F.nullif(F.col("_w"), F.lit(0.0)))
+    return _group_join(_interval(per_rep, g, "_m", alpha), sizes, g).select(*g, "mean", "ci_low", "ci_high", "n_samples", "n_bootstrap")
 
 
 def bootstrap_auc_ci(scored: DataFrame, score_col: str, label_col: str, key_col: str, *, group_cols: tuple[str, ...] = (),
                      n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Bootstrap interval of ROC AUC.  Each replicate is a weighted
-    Mann-Whitney AUC over (replicate, score) prefix sums; replicates with a
-    single class give NULL and are skipped."""
+    """Bootstrap interval of ROC AUC (ties count 1/2), per group.
+
+    Scores are cut into ranges of about ``ROWS_PER_BUCKET`` rows; a score that
+    fills a range by itself gets one of its own, whose rows need not meet.
+    Every range gives (positive, negative, U) weights per replicate, and a
+    running sum over ranges adds the pairs between them, so the result does
+    not depend on the ranges.  Replicates with a single class are skipped.
+    """
     g = list(group_cols)
-    base = scored.select(*g, F.col(key_col).alias("_k"), F.col(score_col).cast("double").alias("_s"), F.col(label_col).alias("_y"))
-    rep = base.select(*g, "_k", "_s", "_y", _reps(n_boot)).select(*g, "rep", "_s", "_y", uniform(seed, F.col("rep"), F.col("_k")).alias("_u"))
-    w = poisson_from_uniform(F.col("_u"))
-    weighted = rep.select(*g, "rep", "_s", (F.when(F.col("_y") == 1, w).otherwise(0)).alias("_wp"),
-                          (F.when(F.col("_y") == 1, 0).otherwise(w)).alias("_wn"))
-    pre = value_prefix(weighted, "_s", {"pos": F.col("_wp"), "neg": F.col("_wn")}, group_cols=(*g, "rep"))
-    u = F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") * F.lit(0.5))
-    per_rep = pre.groupBy(*g, "rep").agg(
-        (F.sum(u) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("_a"))
-    return per_rep.where(F.col("_a").isNotNull()).groupBy(*g).agg(
-        F.avg("_a").alias("mean"),
-        F.percentile("_a", alpha / 2).alias("ci_low"),
-        F.percentile("_a", 1 - alpha / 2).alias("ci_high"),
-        F.count(F.lit(1)).alias("n_bootstrap"),
-    )
+    base = scored.select(*g, F.col(key_col).cast("string").alias("_k"), F.col(score_col).cast("double").alias("_s"),
+                         (F.col(label_col) == 1).cast("int").alias("_y")).where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
+    n = base.count()
+    parts = -(-n // ROWS_PER_BUCKET) * 2
+    cuts = base.agg(F.percentile_approx("_s", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()["q"] or [] if n else []
+    hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    edges = sorted({*cuts, *(float(np.nextafter(v, np.inf)) for v in hot)})
+    if edges:
+        splits = [float("-inf"), *edges, float("inf")]
+        base = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(base)
+        alone = F.col("_b").isin([float(splits.index(v)) for v in hot])
+    else:
+        base, alone = base.withColumn("_b", F.lit(0.0)), F.lit(False)
+
+    def sums(rows: pd.DataFrame):
+        w = weight_matrix(rows["_k"], seed, n_boot)
+        y = rows["_y"].to_numpy(dtype=np.float64)
+        return [y @ w, (1 - y) @ w]
+
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_s", kind="stable")
+        pos, neg, u = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+        open_score, open_p, open_n = None, np.zeros((1, n_boot)), np.zeros((1, n_boot))  # the score not yet left behind
+        for a in range(0, len(rows), ROW_CHUNK):
+            part = rows.iloc[a : a + ROW_CHUNK]
+            scores = part["_s"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
+            w, y = weight_matrix(part["_k"], seed, n_boot), part["_y"].to_numpy(dtype=np.float64)[:, None]
+            p, q = np.add.reduceat(w * y, starts), np.add.reduceat(w * (1 - y), starts)
+            if scores[0] == open_score:
+                p[0], q[0] = p[0] + open_p[0], q[0] + open_n[0]
+            elif open_score is not None:
+                p, q = np.vstack([open_p, p]), np.vstack([open_n, q])
+            open_score, open_p, open_n = scores[-1], p[-1:], q[-1:]
+            p, q = p[:-1], q[:-1]
+            below = neg + np.cumsum(q, axis=0) - q
+            u += (p * (below + q / 2)).sum(axis=0)
+            pos, neg = pos + p.sum(axis=0), neg + q.sum(axis=0)
+        u += open_p[0] * (neg + open_n[0] / 2)
+        pos, neg = pos + open_p[0], neg + open_n[0]
+        first = rows.iloc[0]
+        return pd.DataFrame({**{c: [first[c]] * n_boot for c in [*g, "_b"]}, "rep": np.arange(n_boot, dtype=np.int32), "_p": pos, "_n": neg, "_u": u})
+
+    kinds = "".join(f"{c} {t}, " for c, t in base.select(*g, "_b").dtypes)
+    inner = base.where(~alone).groupBy(*g, "_b").applyInPandas(ordered, f"{kinds}rep int, _p double, _n double, _u double")
+    single = _folded(base.where(alone), [*g, "_b"], n_boot, ["_p", "_n"], sums).withColumn("_u", F.col("_p") * F.col("_n") / 2)
+    ranges = inner.unionByName(single.select(*inner.columns))
+    before = Window.partitionBy(*g, "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    total = ranges.withColumn("_u", F.col("_u") + F.col("_p") * F.coalesce(F.sum("_n").over(before), F.lit(0.0)))
+    per_rep = total.groupBy(*g, "rep").agg((F.sum("_u") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("_a"))
+    return _interval(per_rep, g, "_a", alpha)
 
 
 def paired_permutation_test(pairs: DataFrame, a_col: str, b_col: str, key_col: str, *, group_cols: tuple[str, ...] = (),
                             n_perm: int = 10000, seed: int = 0) -> DataFrame:
     """E15 + E16 + E17: sign-flip test of mean(a - b) per group.
 
-    p = share of replicates with |sum(sign * d)| >= |sum(d)| (two-sided,
-    can be 0); Cohen's d of the paired differences (0 when their sd is 0).
+    p = share of replicates with |sum(sign * d)| >= |sum(d)| (two-sided, can
+    be 0; equal up to ``TIE_SHARE`` counts); Cohen's d of the paired
+    differences (0 when their sd is 0).
     """
     g = list(group_cols)
-    d = pairs.select(*g, F.col(key_col).alias("_k"), (F.col(a_col) - F.col(b_col)).cast("double").alias("_d")).where(F.col("_d").isNotNull())
+    d = pairs.select(*g, F.col(key_col).cast("string").alias("_k"), (F.col(a_col) - F.col(b_col)).cast("double").alias("_d")).where(F.col("_d").isNotNull())
     sd = F.stddev_samp("_d")
     obs = d.groupBy(*g).agg(
         F.sum("_d").alias("_sum"), F.avg("_d").alias("mean_diff"), F.count(F.lit(1)).alias("n"),
         F.when(sd == 0, F.lit(0.0)).otherwise(F.avg("_d") / sd).alias("cohens_d"),
     )
-    flips = d.select(*g, "_k", "_d", _reps(n_perm)).groupBy(*g, "rep").agg(
-        F.sum(md5_sign(seed, F.col("rep"), F.col("_k")) * F.col("_d")).alias("_s"))
-    j = flips.join(obs.select(*g, "_sum"), g, "inner") if g else flips.select("*", obs.select("_sum").scalar().alias("_sum"))
-    p = j.groupBy(*g).agg(F.avg((F.abs("_s") >= F.abs("_sum")).cast("double")).alias("p_value"))
-    out = obs.join(p, g, "inner") if g else obs.select("*", p.select("p_value").scalar().alias("p_value"))
-    return out.select(*g, "p_value", "mean_diff", "cohens_d", cohens_label(F.col("cohens_d")).alias("effect_interpretation"),
-                      "n", F.lit(n_perm).alias("n_permutations"))
+    flips = _folded(d, g, n_perm, ["_s"], lambda rows: [rows["_d"].to_numpy() @ sign_matrix(rows["_k"], seed, n_perm)])
+    large = F.abs("_s") >= F.abs("_sum") * F.lit(1 - TIE_SHARE)
+    p = _group_join(flips, obs.select(*g, "_sum"), g).groupBy(*g).agg(F.avg(large.cast("double")).alias("p_value"))
+    return _group_join(obs, p, g).select(*g, "p_value", "mean_diff", "cohens_d", cohens_label(F.col("cohens_d")).alias("effect_interpretation"),
+                                         "n", F.lit(n_perm).alias("n_permutations"))
 
 
 def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -126,106 +210,3 @@ def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     n = tests.agg(F.count(F.lit(1))).scalar()
     a = F.lit(alpha) / n
     return tests.select("*", n.alias("n_tests"), a.alias("alpha_corrected"), (F.col("p_value") < a).alias("significant"))
-
-
-# ----------------------------------------------------------------- bucketed engine
-# The md5 form above is portable (any SQL engine recomputes it) but costs a
-# hash per (replicate, row).  The bucketed form draws the same kind of
-# randomness with numpy: rows go to fixed hash buckets, each bucket sorts
-# its rows by key and seeds its generator with (seed, group, bucket), so a
-# retried task redraws identical numbers; every bucket returns one partial
-# sum per replicate and the shuffle carries groups x buckets x replicates
-# values, independent of the row count.
-ROWS_PER_BUCKET = 200000
-ROW_CHUNK = 4096
-
-
-def _n_buckets(df: DataFrame, rows: int) -> int:
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(base, -(-rows // ROWS_PER_BUCKET))
-
-
-def _bucketed(df: DataFrame, g: list, key: str, buckets: int) -> DataFrame:
-    gh = F.xxhash64(*[F.col(c) for c in g]) if g else F.lit(0).cast("long")
-    return df.withColumn("_gh", gh).withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
-
-
-def permutation_test_bucketed(pairs: DataFrame, a_col: str, b_col: str, key_col: str, *, group_cols: tuple[str, ...] = (),
-                              n_perm: int = 10000, seed: int = 0) -> DataFrame:
-    """E15 with numpy sign matrices per hash bucket (same output as
-    ``paired_permutation_test``; p agrees in distribution, not bitwise)."""
-    import numpy as np
-    import pandas as pd
-
-    g = list(group_cols)
-    d = pairs.select(*g, F.col(key_col).alias("_k"), (F.col(a_col) - F.col(b_col)).cast("double").alias("_d")).where(F.col("_d").isNotNull())
-    B = _n_buckets(d, d.count())
-    db = _bucketed(d, g, "_k", B)
-    gschema = ", ".join(f"{c} {t}" for c, t in db.select(*g).dtypes)
-    schema = (gschema + ", " if g else "") + "rep int, _s double"
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k", kind="mergesort")
-        rng = np.random.default_rng([seed, int(pdf["_gh"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, int(pdf["_b"].iloc[0])])
-        x = pdf["_d"].to_numpy(dtype=np.float64)
-        s = np.zeros(n_perm)
-        for i in range(0, len(x), ROW_CHUNK):
-            xc = x[i:i + ROW_CHUNK]
-            signs = rng.integers(0, 2, size=(n_perm, len(xc)), dtype=np.int8) * 2 - 1
-            s += signs @ xc
-        out = pd.DataFrame({"rep": np.arange(n_perm, dtype=np.int32), "_s": s})
-        for c in g:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out[[*g, "rep", "_s"]]
-
-    flips = db.groupBy(*g, "_gh", "_b").applyInPandas(part, schema).groupBy(*g, "rep").agg(F.sum("_s").alias("_s"))
-    sd = F.stddev_samp("_d")
-    obs = d.groupBy(*g).agg(
-        F.sum("_d").alias("_sum"), F.avg("_d").alias("mean_diff"), F.count(F.lit(1)).alias("n"),
-        F.when(sd == 0, F.lit(0.0)).otherwise(F.avg("_d") / sd).alias("cohens_d"))
-    j = flips.join(obs.select(*g, "_sum"), g, "inner") if g else flips.select("*", obs.select("_sum").scalar().alias("_sum"))
-    p = j.groupBy(*g).agg(F.avg((F.abs("_s") >= F.abs("_sum") * F.lit(1 - 1e-12)).cast("double")).alias("p_value"))
-    out = obs.join(p, g, "inner") if g else obs.select("*", p.select("p_value").scalar().alias("p_value"))
-    return out.select(*g, "p_value", "mean_diff", "cohens_d", cohens_label(F.col("cohens_d")).alias("effect_interpretation"),
-                      "n", F.lit(n_perm).alias("n_permutations"))
-
-
-def bootstrap_mean_ci_bucketed(df: DataFrame, value_col: str, key_col: str, *, group_cols: tuple[str, ...] = (),
-                               n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """E11 with numpy Poisson(1) weights per hash bucket."""
-    import numpy as np
-    import pandas as pd
-
-    g = list(group_cols)
-    base = df.select(*g, F.col(key_col).alias("_k"), F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_samples")).checkpoint(eager=True)
-    agg = sizes.agg(F.min("n_samples"), F.sum("n_samples")).first()
-    b = n_boot_for(agg[0] or 0, n_boot)
-    B = _n_buckets(base, agg[1] or 0)
-    db = _bucketed(base, g, "_k", B)
-    gschema = ", ".join(f"{c} {t}" for c, t in db.select(*g).dtypes)
-    schema = (gschema + ", " if g else "") + "rep int, _sw double, _swx double"
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k", kind="mergesort")
-        rng = np.random.default_rng([seed, int(pdf["_gh"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, int(pdf["_b"].iloc[0])])
-        x = pdf["_x"].to_numpy(dtype=np.float64)
-        sw, swx = np.zeros(b), np.zeros(b)
-        for i in range(0, len(x), ROW_CHUNK):
-            xc = x[i:i + ROW_CHUNK]
-            w = rng.poisson(1.0, size=(b, len(xc))).astype(np.float64)
-            sw += w.sum(axis=1)
-            swx += w @ xc
-        out = pd.DataFrame({"rep": np.arange(b, dtype=np.int32), "_sw": sw, "_swx": swx})
-        for c in g:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out[[*g, "rep", "_sw", "_swx"]]
-
-    per_rep = db.groupBy(*g, "_gh", "_b").applyInPandas(part, schema).groupBy(*g, "rep").agg(
-        (F.sum("_swx") / F.nullif(F.sum("_sw"), F.lit(0.0))).alias("_m"))
-    ci = per_rep.groupBy(*g).agg(
-        F.avg("_m").alias("mean"),
-        F.percentile("_m", alpha / 2).alias("ci_low"),
-        F.percentile("_m", 1 - alpha / 2).alias("ci_high"))
-    out = ci.join(sizes, g, "inner") if g else ci.select("*", sizes.select("n_samples").scalar().alias("n_samples"))
-    return out.withColumn("n_bootstrap", F.lit(b))

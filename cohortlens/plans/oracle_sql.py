@@ -309,38 +309,45 @@ def q_baseline_losses() -> str:
     return rounded(f"{_losses_cte()} SELECT * FROM losses", ["score", "label", "loss"])
 
 
-def _md5_sign(seed: str, rep: str, key: str) -> str:
-    return f"(CASE WHEN substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({rep} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 1) < '8' THEN 1.0 ELSE -1.0 END)"
+# P(K <= k) * 2^32 of K ~ Poisson(1), k = 0 .. 11, rounded down.
+POISSON1 = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291,
+            4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292]
 
 
-def _uniform(seed: str, rep: str, key: str) -> str:
-    return (f"(CAST(('0x' || substr(md5(CAST({seed} AS VARCHAR) || ':' || CAST({rep} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 13)) AS BIGINT)"
-            f" / 4503599627370496.0)")
+def _weights(source: str, n_boot: int, seed: int, cols: str) -> str:
+    """``cols`` of ``source`` (with row_id) with rep and its Poisson(1) weight w: four 32-bit draws per md5."""
+    u = "CAST(('0x' || substr(h, (rep % 4) * 8 + 1, 8)) AS BIGINT)"
+    w = " + ".join(f"(CASE WHEN {u} >= {t} THEN 1 ELSE 0 END)" for t in POISSON1)
+    return (f"SELECT {cols}, rep, {w} AS w FROM (SELECT {cols}, blk, md5('{seed}:' || blk || ':' || row_id) AS h FROM {source}, "
+            f"(SELECT range AS blk FROM range({-(-n_boot // 4)})) AS b) AS hs JOIN (SELECT range AS rep FROM range({n_boot})) AS r ON rep // 4 = blk")
 
 
-def _poisson_sql(u: str) -> str:
-    from cohortlens.operators.resample import poisson1_cdf
-
-    return "(" + " + ".join(f"(CASE WHEN {u} >= {t!r} THEN 1 ELSE 0 END)" for t in poisson1_cdf()) + ")"
+def _tests_from(pairs: str, groups: str, n_perm: int = 10000, seed: int = 0) -> str:
+    """CTEs ending in ``tests``: sign-flip tests of ``pairs`` (row_id, groups, d); 128 sign bits per md5."""
+    on = " AND ".join(f"x.{c.strip()} = obs.{c.strip()}" for c in groups.split(","))
+    sel = ", ".join(f"obs.{c.strip()}" for c in groups.split(","))
+    bit = "((strpos('0123456789abcdef', substr(h, (rep % 128) // 4 + 1, 1)) - 1) >> (3 - rep % 4)) & 1"
+    return f"""
+hs AS (SELECT {groups}, d, blk, md5('{seed}:' || blk || ':' || row_id) AS h FROM {pairs}, (SELECT range AS blk FROM range({-(-n_perm // 128)})) AS b),
+obs AS (SELECT {groups}, sum(d) AS s, avg(d) AS mean_diff, count(*) AS n,
+               CASE WHEN stddev_samp(d) = 0 THEN 0.0 ELSE avg(d) / stddev_samp(d) END AS cohens_d FROM {pairs} GROUP BY {groups}),
+fl AS (SELECT {groups}, rep, sum(CASE WHEN {bit} = 1 THEN d ELSE -d END) AS s
+       FROM hs JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range({n_perm})) AS r ON rep // 128 = blk GROUP BY {groups}, rep),
+tests AS (
+SELECT {sel}, avg(CASE WHEN abs(x.s) >= abs(obs.s) * (1 - 1e-9) THEN 1.0 ELSE 0.0 END) AS p_value, any_value(mean_diff) AS mean_diff,
+  any_value(cohens_d) AS cohens_d,
+  any_value(CASE WHEN cohens_d IS NULL THEN 'undefined' WHEN abs(cohens_d) < 0.2 THEN 'negligible' WHEN abs(cohens_d) < 0.5 THEN 'small'
+       WHEN abs(cohens_d) < 0.8 THEN 'medium' ELSE 'large' END) AS effect_interpretation,
+  any_value(n) AS n, {n_perm} AS n_permutations
+FROM fl x JOIN obs ON {on} GROUP BY {sel})"""
 
 
-def _perm_sql(n_perm: int = 10000, seed: int = 0) -> str:
+def _perm_sql() -> str:
     return f"""{_losses_cte()},
 pr AS (SELECT a.row_id, a.task, a.loss - b.loss AS d
        FROM (SELECT * FROM losses WHERE model = 'global') a
        JOIN (SELECT * FROM losses WHERE model = 'group') b ON a.row_id = b.row_id AND a.task = b.task),
-obs AS (SELECT task, sum(d) AS s, avg(d) AS mean_diff, count(*) AS n,
-               CASE WHEN stddev_samp(d) = 0 THEN 0.0 ELSE avg(d) / stddev_samp(d) END AS cohens_d FROM pr GROUP BY task),
-fl AS (SELECT task, rep, sum({_md5_sign(str(seed), 'rep', 'row_id')} * d) AS s
-       FROM pr, (SELECT range AS rep FROM range({n_perm})) r GROUP BY task, rep),
-pv AS (SELECT fl.task, avg(CASE WHEN abs(fl.s) >= abs(obs.s) THEN 1.0 ELSE 0.0 END) AS p_value
-       FROM fl JOIN obs ON fl.task = obs.task GROUP BY fl.task),
-tests AS (
-SELECT obs.task, p_value, mean_diff, cohens_d,
-  CASE WHEN abs(cohens_d) < 0.2 THEN 'negligible' WHEN abs(cohens_d) < 0.5 THEN 'small'
-       WHEN abs(cohens_d) < 0.8 THEN 'medium' ELSE 'large' END AS effect_interpretation,
-  n, {n_perm} AS n_permutations
-FROM obs JOIN pv ON obs.task = pv.task)"""
+{_tests_from('pr', 'task')}"""
 
 
 def q_paired_permutation() -> str:
@@ -355,34 +362,49 @@ def q_bonferroni_tests() -> str:
 
 
 def q_bootstrap_loss_ci(n_boot: int = 1000, seed: int = 0) -> str:
-    w = _poisson_sql(_uniform(str(seed), "rep", "row_id"))
     sql = f"""{_losses_cte()},
 sz AS (SELECT task, model, count(*) AS n_samples FROM losses GROUP BY task, model),
-nb AS (SELECT CASE WHEN min(n_samples) < 50 THEN least({n_boot}, 500) ELSE {n_boot} END AS b FROM sz),
-rp AS (SELECT task, model, rep, sum(w * loss) / nullif(sum(w), 0) AS m
-       FROM (SELECT task, model, loss, rep, {w} AS w FROM losses, (SELECT range AS rep FROM range({n_boot})) r
-             WHERE rep < (SELECT b FROM nb))
-       GROUP BY task, model, rep)
+wt AS ({_weights('losses', n_boot, seed, 'task, model, loss')}),
+rp AS (SELECT task, model, rep, sum(w * loss) / nullif(sum(w), 0) AS m FROM wt GROUP BY task, model, rep)
 SELECT rp.task, rp.model, avg(m) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high,
-       any_value(sz.n_samples) AS n_samples, CAST((SELECT b FROM nb) AS INTEGER) AS n_bootstrap
-FROM rp JOIN sz ON rp.task = sz.task AND rp.model = sz.model GROUP BY rp.task, rp.model"""
+       any_value(sz.n_samples) AS n_samples, CAST(count(m) AS INTEGER) AS n_bootstrap
+FROM rp JOIN sz ON rp.task = sz.task AND rp.model = sz.model WHERE m IS NOT NULL GROUP BY rp.task, rp.model"""
     return rounded(sql, ["mean", "ci_low", "ci_high"])
 
 
+def _auc_ci(scored: str, groups: str, n_boot: int, seed: int) -> str:
+    return f"""wr AS ({_weights(scored, n_boot, seed, groups + ', score, label')}),
+wt AS (SELECT {groups}, rep, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS wp, sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS wn
+       FROM wr GROUP BY {groups}, rep, score),
+cu AS (SELECT {groups}, rep, wp, wn, sum(wn) OVER (PARTITION BY {groups}, rep ORDER BY score) - wn AS below FROM wt),
+au AS (SELECT {groups}, rep, sum(wp * (below + 0.5 * wn)) / nullif(sum(wp) * sum(wn), 0) AS a FROM cu GROUP BY {groups}, rep)
+SELECT {groups}, avg(a) AS mean, quantile_cont(a, 0.025) AS ci_low, quantile_cont(a, 0.975) AS ci_high, CAST(count(*) AS INTEGER) AS n_bootstrap
+FROM au WHERE a IS NOT NULL GROUP BY {groups}"""
+
+
 def q_bootstrap_auc_ci(n_boot: int = 1000, seed: int = 0) -> str:
-    w = _poisson_sql(_uniform(str(seed), "rep", "row_id"))
     sql = f"""{_losses_cte()},
 sc AS (SELECT model, row_id, score, label FROM losses WHERE task = 'classification'),
-wt AS (SELECT model, rep, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS wp, sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS wn
-       FROM (SELECT model, score, label, rep, {w} AS w FROM sc, (SELECT range AS rep FROM range({n_boot})) r)
-       GROUP BY model, rep, score),
-cu AS (SELECT model, rep, wp, wn, sum(wn) OVER (PARTITION BY model, rep ORDER BY score) - wn AS below FROM wt),
-au AS (SELECT model, rep, sum(wp * (below + 0.5 * wn)) / nullif(sum(wp) * sum(wn), 0) AS a FROM cu GROUP BY model, rep)
-SELECT model, avg(a) AS mean, quantile_cont(a, 0.025) AS ci_low, quantile_cont(a, 0.975) AS ci_high, count(*) AS n_bootstrap
-FROM au WHERE a IS NOT NULL GROUP BY model"""
+{_auc_ci('sc', 'model', n_boot, seed)}"""
     return rounded(sql, ["mean", "ci_low", "ci_high"])
 
 
+def q_bootstrap_feature_auc_ci(n_boot: int = 200, seed: int = 1) -> str:
+    """A continuous score and a heavily tied one."""
+    sql = f"""WITH {STUDENT_CTE},
+sc AS (SELECT 'acctbal' AS feature, id_student AS row_id, acctbal AS score, dropout AS label FROM st
+       UNION ALL SELECT 'is_unregistered', id_student, is_unregistered, dropout FROM st),
+{_auc_ci('sc', 'feature', n_boot, seed)}"""
+    return rounded(sql, ["mean", "ci_low", "ci_high"])
+
+
+def q_exact_quantiles() -> str:
+    cols = STUDENT_NUMERIC
+    probs = [0.0, 0.005, 0.5, 0.9, 1.0]
+    parts = [f"SELECT '{c}' AS column_name, " + ", ".join(f"quantile_cont({c}, {p}) AS q{i}" for i, p in enumerate(probs)) + " FROM st" for c in cols]
+    return rounded(f"WITH {STUDENT_CTE} " + " UNION ALL ".join(parts), [f"q{i}" for i in range(len(probs))])
+
+
 # ------------------------------------------------------------ diagnostics and roll-ups
 def q_leakage_screen() -> str:
     feats = [c for c in STUDENT_NUMERIC]
@@ -481,9 +503,10 @@ r AS (SELECT dataset, synthesizer, metric, avg(value) AS mean FROM metrics
 SELECT dataset, synthesizer,
   max(CASE WHEN metric = 'mean_value' THEN mean END) AS mean_value,
   max(CASE WHEN metric = 'n_events' THEN mean END) AS n_events,
-  max(CASE WHEN metric = 'mean_k' THEN mean END) AS mean_k
+  max(CASE WHEN metric = 'mean_k' THEN mean END) AS mean_k,
+  max(CASE WHEN metric = 'high_value_mean' THEN mean END) AS high_value_mean
 FROM r GROUP BY dataset, synthesizer"""
-    return rounded(sql, ["mean_value", "n_events", "mean_k"])
+    return rounded(sql, ["mean_value", "n_events", "mean_k", "high_value_mean"])
 
 
 # ------------------------------------------------------------ nearest neighbours

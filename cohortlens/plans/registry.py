@@ -30,7 +30,7 @@ from cohortlens.operators.synth import GaussianCopula
 from cohortlens.plans.interaction_table import coverage_diagnostic, standin_log
 from cohortlens.plans.metrics_table import STANDIN_METRICS, expected_grid, standin_metrics
 from cohortlens.plans.losses import baseline_losses, paired
-from cohortlens.operators.dist import auc_mann_whitney
+from cohortlens.operators.dist import auc_mann_whitney, exact_quantiles
 from cohortlens.operators.effect import effect_size_summary
 from cohortlens.operators.ranks import spearman_rho
 from cohortlens.operators.split import group_split
@@ -205,6 +205,23 @@ def bootstrap_auc_ci_q(spark, d):
     return round_doubles(R.bootstrap_auc_ci(cls, "score", "label", "row_id", group_cols=("model",), n_boot=1000, seed=0))
 
 
+@register("bootstrap_feature_auc_ci", S.q_bootstrap_feature_auc_ci())
+def bootstrap_feature_auc_ci_q(spark, d):
+    """E12 on a continuous score and on one with two values."""
+    st, _ = standin_student_table(Tables(spark, d))
+    sc = st.select("id_student", "dropout", "acctbal", "is_unregistered").unpivot(["id_student", "dropout"], ["acctbal", "is_unregistered"], "feature", "score")
+    return round_doubles(R.bootstrap_auc_ci(sc, "score", "dropout", "id_student", group_cols=("feature",), n_boot=200, seed=1))
+
+
+@register("exact_quantiles", S.q_exact_quantiles())
+def exact_quantiles_q(spark, d):
+    """Five exact quantiles of every numeric student column."""
+    st, _ = standin_student_table(Tables(spark, d))
+    cols = infer_feature_spec(st, exclude=["id_student"]).numeric_cols
+    long = st.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
+    return round_doubles(exact_quantiles(long, "value", [0.0, 0.005, 0.5, 0.9, 1.0], group_cols=("column_name",)))
+
+
 # ---------------------------------------------------------------- diagnostics
 @register("leakage_screen", S.q_leakage_screen())
 def leakage_screen_q(spark, d):
@@ -282,7 +299,7 @@ def timing_summary_q(spark, d):
 def performance_matrix_q(spark, d):
     """Synthesizer x metric matrix of seed means."""
     roll = P.seed_rollup(_metrics(spark, d))
-    return round_doubles(P.performance_matrix(roll, ["mean_value", "n_events", "mean_k"]))
+    return round_doubles(P.performance_matrix(roll, STANDIN_METRICS))
 
 
 # ---------------------------------------------------------------- neighbours, models
@@ -370,19 +387,6 @@ def consolidated_slice_q(spark, d):
     return round_doubles(read_slice(spark, path, "test", "real").select(*cols, "split", "synthesizer"))
 
 
-@register("paired_permutation_bucketed", None)
-def paired_permutation_bucketed_q(spark, d):
-    """E15 (scale form): numpy sign matrices per hash bucket, 10 000 flips."""
-    pr = paired(_losses(spark, d), "global", "group")
-    return round_doubles(R.permutation_test_bucketed(pr, "loss_a", "loss_b", "row_id", group_cols=("task",), n_perm=10000, seed=0))
-
-
-@register("bootstrap_loss_ci_bucketed", None)
-def bootstrap_loss_ci_bucketed_q(spark, d):
-    """E11 (scale form): numpy Poisson weights per hash bucket, 1000 replicates."""
-    return round_doubles(R.bootstrap_mean_ci_bucketed(_losses(spark, d), "loss", "row_id", group_cols=("task", "model"), n_boot=1000, seed=0))
-
-
 @register("importance_preservation", None)
 def importance_preservation_q(spark, d):
     """A19 + M13: TRTR vs TSTR forest importances, Spearman rho and p per task."""

@@ -118,16 +118,35 @@ def test_knn_copy_has_zero_distance(spark):
     assert d.agg(F.max("d_min")).first()[0] == 0.0
 
 
-def test_bucketed_engines_agree_in_distribution(spark):
+def test_resampling_does_not_depend_on_partitions(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, float(a), float(a + rng.normal(0.05, 1))) for i, a in enumerate(rng.normal(size=800))]
-    df = spark.createDataFrame(rows, "id long, a double, b double")
-    p1 = R.paired_permutation_test(df, "a", "b", "id", n_perm=2000).first()["p_value"]
-    p2 = R.permutation_test_bucketed(df, "a", "b", "id", n_perm=2000).first()["p_value"]
-    assert abs(p1 - p2) < 0.05
-    c1 = R.bootstrap_mean_ci(df, "a", "id", n_boot=400).first()
-    c2 = R.bootstrap_mean_ci_bucketed(df, "a", "id", n_boot=400).first()
-    assert abs(c1["ci_low"] - c2["ci_low"]) < 0.03 and abs(c1["ci_high"] - c2["ci_high"]) < 0.03
+    rows = [(i, float(a), float(a + rng.normal(0.05, 1)), int(rng.random() < 0.3)) for i, a in enumerate(rng.normal(size=700))]
+    one, many = (spark.createDataFrame(rows, "id long, a double, b double, y int").repartition(n) for n in (1, 7))
+    for f in (lambda d: R.paired_permutation_test(d, "a", "b", "id", n_perm=500), lambda d: R.bootstrap_mean_ci(d, "a", "id", n_boot=300),
+              lambda d: R.bootstrap_auc_ci(d, "a", "y", "id", n_boot=100)):
+        assert [round(x, 9) if isinstance(x, float) else x for x in f(one).first()] == [round(x, 9) if isinstance(x, float) else x for x in f(many).first()]
+
+
+def test_draws_have_their_distributions():
+    signs, weights = R.sign_matrix(range(2000), 0, 300), R.weight_matrix(range(2000), 0, 300)
+    assert abs(signs.mean()) < 0.01 and abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
+
+
+def test_auc_ranges_keep_the_result(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(rng.integers(0, 5)) if i % 3 else float(rng.normal()), int(rng.random() < 0.4)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, s double, y int")
+    whole = R.bootstrap_auc_ci(df, "s", "y", "id", n_boot=60).first()
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 40)
+    cut = R.bootstrap_auc_ci(df, "s", "y", "id", n_boot=60).first()
+    assert all(abs(a - b) < 1e-12 for a, b in zip(whole, cut))
+
+
+def test_empty_and_null_sides_give_null(spark):
+    some = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, c string")
+    none = spark.createDataFrame([(None, "a")], "x double, c string")
+    assert ks_complement(some, none, ["x"]).first()["score"] is None
+    assert tv_complement(some, some.limit(0), ["c"]).first()["score"] is None
 
 
 def test_spearman_p_value_known_values():
