@@ -135,17 +135,16 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_
     """Links (a, b) among distinct fingerprints ``fp`` that keep exact components."""
     if max_bits != 3:
         raise ValueError("two halves with one wildcard serve a distance of exactly 3 bits")
-    index = distinct.select("fp", F.explode(_variants()).alias("key"))
-    keys = staged(
-        index.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where("n > 1"),
-        "simhash-keys",
-    )
-    pairs = keys.where("n = 2").where(_differs_as_keyed(max_bits)).select("a", "b")
-    members = staged(index.join(keys.where("n > 2").select("key", "n"), "key"), "simhash-members")
+    # 66 rows per fingerprint go through one exchange, which counting and joining share;
+    # both numbers of partitions are given, as the few bytes before it say nothing of the rows after
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = distinct.repartition(n, "fp").select("fp", F.explode(_variants()).alias("key")).repartition(n, "key")
+    # distinct fingerprints: a key is shared when its smallest and largest differ (this reads fp, so both sides
+    # of the join need the same exchange)
+    ends = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    members = staged(index.join(ends.where("low < high").select("key", "n").hint("merge"), "key"), "simhash-members")
     few = members.where(F.col("n") <= pair_limit)
-    joined = (
+    pairs = (
         few.select("key", F.col("fp").alias("a"))
         .join(few.select("key", F.col("fp").alias("b")), "key")
         .where("a < b")
@@ -153,7 +152,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_
         .select("a", "b")
     )
     many = _hot_links(members.where(F.col("n") > pair_limit).select("key", "fp"), max_bits)
-    return pairs.union(joined).union(many).distinct()
+    return pairs.union(many).distinct()
 
 
 def _classes(rows: DataFrame, max_bits: int, pair_limit: int) -> DataFrame:
