@@ -74,11 +74,89 @@ def privacy_score(eff_auc):
 
 
 def utility_ratio(real_val, syn_val, lower_better: bool):
-    """100 * min(1, ratio) of synthetic to real performance."""
-    r = (real_val / F.nullif(syn_val, F.lit(0.0))) if lower_better else (syn_val / F.nullif(real_val, F.lit(0.0)))
+    """100 * min(1, ratio) of synthetic to real performance (NULL on a zero divisor)."""
+    r = safe_div(real_val, syn_val) if lower_better else safe_div(syn_val, real_val)
     return F.lit(100.0) * F.least(F.lit(1.0), r)
 
 
+def clamped_chance_score(eff_auc):
+    """Effective AUC to 0..100, never below 0 (ideal 0.5 gives 100)."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - (eff_auc - F.lit(0.5)) / F.lit(0.5)) * F.lit(100.0)
+
+
+def clamped_utility_score(syn_val, real_val, lower_better: bool = False):
+    """Share of the real baseline, 100 at most; 100 when the divisor is not positive."""
+    num, den = (real_val, syn_val) if lower_better else (syn_val, real_val)
+    return F.when(den > 0, F.least(F.lit(100.0), safe_div(num, den) * F.lit(100.0))).otherwise(F.lit(100.0))
+
+
+def wide_means(metrics: DataFrame, names: list[str], keys: tuple[str, ...] = ("dataset", "synthesizer")) -> DataFrame:
+    """Seed means with one column per metric (pivot on a known list)."""
+    return _valid(metrics).groupBy(*keys).pivot("metric", names).agg(F.avg("value"))
+
+
+#: metrics of the performance matrices and comparison tables
+SCORE_METRICS = [
+    "sdmetrics_overall_score", "c2st_effective_auc", "mia_worst_case_effective_auc", "tstr_cls_rf_auc", "trtr_cls_rf_auc",
+    "tstr_reg_rf_mae", "trtr_reg_rf_mae", "tstr_reg_ridge_mae", "trtr_reg_ridge_mae",
+]
+
+
+def score_matrices(metrics: DataFrame) -> DataFrame:
+    """E23, both variants: scores per synthesizer from seed means.
+
+    ``*_score`` is the run report (E21: unclamped, raw AUC, ridge MAE);
+    ``*_clamped`` the chart form (E22: clamped, relative to the real baseline, forest MAE)."""
+    w = wide_means(metrics, SCORE_METRICS)
+    c = {m: F.col(m) for m in SCORE_METRICS}
+    return w.select(
+        "dataset", "synthesizer", (c["sdmetrics_overall_score"] * 100).alias("quality"),
+        privacy_score(c["c2st_effective_auc"]).alias("realism_score"),
+        privacy_score(c["mia_worst_case_effective_auc"]).alias("privacy_score"),
+        (c["tstr_cls_rf_auc"] * 100).alias("cls_score"),
+        utility_ratio(c["trtr_reg_ridge_mae"], c["tstr_reg_ridge_mae"], True).alias("reg_score"),
+        clamped_chance_score(c["c2st_effective_auc"]).alias("realism_clamped"),
+        clamped_chance_score(c["mia_worst_case_effective_auc"]).alias("privacy_clamped"),
+        clamped_utility_score(c["tstr_cls_rf_auc"], c["trtr_cls_rf_auc"]).alias("cls_clamped"),
+        clamped_utility_score(c["tstr_reg_rf_mae"], c["trtr_reg_rf_mae"], True).alias("reg_clamped"),
+    )
+
+
+def model_comparison(records: DataFrame) -> DataFrame:
+    """Quality, realism and privacy x 100 per synthesizer.
+
+    ``records``: dataset, synthesizer and the raw metric texts; the first key
+    that holds a number wins (P19), and nothing found counts as 0."""
+    def pick(*names):
+        have = [F.col(n) for n in names if n in records.columns]
+        return F.coalesce(first_metric(*have), F.lit(0.0)) * F.lit(100.0) if have else F.lit(0.0)
+
+    return records.select(
+        "dataset", "synthesizer", pick("overall_score").alias("quality"),
+        pick("effective_auc_mean", "effective_auc", "auc_mean", "auc").alias("realism"),
+        pick("worst_case_effective_auc", "mia_effective_auc").alias("privacy"),
+    )
+
+
+def attacker_table(runs: DataFrame) -> DataFrame:
+    """Mean and population std of each attacker's effective AUC over seeds.
+
+    ``runs``: dataset, synthesizer, seed, attackers (map name -> effective AUC)."""
+    return runs.select("dataset", "synthesizer", "seed", F.explode("attackers").alias("attacker", "value")).groupBy(
+        "dataset", "synthesizer", "attacker").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_pop"))
+
+
+def utility_table(metrics: DataFrame, real_metric: str, synthetic_metric: str) -> DataFrame:
+    """The real baseline (all synthesizers' runs pooled) against each synthesizer, with population std over seeds."""
+    v = _valid(metrics)
+    real = v.where(F.col("metric") == real_metric).groupBy("dataset").agg(
+        F.lit("Real").alias("model"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_pop"))
+    syn = v.where(F.col("metric") == synthetic_metric).groupBy("dataset", F.col("synthesizer").alias("model")).agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_pop"))
+    both = real.unionByName(syn)
+    return both.select("dataset", F.lit(synthetic_metric).alias("metric"), "model", "mean", "std_pop")
+
+
 def performance_matrix(rollup: DataFrame, metrics: list[str]) -> DataFrame:
     """Synthesizer x metric matrix of means (pivot on a known list)."""
     return rollup.where(F.col("metric").isin(metrics)).groupBy("dataset", "synthesizer").pivot("metric", metrics).agg(F.first("mean"))

@@ -205,8 +205,8 @@ def paired_permutation_test(pairs: DataFrame, a_col: str, b_col: str, key_col: s
                                          "n", F.lit(n_perm).alias("n_permutations"))
 
 
-def bonferroni(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Corrected alpha = alpha / number of tests, and a flag."""
-    n = tests.agg(F.count(F.lit(1))).scalar()
+def bonferroni(tests: DataFrame, alpha: float = 0.05, n_tests: int | None = None) -> DataFrame:
+    """Corrected alpha = alpha / number of tests (of the table, or of the whole family), and a flag."""
+    n = F.lit(n_tests).cast("bigint") if n_tests else tests.agg(F.count(F.lit(1))).scalar()
     a = F.lit(alpha) / n
     return tests.select("*", n.alias("n_tests"), a.alias("alpha_corrected"), (F.col("p_value") < a).alias("significant"))

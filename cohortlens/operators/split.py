@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import h52
@@ -83,10 +83,38 @@ def group_split(df: DataFrame, group_col: str, *, test_size: float, seed: int) -
     return df.withColumn("split", F.when(h52(seed, F.col(group_col)) <= F.lit(thr), F.lit("test")).otherwise(F.lit("train")))
 
 
-def sample_exact(df: DataFrame, key_col: str, n: int, *, seed: int) -> DataFrame:
-    """O2/O3: exactly min(n, rows) rows, without replacement, seeded by key."""
-    thr = first_n_threshold(df.select(key_col), F.col(key_col), seed, n)
-    return df.where(h52(seed, F.col(key_col)) <= F.lit(thr))
+def _first_n(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """``df`` with ``_in``: the ``n`` rows with the smallest key hashes, exactly, also when keys repeat.
+
+    Rows below the n-th hash are in; among the rows that share it, as many
+    as are missing, by the hash of the whole row (rows equal in every column
+    are interchangeable).
+    """
+    h = h52(seed, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    hashed = df.withColumn("_h", h)
+    thr = kth_smallest(hashed, "_h", n)
+    below = hashed.where(F.col("_h") < F.lit(thr)).count() if n > 0 else 0
+    at = hashed.where(F.col("_h") == F.lit(thr)).count() if n > 0 else 0
+    if below + at <= n:
+        return hashed.withColumn("_in", F.col("_h") <= F.lit(thr)).drop("_h")
+    # repeated keys at the threshold: rank only those rows
+    whole = F.xxhash64(*[F.col(c) for c in df.columns])
+    tied = hashed.where(F.col("_h") == F.lit(thr)).withColumn("_w", whole)
+    nth = F.row_number().over(Window.partitionBy("_h").orderBy("_w"))
+    tied = tied.withColumn("_in", nth <= F.lit(n - below)).drop("_w")
+    rest = hashed.where(F.col("_h") != F.lit(thr)).withColumn("_in", F.col("_h") < F.lit(thr))
+    return rest.unionByName(tied).drop("_h")
+
+
+def sample_exact(df: DataFrame, key_cols: str | list[str], n: int, *, seed: int) -> DataFrame:
+    """O2: exactly min(n, rows) rows, without replacement, seeded by the key columns."""
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    return _first_n(df, keys, n, seed).where("_in").drop("_in")
+
+
+def subsample_at_most(df: DataFrame, key_cols: str | list[str], n: int, *, seed: int) -> DataFrame:
+    """O3: the table itself when it has no more than ``n`` rows, else an exact sample."""
+    return df if df.count() <= n else sample_exact(df, key_cols, n, seed=seed)
 
 
 def _largest_remainder(total: int, sizes: dict) -> dict:
@@ -103,10 +131,10 @@ def _largest_remainder(total: int, sizes: dict) -> dict:
 
 def stratified_split(df: DataFrame, key_col: str, strat_col: str, *, test_size: float, seed: int) -> DataFrame:
     """Random split keeping class shares; falls back to a plain split
-    when a class has fewer than two rows (as the source does on error)."""
+    when a class has fewer than two rows (as the source does on error).
+
+    The driver holds one count per class; a class column has few values."""
     sizes = {r[strat_col]: int(r["count"]) for r in df.groupBy(strat_col).count().collect()}
-    if len(sizes) > 64:
-        raise ValueError("stratified_split expects a class column (at most 64 values)")
     n = sum(sizes.values())
     k = n_test(test_size, n)
     if min(sizes.values(), default=0) < 2:

@@ -328,7 +328,7 @@ def _copula_sample(spark, d, seed: int = 0):
     sts, roles = split_students(spark, d, seed)
     tr = sts.where(F.col("split") == "train").drop("split")
     te = sts.where(F.col("split") == "test").drop("split")
-    gc = GaussianCopula(exclude=roles.id_cols).fit(tr)
+    gc = GaussianCopula().fit(tr)
     syn = gc.sample(spark, tr.count(), seed=seed).checkpoint(eager=True)
     return tr, te, syn, roles
 
@@ -352,7 +352,7 @@ def c2st_q(spark, d):
 def mia_q(spark, d):
     """Membership inference from kNN distances, three attackers, worst case."""
     tr, te, syn, roles = _copula_sample(spark, d)
-    r = mia_worst_case(tr, te, syn, roles, key="id_student", fp=QUERY_FOREST)
+    r = mia_worst_case(tr, te, syn, roles, fp=QUERY_FOREST)
     rows = [(name, v["auc"], v["effective_auc"], r["worst_case_effective_auc"], r["n_members"]) for name, v in r["attackers"].items()]
     return spark.createDataFrame(rows, "attacker string, auc double, effective_auc double, worst_case_effective_auc double, n_members long")
 
@@ -361,7 +361,7 @@ def mia_q(spark, d):
 def tstr_utility_q(spark, d):
     """E13 + E14: TSTR and TRTR metrics (long form) for both tasks."""
     tr, te, syn, roles = _copula_sample(spark, d)
-    m, _ = tstr_utility(tr, te, syn, roles, key="id_student", fp=QUERY_FOREST)
+    m, _ = tstr_utility(tr, te, syn, roles, fp=QUERY_FOREST)
     rows = [(task, k, float(v) if v is not None else None) for task, kv in m.items() for k, v in kv.items()]
     return spark.createDataFrame(rows, "task string, metric string, value double")
 
@@ -391,4 +391,7 @@ def consolidated_slice_q(spark, d):
 def importance_preservation_q(spark, d):
     """A19 + M13: TRTR vs TSTR forest importances, Spearman rho and p per task."""
     tr, _, syn, roles = _copula_sample(spark, d)
-    return importance_preservation(tr, syn, roles, key="id_student", fp=QUERY_FOREST)
+    return importance_preservation(tr, syn, roles, fp=QUERY_FOREST)
+
+
+from cohortlens.plans import report_queries  # noqa: E402, F401  (registers its queries)

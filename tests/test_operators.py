@@ -13,7 +13,7 @@ from cohortlens.operators.effect import effect_size_summary
 from cohortlens.operators.knn import knn_distances
 from cohortlens.operators.quality import ks_complement, tv_complement
 from cohortlens.operators.ranks import spearman_p_value
-from cohortlens.operators.split import group_split, kth_smallest, sample_exact, stratified_split
+from cohortlens.operators.split import group_split, kth_smallest, sample_exact, stratified_split, subsample_at_most
 
 
 def test_kth_smallest_matches_sort(spark):
@@ -38,6 +38,9 @@ def test_group_split_keeps_groups_whole_and_exact_size(spark):
 def test_sample_exact_and_stratified(spark):
     df = spark.createDataFrame([(i, i % 3 == 0) for i in range(300)], "id long, y boolean")
     assert sample_exact(df, "id", 57, seed=3).count() == 57
+    repeated = df.withColumn("id", F.lit(1)).unionByName(df)  # a key that half of the rows share
+    assert sample_exact(repeated, "id", 57, seed=3).count() == 57
+    assert sample_exact(df, "id", 900, seed=3).count() == 300 and subsample_at_most(df, "id", 900, seed=3).count() == 300
     s = stratified_split(df.withColumn("y", F.col("y").cast("int")), "id", "y", test_size=0.3, seed=1)
     counts = {(r["y"], r["split"]): r["count"] for r in s.groupBy("y", "split").count().collect()}
     assert counts[(1, "test")] + counts[(0, "test")] == 90

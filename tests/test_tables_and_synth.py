@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators.synth import GaussianCopula, intake_synthetic
+from cohortlens.operators.evaluate import c2st_effective_auc, mia_worst_case, row_key, tstr_utility
+from cohortlens.operators.models import ForestParams
+from cohortlens.operators.synth import GaussianCopula, intake_synthetic, validate_output
 from cohortlens.plans.interaction_table import build_interaction_table
 from cohortlens.plans.student_table import StudentInputs, build_student_table
+from cohortlens.roles import TableRoles
 
 
 def _export(spark):
@@ -72,12 +75,12 @@ def _smoke_frame(spark):
 
 def test_copula_contract(spark):
     df = _smoke_frame(spark)
-    gc = GaussianCopula(exclude=("id_student",))
+    gc = GaussianCopula()
     with pytest.raises(RuntimeError):
         gc.sample(spark, 10)
     syn = gc.fit(df).sample(spark, 100, seed=1)
     assert syn.count() == 100
-    assert set(syn.columns) - {"_row"} == set(df.columns) - {"id_student"}
+    assert set(syn.columns) - {"_row"} == set(df.columns)
     assert dict(syn.dtypes)["cat_col"] == "string" and dict(syn.dtypes)["dropout"] == "int"
     assert set(r[0] for r in syn.select("cat_col").distinct().collect()) <= {"A", "B", "C", "D"}
     lo, hi = syn.agg(F.min("final_grade"), F.max("final_grade")).first()
@@ -95,3 +98,37 @@ def test_intake_checks(spark):
         intake_synthetic(syn.drop("cat_col"), train)
     with pytest.raises(ValueError):
         intake_synthetic(syn, train, expected_rows=99)
+    coded = train.withColumn("cat_col", F.concat(F.lit("c"), F.col("cat_col")))
+    back = intake_synthetic(coded, train, recoding={"cat_col": {"cA": "A", "cB": "B", "cC": "C", "cD": "D"}})
+    assert {r[0] for r in back.select("cat_col").distinct().collect()} == {"A", "B", "C", "D"}
+    with pytest.raises(RuntimeError, match="num_col"):
+        validate_output(train.withColumn("num_col", F.lit(None).cast("double")), ["num_col", "cat_col"])
+
+
+def test_copula_does_not_depend_on_partitions(spark):
+    df = _smoke_frame(spark)
+    gc = GaussianCopula().fit(df)
+    tables = []
+    for n in ("2", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        tables.append(sorted(map(tuple, gc.sample(spark, 9000, seed=3).collect())))
+    assert tables[0] == tables[1]
+
+
+def test_composite_keys_keep_rows_apart(spark):
+    """Two presentations of a student are two rows everywhere."""
+    rng = np.random.default_rng(1)
+    rows = [(["AAA", "BBB", "CCC"][i % 3], f"2013{'JB'[i % 2]}", i // 2, float(rng.normal()), float(rng.uniform(0, 100)), i % 2) for i in range(240)]
+    df = spark.createDataFrame(rows, "code_module string, code_presentation string, id_student long, num double, final_grade double, dropout int")
+    roles = TableRoles(id_cols=("code_module", "code_presentation", "id_student"), target_cols=("dropout", "final_grade"), group_col="id_student")
+    train, test = df.where("id_student < 80"), df.where("id_student >= 80")
+    syn = GaussianCopula().fit(train).sample(spark, 60, seed=0).checkpoint()
+    assert set(df.columns) < set(syn.columns)
+    fp = ForestParams(num_trees=5, max_depth=3)
+    r = c2st_effective_auc(test, syn, roles, fp=fp)
+    assert r["n_per_class"] == 60 and 0.5 <= r["effective_auc"] <= 1
+    assert df.select(row_key(df, roles.id_cols).alias("k")).distinct().count() == 240
+    m = mia_worst_case(train, test, syn, roles, fp=fp, with_gbt=False)
+    assert m["n_members"] == 80 and m["worst_case_effective_auc"] >= 0.5
+    _, losses = tstr_utility(train, test, syn, roles, fp=fp)
+    assert losses.count() == 80 * 8 and losses.select("row_id").distinct().count() == 80
