@@ -79,10 +79,23 @@ def distinct_pretokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return total.mapInArrow(count, "pretoken string, n bigint, pieces bigint")
 
 
+def _most_frequent(pieces_of: DataFrame, most: int) -> list:
+    """At most ``most`` rows: all pre-tokens above a frequency, found from a histogram of its logarithm."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    levels = pieces_of.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
+    lowest, held = None, 0
+    for r in levels:  # 1 008 levels at most
+        held += r["n"]
+        if held > most:
+            break
+        lowest = r["level"]
+    return [] if lowest is None else pieces_of.where(level >= lowest).select("pretoken", "pieces").collect()
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     pieces_of = staged(distinct_pretokens(docs, tokenizer_path), "pretokens")
-    top = pieces_of.orderBy(F.desc("n"), "pretoken").select("pretoken", "pieces").limit(hot).collect()
+    top = _most_frequent(pieces_of, hot)
     hot_keys = cutter(tokenizer_path).cut([r["pretoken"] for r in top]).key
     order = np.argsort(hot_keys)
     shared = docs.sparkSession.sparkContext.broadcast(
