@@ -12,6 +12,12 @@ def safe_div(num: Column, den: Column) -> Column:
     return num / F.nullif(den, F.lit(0))
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are set; NULL when a side is constant."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def label_from_text(c: Column, positives: list[str]) -> Column:
     """0/1 label: lower-cased text in ``positives``; NULL text is class 0."""
     return F.coalesce(F.lower(c).isin([p.lower() for p in positives]), F.lit(False)).cast("int")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.exprs import safe_corr
+
 LEAK_WARN = 0.8
 LEAK_ERROR = 0.99
 
@@ -14,7 +16,7 @@ def leakage_screen(df: DataFrame, feature_cols, target_cols) -> DataFrame:
     """|Pearson r| of every numeric feature with each target (one
     aggregate), then per target the max, its feature and the flags.
     ``corr`` ignores incomplete pairs; constant columns give NULL."""
-    aggs = [F.abs(F.corr(F.col(f).cast("double"), F.col(t).cast("double"))).alias(f"{t}\u0001{f}")
+    aggs = [F.abs(safe_corr(F.col(f).cast("double"), F.col(t).cast("double"))).alias(f"{t}\u0001{f}")
             for t in target_cols for f in feature_cols if f != t]
     wide = df.agg(*aggs)
     lng = wide.unpivot([], wide.columns, "pair", "abs_corr").select(

@@ -19,7 +19,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import safe_div
+from cohortlens.functions.exprs import safe_corr, safe_div
 from cohortlens.operators.dist import ks_statistic
 from cohortlens.roles import FeatureSpec
 
@@ -59,7 +59,7 @@ def correlation_similarity(real: DataFrame, syn: DataFrame, cols) -> DataFrame:
         return real.sparkSession.createDataFrame([], "column_1 string, column_2 string, metric string, score double")
 
     def corrs(df):
-        return df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+        return df.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
 
     ra, rb = corrs(real), corrs(syn)
     stack_a = ra.unpivot([], ra.columns, "pair", "ra")

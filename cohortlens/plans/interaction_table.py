@@ -40,6 +40,19 @@ def require_columns(df: DataFrame, required: list[str]) -> None:
         raise ValueError(f"interaction log missing required columns: {missing}")
 
 
+# The columns of the interaction log that are kept when present.
+EXPECTED_COLS = [
+    "user_id", "problem_id", "skill_id", "original", "attempt_count", "ms_first_response", "tutor_mode", "answer_type", "type", "hint_count",
+    "hint_total", "overlap_time", "template_id", "first_action", "bottom_hint", "opportunity", "opportunity_original", "position", "correct",
+]
+
+
+def keep_expected(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Required columns must be there; of the others only the expected ones stay."""
+    require_columns(df, ["user_id", "correct"])
+    return df.select(*[c for c in df.columns if c in EXPECTED_COLS or c in extra])
+
+
 def early_rows(log: DataFrame, order_cols: list[str], k: int) -> DataFrame:
     """W1 + P11: first ``k`` rows of each user by an explicit, total order."""
     w = Window.partitionBy("user_id").orderBy(*[F.col(c).asc() for c in order_cols])

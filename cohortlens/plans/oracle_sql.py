@@ -36,14 +36,14 @@ st_reg AS (
   FROM orders GROUP BY o_custkey
 ),
 st_clk AS (
-  SELECT user_id AS id_student, sum(value) AS total_vle_clicks, count(*) AS n_vle_records,
+  SELECT user_id AS id_student, CAST(sum(CAST(value AS DECIMAL(28, 9))) AS DOUBLE) AS total_vle_clicks, count(*) AS n_vle_records,
          count(DISTINCT event_type) AS n_vle_sites, count(DISTINCT CAST(ts AS DATE)) AS n_vle_days
   FROM events GROUP BY user_id
 ),
 st_grd AS (
   SELECT o.o_custkey AS id_student, count(DISTINCT l.l_partkey) AS n_assessments,
          coalesce(sum(p.p_size), 0) AS total_weight,
-         coalesce(sum(l.l_extendedprice / 1000.0 * p.p_size), 0) AS weighted_score_sum
+         coalesce(CAST(sum(CAST(l.l_extendedprice / 1000.0 * p.p_size AS DECIMAL(28, 9))) AS DOUBLE), 0) AS weighted_score_sum
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   LEFT JOIN part p ON l.l_partkey = p.p_partkey
   GROUP BY o.o_custkey
@@ -525,9 +525,10 @@ SELECT vec_id, role, min(dist) AS d_min, avg(dist) AS d_mean_k FROM k WHERE rn <
 
 
 def q_streaming_click_features() -> str:
-    sql = """SELECT user_id AS id_student, CAST(sum(value) AS DOUBLE) AS total_vle_clicks, count(*) AS n_vle_records,
+    sql = """SELECT user_id AS id_student, CAST(sum(CAST(value AS DECIMAL(28, 9))) AS DOUBLE) AS total_vle_clicks, count(*) AS n_vle_records,
        count(DISTINCT event_type) AS n_vle_sites, count(DISTINCT CAST(ts AS DATE)) AS n_vle_days,
-       sum(value) / count(*) AS mean_vle_clicks, sum(value) / count(DISTINCT CAST(ts AS DATE)) AS clicks_per_active_day
+       CAST(sum(CAST(value AS DECIMAL(28, 9))) AS DOUBLE) / count(*) AS mean_vle_clicks,
+       CAST(sum(CAST(value AS DECIMAL(28, 9))) AS DOUBLE) / count(DISTINCT CAST(ts AS DATE)) AS clicks_per_active_day
 FROM events GROUP BY user_id"""
     return rounded(sql, ["total_vle_clicks", "mean_vle_clicks", "clicks_per_active_day"])
 

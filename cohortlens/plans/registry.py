@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import round_doubles
+from cohortlens.functions.exprs import round_doubles, safe_corr
 from cohortlens.plans import oracle_sql as S
 from cohortlens.plans.interaction_table import standin_interaction_table
 from cohortlens.plans.student_table import standin_student_table
@@ -159,7 +159,7 @@ def spearman_importance_q(spark, d):
     grade on train and on test)."""
     sts, roles = split_students(spark, d)
     feats = [c for c in infer_feature_spec(sts, exclude=list(roles.id_cols) + list(roles.target_cols) + ["split"]).numeric_cols]
-    imp = sts.groupBy("split").agg(*[F.abs(F.corr(c, "final_grade")).alias(c) for c in feats]).unpivot(["split"], feats, "feature", "importance")
+    imp = sts.groupBy("split").agg(*[F.abs(safe_corr(F.col(c), F.col("final_grade"))).alias(c) for c in feats]).unpivot(["split"], feats, "feature", "importance")
     a = imp.where(F.col("split") == "train").select("feature", F.col("importance").alias("a"))
     b = imp.where(F.col("split") == "test").select("feature", F.col("importance").alias("b"))
     return round_doubles(spearman_rho(a, b, "feature", "a", "b").select("spearman_rho", "n_features"))

@@ -63,15 +63,18 @@ def registration_features(reg: DataFrame, keys: list[str]) -> DataFrame:
 def click_features(clicks: DataFrame, keys: list[str], min_clip: float = 0.0) -> DataFrame:
     """A2 + A3 + P6: sum, rows, exact distinct sites and days per key.
 
-    Partial aggregation runs map-side; the distinct counts shuffle on
-    (key, value), so one very active student is spread over many tasks.
+    Partial aggregation runs map-side; the first shuffle is on (key, site,
+    day), so one very active student is spread over many tasks.
     """
     clk = F.col("sum_click")
     if min_clip > 0.0:
         clk = clip_lower(clk, min_clip)
-    agg = clicks.groupBy(*keys).agg(
-        F.sum(clk).cast("double").alias("total_vle_clicks"),
-        F.count(F.lit(1)).alias("n_vle_records"),
+    # one row per (key, site, day) first: the distinct counts then expand few rows, not the log;
+    # decimal sums are exact, so the order of rows does not show in the last digit
+    daily = clicks.groupBy(*keys, "id_site", "date").agg(F.sum(clk.cast("decimal(28,9)")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    agg = daily.groupBy(*keys).agg(
+        F.sum("_sum").cast("double").alias("total_vle_clicks"),
+        F.sum("_n").alias("n_vle_records"),
         F.count_distinct("id_site").alias("n_vle_sites"),
         F.count_distinct("date").alias("n_vle_days"),
     )
@@ -88,7 +91,8 @@ def grade_features(sub: DataFrame, meta: DataFrame, keys: list[str], student_col
     other = [k for k in keys if k != student_col]
     m = meta.select("id_assessment", *other, "weight")
     j = sub.join(m, "id_assessment", "left")
-    sw = F.col("score") * F.col("weight")
+    # summed as decimals: exact, so the grade does not depend on the order of rows
+    sw = (F.col("score") * F.col("weight")).cast("decimal(28,9)")
     agg = j.groupBy(*keys).agg(
         F.count_distinct("id_assessment").alias("n_assessments"),
         F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("total_weight"),

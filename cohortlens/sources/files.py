@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from cohortlens.functions.exprs import nan_to_null
 
@@ -29,66 +30,113 @@ EXPORT_SCHEMAS = {
 }
 
 
+#: export columns that some releases lack and no feature needs
+EXPORT_OPTIONAL = ("num_of_prev_attempts", "studied_credits", "date_submitted", "is_banked", "assessment_type", "date")
+
+
 def _case_glob(stem: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in stem)
 
 
+def _csv_files(spark: SparkSession, raw_dir: str, pattern: str = "*.csv") -> DataFrame:
+    """path and length of the CSV files under a folder, at any depth (no content is read)."""
+    try:
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+                .load(raw_dir).select("path", "length"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"no folder {raw_dir}") from e
+        raise
+
+
 def find_csv(spark: SparkSession, raw_dir: str, stem: str) -> str:
-    """The CSV whose whole stem matches (case-insensitive), searched recursively."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", _case_glob(stem) + ".csv").load(raw_dir).select("path").limit(2).collect())
-    if not files:
-        raise FileNotFoundError(f"no {stem}.csv under {raw_dir}")
-    return sorted(r["path"] for r in files)[0]
+    """The one CSV whose stem is ``stem`` (any case, any depth), or else the
+    one whose stem holds it.  None, or several, is an error that names them."""
+    for pattern in (f"{_case_glob(stem)}.csv", f"*{_case_glob(stem)}*.csv"):
+        found = sorted(r["path"] for r in _csv_files(spark, raw_dir, pattern).select("path").collect())
+        if len(found) > 1:
+            raise ValueError(f"several files for {stem} under {raw_dir}: {found}")
+        if found:
+            return found[0]
+    raise FileNotFoundError(f"no {stem}.csv under {raw_dir}")
 
 
 def largest_csv(spark: SparkSession, raw_dir: str) -> str:
-    """The largest CSV under a folder (path and length only, no content read)."""
-    row = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-           .load(raw_dir).select("path", "length").orderBy(F.desc("length"), F.asc("path")).first())
+    """The largest CSV under a folder."""
+    row = _csv_files(spark, raw_dir).orderBy(F.desc("length"), F.asc("path")).first()
     if row is None:
         raise FileNotFoundError(f"no CSV under {raw_dir}")
     return row["path"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, *, latin9: bool = False) -> DataFrame:
-    """S3 + S7: CSV scan with header; ISO-8859-15 is read as ISO-8859-1 and
-    the eight differing characters are translated back."""
-    r = spark.read.option("header", True).option("mode", "FAILFAST")
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, *, latin9: bool = False,
+             optional: tuple[str, ...] = ()) -> DataFrame:
+    """S3 + S7: CSV scan by header names; with a schema its columns are taken by
+    name in any order and cast (a text that does not fit is an error), other
+    columns are never parsed.  ISO-8859-15 is read as ISO-8859-1 and the eight
+    differing characters are translated back."""
+    r = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
     if latin9:
         r = r.option("encoding", "ISO-8859-1")
-    df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", False).csv(path)
+    df = r.csv(path)
     if latin9:
         src = "".join(a for a, _ in LATIN9_FIXES)
         dst = "".join(b for _, b in LATIN9_FIXES)
-        df = df.select(*[F.translate(F.col(f.name), src, dst).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
-                         for f in df.schema.fields])
-    return nan_to_null(df)
+        df = df.select(*[F.translate(F.col(f"`{c}`"), src, dst).alias(c) for c in df.columns])
+    if schema is None:
+        return df
+    want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    have = {c.strip().lower(): c for c in df.columns}
+    missing = [f.name for f in want if f.name not in have and f.name not in optional]
+    if missing:
+        raise ValueError(f"{path} lacks columns {missing}")
+    return nan_to_null(df.select(*[F.col(f"`{have[f.name]}`").cast(f.dataType).alias(f.name) for f in want if f.name in have]))
 
 
 def load_export(spark: SparkSession, raw_dir: str, skip: set[str] = frozenset()) -> dict[str, DataFrame]:
-    """S6 + S8: the learning-platform export as lazy DataFrames (skipping is free)."""
-    out = {}
-    for name, schema in EXPORT_SCHEMAS.items():
-        if name in skip:
-            continue
-        out[name] = read_csv(spark, find_csv(spark, raw_dir, name), schema)
-    return out
-
-
-RESULT_SCHEMA = T.StructType([
-    T.StructField("dataset", T.StringType()),
-    T.StructField("seed", T.LongType()),
-    T.StructField("synthesizers", T.MapType(T.StringType(), T.StructType([
-        T.StructField("c2st", T.StructType([T.StructField("effective_auc", T.DoubleType())])),
-        T.StructField("mia", T.StructType([
-            T.StructField("worst_case_effective_auc", T.DoubleType()),
-            T.StructField("attackers", T.MapType(T.StringType(), T.StructType([
-                T.StructField("auc", T.DoubleType()), T.StructField("effective_auc", T.DoubleType())])))])),
-        T.StructField("utility", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))),
-        T.StructField("timing", T.StructType([T.StructField("total_seconds", T.DoubleType())])),
-    ]))),
-])
+    """The learning-platform export as lazy DataFrames (skipping is free)."""
+    return {name: read_csv(spark, find_csv(spark, raw_dir, name), schema, optional=EXPORT_OPTIONAL)
+            for name, schema in EXPORT_SCHEMAS.items() if name not in skip}
+
+
+_CI = "struct<ci_low: double, ci_high: double>"
+_CLS = ["rf_auc", "lr_auc", "mean_auc", "trtr_rf_auc", "trtr_lr_auc"]
+_REG = ["rf_mae", "ridge_mae", "mean_mae", "trtr_rf_mae", "trtr_ridge_mae"]
+_RHO = "struct<rank_correlation: struct<spearman_rho: double, p_value: double, n_features: bigint>>"
+RESULT_SCHEMA = (
+    "dataset string, seed bigint, synthesizers map<string, struct<"
+    "sdmetrics: struct<overall_score: double>, c2st: struct<effective_auc: double>, "
+    "mia: struct<worst_case_effective_auc: double, attackers: map<string, struct<auc: double, effective_auc: double>>>, "
+    "utility: struct<"
+    f"classification: struct<{', '.join(f'{m}: double' for m in _CLS)}, rf_auc_ci: {_CI}, lr_auc_ci: {_CI}>, "
+    f"regression: struct<{', '.join(f'{m}: double' for m in _REG)}, rf_mae_ci: {_CI}, ridge_mae_ci: {_CI}>>, "
+    f"shap: struct<classification: {_RHO}, regression: {_RHO}>, "
+    "timing: struct<fit_seconds: double, sample_seconds: double, total_seconds: double>>>"
+)
+
+#: name in the long metrics table -> path in a result document
+METRIC_PATHS = {
+    "sdmetrics_overall_score": "sdmetrics.overall_score",
+    "c2st_effective_auc": "c2st.effective_auc",
+    "mia_worst_case_effective_auc": "mia.worst_case_effective_auc",
+    "tstr_cls_rf_auc": "utility.classification.rf_auc",
+    "tstr_cls_lr_auc": "utility.classification.lr_auc",
+    "tstr_cls_mean_auc": "utility.classification.mean_auc",
+    "tstr_cls_rf_auc_ci_low": "utility.classification.rf_auc_ci.ci_low",
+    "tstr_cls_rf_auc_ci_high": "utility.classification.rf_auc_ci.ci_high",
+    "tstr_reg_rf_mae": "utility.regression.rf_mae",
+    "tstr_reg_ridge_mae": "utility.regression.ridge_mae",
+    "tstr_reg_mean_mae": "utility.regression.mean_mae",
+    "trtr_cls_rf_auc": "utility.classification.trtr_rf_auc",
+    "trtr_cls_lr_auc": "utility.classification.trtr_lr_auc",
+    "trtr_reg_rf_mae": "utility.regression.trtr_rf_mae",
+    "trtr_reg_ridge_mae": "utility.regression.trtr_ridge_mae",
+    "timing_total_seconds": "timing.total_seconds",
+    "shap_spearman_rho_cls": "shap.classification.rank_correlation.spearman_rho",
+    "shap_spearman_rho_reg": "shap.regression.rank_correlation.spearman_rho",
+    "shap_p_value_cls": "shap.classification.rank_correlation.p_value",
+    "shap_p_value_reg": "shap.regression.rank_correlation.p_value",
+}
 
 
 def read_results(spark: SparkSession, pattern: str) -> DataFrame:
@@ -99,19 +147,10 @@ def read_results(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def results_to_metrics(results: DataFrame) -> DataFrame:
-    """Flatten result documents to the long metrics table (P19/P20 lookups)."""
+    """Result documents as the long metrics table; a metric that a document lacks is NULL (P20)."""
     syn = results.select("dataset", "seed", F.explode("synthesizers").alias("synthesizer", "r"))
-    parts = [
-        syn.select("dataset", "seed", "synthesizer", F.lit("c2st_effective_auc").alias("metric"), F.col("r.c2st.effective_auc").alias("value")),
-        syn.select("dataset", "seed", "synthesizer", F.lit("mia_worst_case_effective_auc").alias("metric"), F.col("r.mia.worst_case_effective_auc").alias("value")),
-        syn.select("dataset", "seed", "synthesizer", F.lit("timing_total_seconds").alias("metric"), F.col("r.timing.total_seconds").alias("value")),
-        syn.select("dataset", "seed", "synthesizer", F.explode("r.utility").alias("task", "m"))
-           .select("dataset", "seed", "synthesizer", F.explode("m").alias("metric", "value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"r.{p}").alias("value")) for m, p in METRIC_PATHS.items()])
+    return syn.select("dataset", "seed", "synthesizer", F.explode(cells).alias("c")).select("dataset", "seed", "synthesizer", "c.metric", "c.value")
 
 
 def attacker_table(results: DataFrame) -> DataFrame:

@@ -17,13 +17,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import safe_div
+from cohortlens.functions.exprs import nan_to_null, safe_div
 from cohortlens.session import ensure_checkpoint_dir
 
 
 def click_state(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.groupBy(*keys).agg(
-        F.sum("sum_click").cast("double").alias("total_vle_clicks"),
+        F.sum(F.col("sum_click").cast("decimal(28,9)")).cast("double").alias("total_vle_clicks"),
         F.count(F.lit(1)).alias("n_vle_records"),
         F.size(F.collect_set("id_site")).cast("long").alias("n_vle_sites"),
         F.size(F.collect_set("date")).cast("long").alias("n_vle_days"),
@@ -40,27 +40,39 @@ def finish(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def run_incremental(spark: SparkSession, stream: DataFrame, keys: list[str], *, out_dir: str | None = None,
                     checkpoint: str | None = None) -> DataFrame:
-    """Run the aggregation over everything available now and return the
-    final per-key table (read back from the sink)."""
+    """Fold everything available now into the state and return the table.
+
+    Each batch appends the rows of the keys it changed (a folder per batch,
+    so a replayed batch replaces itself); the table is the latest row of each
+    key.  Called again with the same ``out_dir`` and ``checkpoint``, only new
+    files are read."""
     base = ensure_checkpoint_dir(spark)
     run = uuid.uuid4().hex
     out_dir = out_dir or os.path.join(base, f"clicks-out-{run}")
     checkpoint = checkpoint or os.path.join(base, f"clicks-ckpt-{run}")
     agg = click_state(stream, keys)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch}"))
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write)
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return finish(spark.read.parquet(out_dir), keys)
+    changes = spark.read.schema(agg.schema.add("epoch", "long")).parquet(out_dir)
+    values = [c for c in agg.columns if c not in keys]
+    latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v")).select(*keys, "v.*")
+    return finish(latest, keys)
 
 
 def standin_click_stream(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The events file as a file stream (site = event_type, day = date(ts))."""
-    schema = spark.read.parquet(os.path.join(data_dir, "events.parquet")).schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .option("maxFilesPerTrigger", 1).parquet(data_dir))
-    return ev.select(F.col("user_id").alias("id_student"), F.col("event_type").alias("id_site"),
-                     F.to_date("ts").alias("date"), F.col("value").alias("sum_click"))
+    """The events table as a file stream (site = event_type, day = date(ts)); one file or a folder of part files."""
+    path = os.path.join(data_dir, "events.parquet")
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    files = table.inputFiles()
+    if len(files) == 1 and files[0].endswith("/events.parquet"):
+        ev = reader.option("pathGlobFilter", "events.parquet").parquet(data_dir)
+    else:
+        ev = reader.parquet(path)
+    return nan_to_null(ev).select(F.col("user_id").alias("id_student"), F.col("event_type").alias("id_site"),
+                                  F.to_date("ts").alias("date"), F.col("value").alias("sum_click"))
