@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import h52, uniform
+from cohortlens.llm.common import staged
 
 SEED = 20
 PART_RATE = 32.0
@@ -43,7 +44,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     None keeps the bytes of the weighted sources.
     """
     spark = docs.sparkSession
-    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).alias("bytes"))
+    size = F.octet_length("text") if "__cl_bytes" not in docs.columns else F.col("__cl_bytes")
+    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(size, F.lit(0)).cast("bigint")).alias("bytes"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.lit(1.0))
     else:
@@ -68,6 +70,8 @@ def replicate(docs: DataFrame, weights=None, budget: float | None = None, seed:
         F.col("source").alias("__cl_source"), F.col("rate").alias("__cl_rate"), F.col("parts").alias("__cl_parts"),
         F.col("cdf").alias("__cl_cdf"),
     )
+    # written, its size is known when the join is planned: a small table is broadcast and documents move once only
+    rates = staged(rates, "source-rates")
     joined = docs.join(rates, F.col("source").eqNullSafe(F.col("__cl_source")))
     draws = F.transform(F.sequence(F.lit(1), F.col("__cl_parts")), lambda j: uniform(seed, F.col("doc_id"), j))
     count = F.aggregate(
@@ -81,10 +85,11 @@ def replicate(docs: DataFrame, weights=None, budget: float | None = None, seed:
 
 def poisson_mixture(docs: DataFrame, weights=None, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """doc_id, source, n_bytes, rate, copies, copy, shuffle_key: one row per copy."""
-    return replicate(docs.select("doc_id", "source", "text"), weights, budget, seed).select(
+    sized = docs.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("__cl_bytes"))
+    return replicate(sized, weights, budget, seed).select(
         "doc_id",
         "source",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        F.col("__cl_bytes").alias("n_bytes"),
         F.round("__cl_rate", 6).alias("rate"),
         F.col("__cl_copies").alias("copies"),
         F.col("__cl_copy").alias("copy"),
