@@ -139,20 +139,20 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float], *, group_
     x = df.select(*g, F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     pre = value_prefix(x, "_x", {"c": F.lit(1).cast("long")}, group_cols=group_cols)
     sizes = pre.groupBy(*g).agg(F.sum("c").alias("_n"))
-    j = pre.join(sizes, g, "inner") if g else pre.select("*", sizes.select("_n").scalar().alias("_n"))
-    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    first = F.col("cum_c") - F.col("c")
-    holds = lambda r: (first <= r) & (r < F.col("cum_c"))
-    wanted = F.lit(False)
-    for p in pos:
-        wanted = wanted | holds(F.floor(p)) | holds(F.ceil(p))
-    aggs = []
-    for i, p in enumerate(pos):
-        low = F.max(F.when(holds(F.floor(p)), F.col("value")))
-        high = F.max(F.when(holds(F.ceil(p)), F.col("value")))
-        share = F.max(p - F.floor(p))
-        aggs.append((low + (high - low) * share).alias(f"q{i}"))
-    return j.where(wanted).groupBy(*g).agg(*aggs)
+    place = lambda p: p * (F.col("_n") - 1)
+    both = F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.array(F.floor(place(p)), F.ceil(place(p)))))
+    sizes = sizes.withColumn("_ranks", F.array_distinct(both))
+    j = pre.join(sizes, g, "inner") if g else pre.select("*", *[sizes.select(c).scalar().alias(c) for c in ("_n", "_ranks")])
+    here = F.filter("_ranks", lambda r: (F.col("cum_c") - F.col("c") <= r) & (r < F.col("cum_c")))
+    found = j.select(*g, "_n", "value", F.explode(here).alias("_rank"))
+    # two values per group and probability: a small map of order statistics
+    at = found.groupBy(*g).agg(F.first("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_rank", "value"))).alias("_at"))
+    out = []
+    for i, p in enumerate(probs):
+        spot = place(F.lit(float(p)))
+        low, high = F.element_at("_at", F.floor(spot)), F.element_at("_at", F.ceil(spot))
+        out.append((low + (high - low) * (spot - F.floor(spot))).alias(f"q{i}"))
+    return at.select(*g, *out)
 
 
 def exact_percentiles_multi(df: DataFrame, cols, probs: list[float]) -> dict:
