@@ -36,17 +36,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.pretokens import text_slices
+
 ORDER = 5
 SAMPLE_CHARS = 1_500_000
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 2.0
 SPREAD = 1 / 20  # variance that does not vanish with length: texts mix languages, codes and names
 UNDETERMINED = "und"
-SLICE_CHARS = 2_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _LETTER, _MARK, _GAP, _UNKNOWN = range(4)
 _KINDS = np.full(0x110000, _UNKNOWN, np.uint8)
@@ -215,22 +217,11 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_CHARS or i + 1 == len(texts):
-            yield start, i + 1
-            start, size = i + 1, 0
-
-
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        all_langs, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in sorted(set(all_langs)):
-            texts = [t for x, t in zip(all_langs, all_texts) if x == lang]
-            for a, b in _slices(texts):
-                points, owner, _ = normalised(texts[a:b])
+        for lang in sorted(set(batch.column(0).to_pylist())):
+            for _, _, texts in text_slices(batch.filter(pc.equal(batch.column(0), lang)).column(1)):
+                points, owner, _ = normalised(texts)
                 place = np.flatnonzero(owner >= 0)
                 _, first, n = np.unique(_window_hashes(points)[ORDER][place], return_index=True, return_counts=True)
                 line = points.tobytes().decode("utf-32-le")
@@ -265,9 +256,9 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = shared.value
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                bits, chars, letters = identifier.bits(texts[a:b])
+            langs = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1)):
+                bits, chars, letters = identifier.bits(texts)
                 own = [identifier.languages.index(x) if x in identifier.languages else -1 for x in langs[a:b]]
                 use = [i for i, m in enumerate(own) if m >= 0 and letters[i]]
                 yield pa.RecordBatch.from_arrays(
@@ -297,9 +288,8 @@ def _predicted(rows: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = model.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("__cl_text").to_pylist()]
-            for a, b in _slices(texts):
-                languages, score, bits, rejected = identifier.predict(texts[a:b])
+            for a, b, texts in text_slices(batch.column("__cl_text")):
+                languages, score, bits, rejected = identifier.predict(texts)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(languages, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)],

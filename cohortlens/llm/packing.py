@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
-from cohortlens.llm.pretokens import id_cache, slices
+from cohortlens.llm.pretokens import id_cache, text_slices
 
 CAPACITY = 1024
 END_ID = 2
 SALTS = 256
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -55,9 +55,9 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = id_cache(tokenizer_path)
         for batch in batches:
-            doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(np.array([len(t) for t in texts]), SLICE_CHARS):
-                ids, counts = cache.encode(texts[a:b])
+            doc_ids = batch.column(0)
+            for a, b, texts in text_slices(batch.column(1), SLICE_CHARS):
+                ids, counts = cache.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
                 n = -(-counts // capacity)

@@ -10,8 +10,11 @@ space is asked of the library itself, so its Unicode tables hold.
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
@@ -242,3 +245,9 @@ def slices(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
     group = (np.cumsum(lengths) - lengths) // most
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     return list(zip(starts.tolist(), [*starts[1:].tolist(), len(lengths)]))
+
+
+def text_slices(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, int, list[str]]]:
+    """Consecutive rows of about ``most`` characters and their texts (null as empty): bounds what a worker holds."""
+    for a, b in slices(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False), most):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]

@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
-from cohortlens.llm.langid import _slices, _values, normalised
+from cohortlens.llm.langid import _values, normalised
+from cohortlens.llm.pretokens import text_slices
 
 #: name -> label expression, in the order of the chain; the last one decides
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
@@ -263,9 +264,8 @@ def predict_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts):
-                p, verdict = chain.predict(texts[a:b])
+            for a, b, texts in text_slices(batch.column(1)):
+                p, verdict = chain.predict(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *(pa.array(p[:, i]) for i in range(p.shape[1])), pa.array(verdict)],
                     ["doc_id", *names, chain.names[-1]],
