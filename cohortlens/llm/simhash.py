@@ -76,7 +76,7 @@ def with_fingerprint(docs: DataFrame, keep: Sequence[str], name: str = "__cl_fp"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, words) for t in batch.column("__cl_text").to_pylist()]
+            found = [fingerprint(t.as_py(), words) for t in batch.column("__cl_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.int64())], [*keep, name])
 
     out = docs.select(*keep).withColumn(name, F.lit(0).cast("bigint")).schema
@@ -138,7 +138,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_
     # 66 rows per fingerprint go through one exchange, which counting and joining share;
     # both numbers of partitions are given, as the few bytes before it say nothing of the rows after
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = distinct.repartition(n, "fp").select("fp", F.explode(_variants()).alias("key")).repartition(n, "key")
+    index = distinct.repartition(n).select("fp", F.explode(_variants()).alias("key")).repartition(n, "key")
     # distinct fingerprints: a key is shared when its smallest and largest differ (this reads fp, so both sides
     # of the join need the same exchange)
     ends = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
