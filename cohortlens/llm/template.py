@@ -9,18 +9,26 @@ equivalence class.  Spark never builds the vectors: it sums two hashes of
 pages of a large host combine before the shuffle.
 
 A class is valid when it holds a tag and another token and its pages are at
-least ``MIN_PAGES`` and ``MIN_SHARE`` of the host's.  The valid classes,
-nested by the containers in their paths, are the host's template.  On each
-page the text that the template does not hold fills its slots; slots inside
+least ``MIN_PAGES`` and ``MIN_SHARE`` of the host's.  The tokens of a valid
+class are ordered by where they first occur, summed over the host's pages;
+the ordered classes are the host's template.  On each page the classes are
+nested: a class that opens inside the gap of another is its child until a
+token of the outer one follows.  A slot is the gap after a token of a class,
+and the text that the template does not hold fills the slots.  Text inside
 containers for menus, headers, footers, side bars, notices, adverts, forms
-and reader comments are left out, and where the template has a slot for the
-article (``article``, ``main`` or role main) that slot is the page's text.
+and reader comments is left out.  Where a token of the template is inside
+``article``, ``main`` or role main, the slots after such tokens are the main
+ones and only their text is taken; else the text of all slots is.
 
 Defined results
     * null or empty html, or no text: empty text;
     * a host with too few pages has no template; its pages are read by their
       containers alone; pages without a host are a host of their own;
-    * text inside the article slot is never dropped for being frequent;
+    * a page that fills no main slot of its host's template, or has an article
+      where the template has none, is read by its containers, too, less the
+      template's text;
+    * text of the template is dropped inside the article, too, but a page
+      whose main slots hold nothing else (copies of one page) keeps it;
     * repeated rows get a row each; an empty table gives an empty result;
       extra columns are ignored.
 """
@@ -84,11 +92,14 @@ def _hash(*parts: str) -> int:
 
 
 class Page:
-    """What one page holds: text blocks outside left-out containers, tags, and whether there is an article slot."""
+    """What one page holds: text blocks outside left-out containers, tags, and whether there is an article slot.
+
+    ``events``: tokens in page order, the block of each (None: a tag), and whether what follows is inside the article.
+    """
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.tags: list[int] = []
+        self.events: list[tuple[int, Block | None, bool]] = []
         self.has_main = False
         self._stack: list[tuple[str, str, bool, bool]] = []  # name, path, left out, main
         self._text: list[str] = []
@@ -101,7 +112,9 @@ class Page:
             text = " ".join("".join(self._text).split())
             if text:
                 path = self._stack[-1][1] if self._stack else ""
-                self.blocks.append(Block(text, self._in_main, _hash("text", path, text)))
+                block = Block(text, self._in_main, _hash("text", path, text))
+                self.blocks.append(block)
+                self.events.append((block.token, block, block.main))
             self._text = []
 
     def _say(self, raw: str) -> None:
@@ -121,13 +134,14 @@ class Page:
         inline = name in INLINE
         if not inline:
             self._flush()
-        here = f"{path}/{name}.{'.'.join(sorted(words))}"
-        self.tags.append(_hash("tag", here))
+        here = f"{path}/{name}.{'.'.join(sorted(w for w in words if not w.isdigit()))}"  # numbers of articles differ by page
+        inside = (main or is_main) and not (out or drops)
+        self.events.append((_hash("tag", here), None, inside))
         if name in VOID or ((inline or name in LEAF) and not drops and not is_main):
             return
         if name == "p" and self._stack and self._stack[-1][0] == "p":
             self._stack.pop()
-        self._stack.append((name, here, out or drops, (main or is_main) and not (out or drops)))
+        self._stack.append((name, here, out or drops, inside))
         self.has_main |= is_main and not (out or drops)
 
     def _close(self, name: str) -> None:
@@ -135,8 +149,13 @@ class Page:
             self._flush()
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] == name:
+                here = self._stack[i][1]
                 del self._stack[i:]
-                return
+                break
+        else:
+            here = f"{self._stack[-1][1] if self._stack else ''}/{name}"
+        if name not in INLINE:
+            self.events.append((_hash("end", here), None, bool(self._stack) and self._stack[-1][3]))
 
     def _read(self, html: str) -> None:
         at = 0
@@ -158,13 +177,64 @@ class Page:
                 self._close(name)
         self._say(html[at:])
 
-    def tokens(self) -> Counter:
-        return Counter(self.tags + [b.token for b in self.blocks])
-
-    def main_text(self, template: frozenset[int]) -> str:
+    def tokens(self) -> dict[int, tuple[int, int, bool, bool]]:
+        """Of each distinct token: occurrences, place of the first, whether a tag, whether the article goes on after it."""
+        found: dict[int, tuple[int, int, bool, bool]] = {}
+        for at, (token, block, inside) in enumerate(self.events):
+            n, first, is_tag, main = found.get(token, (0, at, False, False))
+            found[token] = n + 1, first, is_tag or block is None, main or inside
+        return found
+
+    def main_text(self, template: Template | None) -> str:
+        if not template:
+            return "\n".join(b.text for b in self.blocks if b.main or not self.has_main)
+        slots = template.slots(self.events)
+        if template.has_main and any(s is not None and template.is_main(s) for _, s in slots):
+            held = [b for b, s in slots if s is not None and template.is_main(s)]
+            own = [b for b in held if b.token not in template.places]
+            return "\n".join(b.text for b in own or held)
         if self.has_main:
-            return "\n".join(b.text for b in self.blocks if b.main)
-        return "\n".join(b.text for b in self.blocks if b.token not in template)
+            held = [b for b in self.blocks if b.main]
+            return "\n".join(b.text for b in [b for b in held if b.token not in template.places] or held)
+        return "\n".join(b.text for b in self.blocks if b.token not in template.places)
+
+
+class Template:
+    """The ordered valid classes of a host, from rows of token, class and whether a slot after the token is a main one."""
+
+    def __init__(self, rows: np.ndarray):
+        self.places: dict[int, tuple[int, int]] = {}  # token: its class, its place in the class
+        self._main: dict[tuple[int, int], bool] = {}
+        sizes: Counter = Counter()
+        for token, kind, main in rows.reshape(-1, 3).tolist():
+            self.places[token] = here = kind, sizes[kind]
+            self._main[here] = bool(main)
+            sizes[kind] += 1
+        self._sizes = sizes
+        self.has_main = any(self._main.values())
+
+    def __bool__(self) -> bool:
+        return bool(self.places)
+
+    def is_main(self, slot: tuple[int, int]) -> bool:
+        return self._main[slot]
+
+    def slots(self, events: list[tuple[int, Block | None, bool]]) -> list[tuple[Block, tuple[int, int] | None]]:
+        """The slot of every block: the class that is open innermost and its last token before."""
+        out, open_ = [], []  # open classes from the outermost, each with the place reached
+        for token, block, _ in events:
+            here = self.places.get(token)
+            if here is not None:
+                kind, place = here
+                level = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == kind), None)
+                if level is not None:  # goes on (or begins anew), and ends the classes inside
+                    del open_[level:]
+                while open_ and open_[-1][1] == self._sizes[open_[-1][0]] - 1:
+                    open_.pop()  # complete: what opens now is beside it, not inside
+                open_.append((kind, place))
+            if block is not None:
+                out.append((block, open_[-1] if open_ else None))
+        return out
 
 
 # ---------------------------------------------------------------- template
@@ -173,32 +243,34 @@ def host_of(url: str = "url") -> Column:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, token, is_tag, a, b: hashes of (page, occurrences) of every distinct token of every page."""
+    """host, token, is_tag, main, at, a, b of every distinct token of every page; a, b: hashes of (page, occurrences)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, tokens, tags, keys = [], [], [], []
+            hosts, tokens, tags, mains, places, keys = [], [], [], [], [], []
             for host, url, html in zip(*(batch.column(c).to_pylist() for c in ("host", "url", "html"))):
                 page, key = Page(html or ""), xxhash.xxh64_intdigest(f"{url}\0{html}")
-                kinds = set(page.tags)
-                for token, n in page.tokens().items():
+                for token, (n, first, is_tag, main) in page.tokens().items():
                     hosts.append(host)
                     tokens.append(token)
-                    tags.append(token in kinds)
+                    tags.append(is_tag)
+                    mains.append(main)
+                    places.append(first)
                     keys.append(xxhash.xxh64_intdigest(n.to_bytes(8, "little"), key))
             keys = np.array(keys, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), pa.array(tokens, pa.int64()), pa.array(tags, pa.bool_()),
+                 pa.array(mains, pa.bool_()), pa.array(places, pa.int64()),
                  pa.array((keys & np.uint64(0x7FFFFFFF)).astype(np.int64)), pa.array((keys >> np.uint64(33)).astype(np.int64))],
-                ["host", "token", "is_tag", "a", "b"],
+                ["host", "token", "is_tag", "main", "at", "a", "b"],
             )
 
     rows = pages.select(host_of().alias("host"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "host string, token bigint, is_tag boolean, a bigint, b bigint")
+    return rows.mapInArrow(run, "host string, token bigint, is_tag boolean, main boolean, at bigint, a bigint, b bigint")
 
 
 def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, template: the tokens of the host's valid classes.
+    """host, template: (token, class, main) of the host's valid classes one after another, each class in its order.
 
     A token of a template is on a share ``min_share`` of the host's pages, so
     a template is no longer than 1 / min_share pages.
@@ -206,7 +278,10 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     vectors = (
         page_tokens(pages)
         .groupBy("host", "token")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("is_tag").alias("is_tag"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("is_tag").alias("is_tag"),
+            F.max("main").alias("main"), F.sum("at").alias("at"),
+        )
         .where(F.col("n") >= min_pages)
     )
     vectors = staged(vectors, "occurrence-vectors")
@@ -219,7 +294,10 @@ def host_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
         .where(F.col("n") >= F.lit(min_share) * F.col("pages"))
         .select("host", "n", "a", "b")
     )
-    return vectors.join(classes, ["host", "n", "a", "b"]).groupBy("host").agg(F.collect_list("token").alias("template"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.xxhash64("n", "a", "b").alias("kind"), "at", "token", "main")))
+    return vectors.join(classes, ["host", "n", "a", "b"]).groupBy("host").agg(
+        F.flatten(F.transform(ordered, lambda x: F.array(x["token"], x["kind"], x["main"].cast("bigint")))).alias("template")
+    )
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -232,10 +310,11 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
         for batch in batches:
             texts, known = [], {}
             for html, template in zip(batch.column("html").to_pylist(), batch.column("template")):
-                tokens = tuple(template.as_py() or ()) if template.is_valid else ()
-                if tokens not in known:
-                    known[tokens] = frozenset(tokens)
-                texts.append(Page(html or "").main_text(known[tokens]))
+                rows = template.values.to_numpy() if template.is_valid else np.zeros(0, np.int64)
+                name = rows.tobytes()
+                if name not in known:
+                    known[name] = Template(rows)
+                texts.append(Page(html or "").main_text(known[name]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

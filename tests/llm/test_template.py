@@ -3,8 +3,10 @@
 import html as H
 import re
 
+import numpy as np
+
 from cohortlens.llm.queries import QUERIES
-from cohortlens.llm.template import Page, main_texts
+from cohortlens.llm.template import Block, Page, Template, main_texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,30 @@ def test_unmarked_template_text_is_dropped(spark):
     assert out[100] == ["Home News\nTitle 100\nBody of 100.\nrare\nAll rights"]  # one page: no template
     assert out[200] == ["no host"] and out[201] == [""] and out[202] == [""]
     assert main_texts(pages.limit(0)).count() == 0
+
+
+def test_template_picks_the_slots_inside_the_article(spark, tmp_path):
+    def page(i):
+        return f"""<body><div>Site</div><article><h1>Title {i}</h1><div><p>Share this story</p></div><p>Body of {i}.</p>{"<p>More.</p>" * (i % 3)}
+        <section><p>Read our terms</p></section></article><div>Around {i}</div></body>"""
+
+    rows = [(i, f"http://big.example/{i}", page(i)) for i in range(12)]
+    rows += [(50, "http://big.example/50", "<body><div>Site</div><div><p>No article here</p></div></body>")]
+    rows += [(100 + i, f"http://few.example/{i}", page(i)) for i in range(4)]  # too few pages: by the containers alone
+    rows += [(200 + i, f"http://copies.example/{i}", "<article><h1>Same</h1><p>text</p></article>") for i in range(8)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.page_id: r.text.split("\n") for r in QUERIES["op10_template_extraction"](spark, str(tmp_path)).collect()}
+    for i in range(12):
+        assert out[i] == [f"Title {i}", f"Body of {i}."] + ["More."] * (i % 3)
+    assert out[50] == ["No article here"]
+    assert out[100] == ["Title 0", "Share this story", "Body of 0.", "Read our terms"]
+    assert out[203] == ["Same", "text"]
+
+
+def test_classes_are_ordered_and_nested():
+    table = [(1, 10, 0), (2, 10, 1), (3, 10, 0), (7, 20, 1), (8, 20, 1)]  # tokens 1 2 3 around repeats of 7 8
+    found, text = Template(np.array(table, np.int64).ravel()), Block("x", False, 99)
+    order = [text, 1, text, 2, text, 7, text, 8, 7, text, 3, text]
+    slots = [s for _, s in found.slots([(e, None, False) if isinstance(e, int) else (99, e, False) for e in order])]
+    assert slots == [None, (10, 0), (10, 1), (20, 0), (20, 0), (10, 2)]
+    assert [found.is_main(s) for s in slots[1:]] == [False, True, True, True, False]
