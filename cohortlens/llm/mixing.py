@@ -44,8 +44,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = N
     None keeps the bytes of the weighted sources.
     """
     spark = docs.sparkSession
-    size = F.octet_length("text") if "__cl_bytes" not in docs.columns else F.col("__cl_bytes")
-    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(size, F.lit(0)).cast("bigint")).alias("bytes"))
+    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).alias("bytes"))
     if weights is None:
         weighed = sizes.withColumn("weight", F.lit(1.0))
     else:
@@ -83,20 +82,20 @@ def replicate(docs: DataFrame, weights=None, budget: float | None = None, seed:
     return keyed.drop("__cl_source", "__cl_parts", "__cl_cdf").repartition("__cl_order").sortWithinPartitions("__cl_order")
 
 
+def mix_documents(docs: DataFrame, weights=None, budget: float | None = None, seed: int = SEED, draws: bool = False) -> DataFrame:
+    """The mixture itself: rows of ``docs``, each as often as drawn, shuffled; ``draws`` keeps the columns of ``replicate``."""
+    kept = ["__cl_rate", "__cl_copies", "__cl_copy", "__cl_order"] if draws else []
+    return replicate(docs, weights, budget, seed).select(*docs.columns, *kept)
+
+
 def poisson_mixture(docs: DataFrame, weights=None, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, source, n_bytes, rate, copies, copy, shuffle_key: one row per copy."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("__cl_bytes"))
-    return replicate(sized, weights, budget, seed).select(
+    """doc_id, source, n_bytes, rate, copies, copy, shuffle_key: one row per copy, measured on the mixed texts."""
+    return mix_documents(docs.select("doc_id", "source", "text"), weights, budget, seed, draws=True).select(
         "doc_id",
         "source",
-        F.col("__cl_bytes").alias("n_bytes"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
         F.round("__cl_rate", 6).alias("rate"),
         F.col("__cl_copies").alias("copies"),
         F.col("__cl_copy").alias("copy"),
         F.col("__cl_order").alias("shuffle_key"),
     )
-
-
-def mix_documents(docs: DataFrame, weights=None, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """The mixture itself: rows of ``docs``, each as often as drawn, shuffled."""
-    return replicate(docs, weights, budget, seed).select(*docs.columns)

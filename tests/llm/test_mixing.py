@@ -61,3 +61,13 @@ def test_ties_and_empty(spark, docs):
     out = poisson_mixture(twice, budget=30).collect()
     assert len([r for r in out if r.doc_id == 1]) == 2 * plain_count(1, 10.0)
     assert poisson_mixture(docs.limit(0)).count() == 0
+
+
+def test_texts_move_through_the_exchange(spark, docs):
+    node = poisson_mixture(docs)._jdf.queryExecution().optimizedPlan()
+    while "Repartition" not in node.nodeName():
+        node = node.children().head()
+    dealt = node.output().mkString(" ")
+    assert "text#" in dealt and "bytes" not in dealt
+    size = {r.doc_id: len(r.text or "") for r in docs.collect()}
+    assert all(r.n_bytes == size[r.doc_id] for r in poisson_mixture(docs).collect())
