@@ -7,15 +7,18 @@ back-off weights.  A text gets the language with the lowest cross-entropy
 per character of its *whole* text.
 
 Learning uses text and ``lang`` of rows whose crc32(doc_id) mod 3 is not 1:
-remainder 0 is counted, remainder 2 calibrates rejection.  Both are sampled
-by a hash of the text to about ``SAMPLE_CHARS`` characters per language (the
-documented bound of the fit; counts are summed by Spark, the driver gets the
-distinct n-grams of that sample).  Prediction reads every text.
+remainder 0 is counted, remainder 2 calibrates rejection.  Copies count as
+one text.  Of the distinct texts of remainder 0, each language takes texts in
+the order of a hash until ``SAMPLE_CHARS`` characters are full, but
+``MIN_TEXTS`` texts at least (the documented bound of the fit; counts are
+summed by Spark, the driver gets the distinct n-grams of that sample).  All
+distinct texts of remainder 2 that weren't counted calibrate; their means and
+quantile are taken by Spark.  Prediction reads every text.
 
 Rejection: a text is rejected when it holds no letter, or when its excess
 cross-entropy over its language's mean, in units that widen for short texts,
 is beyond ``REJECT_MARGIN`` times the ``REJECT_QUANTILE`` of all calibration
-texts.
+texts (the smallest excess that this share of them doesn't exceed).
 
 Texts are lower-cased; everything but letters and marks is white space, and
 runs of white space are one blank.
@@ -31,6 +34,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -41,16 +45,19 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import staged
 from cohortlens.llm.pretokens import text_slices
 
 ORDER = 5
 SAMPLE_CHARS = 1_500_000
+MIN_TEXTS = 50
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 2.0
 SPREAD = 1 / 20  # variance that does not vanish with length: texts mix languages, codes and names
 UNDETERMINED = "und"
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _LETTER, _MARK, _GAP, _UNKNOWN = range(4)
+_DRAW_BITS, _EXCESS_BITS, _ROUND_BITS = 60, 30, 10
 _KINDS = np.full(0x110000, _UNKNOWN, np.uint8)
 
 
@@ -232,18 +239,51 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def key_cuts(rows: DataFrame, bits: int, budget: float, least: int) -> dict[str, int]:
+    """Of each lang, the largest key taken when rows are taken by rising key until ``budget`` chars are full, ``least`` rows at least.
+
+    ``rows``: lang, key (not negative, of so many bits), chars.  Each round looks into the one cell of 2 **
+    ``_ROUND_BITS`` where the budget runs out, so the driver gets as many sums of each language at most.
+    """
+    spark, cuts = rows.sparkSession, {}
+    open_ = {r["lang"]: (0, 0, 0) for r in rows.select("lang").distinct().collect()}  # prefix of the cell, chars and rows before it
+    shift = bits
+    while open_:
+        width, shift = shift, max(0, shift - _ROUND_BITS)
+        cells = spark.createDataFrame([(lang, at[0]) for lang, at in sorted(open_.items())], "lang string, prefix bigint")
+        sums = (
+            rows.join(F.broadcast(cells), "lang").where(F.shiftright("key", width) == F.col("prefix"))
+            .groupBy("lang", F.shiftright("key", shift).alias("cell"))
+            .agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n"), F.max("key").alias("last"))
+        )
+        found = sorted((r["lang"], r["cell"], r["chars"], r["n"], r["last"]) for r in sums.collect())
+        before, open_ = open_, {}
+        done = set()
+        for lang, cell, chars, n, last in found:
+            _, c, t = before[lang]
+            if lang in done or (c >= budget and t >= least):
+                continue
+            if n > 1 and shift and c + chars >= budget and t + n > least:
+                open_[lang] = cell, c, t
+                done.add(lang)
+                continue
+            cuts[lang] = last
+            before[lang] = 0, c + chars, t + n
+    return cuts
+
+
 def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
     """Learn an ``Identifier`` from doc_id, text and lang."""
-    known = docs.select("text", "lang", remainder().alias("part")).where("text IS NOT NULL AND lang IS NOT NULL AND part <> 1")
-    sizes = known.groupBy("lang", "part").agg(F.sum(F.length("text")).alias("chars")).collect()
-    chance = {(r["lang"], r["part"]): sample_chars / max(1, r["chars"]) for r in sizes}
-    # a hash of the text draws the sample, the same at every run and partitioning
-    draw = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = F.lit(False)
-    for (lang, part), p in sorted(chance.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("part") == part) & (draw < min(1.0, p)))
-    sample = known.where(chosen)
-    counted = sample.where("part = 0").select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, n bigint")
+    # a hash of the text tells copies and orders the texts, the same at every run and partitioning
+    draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 64 - _DRAW_BITS)
+    known = docs.select(F.col("text").cast("string").alias("text"), "lang", remainder().alias("part"))
+    known = known.where("text IS NOT NULL AND lang IS NOT NULL AND part <> 1").withColumn("key", draw)
+    texts = known.where("part = 0").groupBy("lang", "key").agg(F.max(F.length("text")).cast("bigint").alias("chars"))
+    texts = staged(texts, "labelled-texts")
+    cuts = key_cuts(texts, _DRAW_BITS, sample_chars, MIN_TEXTS)
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(sorted(cuts.items()), "lang string, cut bigint"))
+    sample = known.where("part = 0").join(cuts, "lang").where("key <= cut").dropDuplicates(["lang", "key"])
+    counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, n bigint")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
     langs = np.array(table["lang"].to_pylist(), object)
     grams = np.frombuffer("".join(table["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
@@ -256,7 +296,7 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = shared.value
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            langs, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b, texts in text_slices(batch.column(1)):
                 bits, chars, letters = identifier.bits(texts)
                 own = [identifier.languages.index(x) if x in identifier.languages else -1 for x in langs[a:b]]
@@ -264,19 +304,29 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([langs[a + i] for i in use], pa.string()),
+                        pa.array([keys[a + i] for i in use], pa.int64()),
                         pa.array([float(bits[i, own[i]]) for i in use], pa.float64()),
                         pa.array([int(chars[i]) for i in use], pa.int64()),
                     ],
-                    ["lang", "bits", "chars"],
+                    ["lang", "key", "bits", "chars"],
                 )
 
     if found.models:
-        calibration = sample.where("part = 2").select("lang", "text").mapInArrow(score, "lang string, bits double, chars bigint")
-        rows = calibration.toPandas()
-        if len(rows):
-            found.means = {x: float(np.average(g.bits, weights=g.chars)) for x, g in rows.groupby("lang")}
-            excess = Identifier.excess(rows.bits.to_numpy(), rows.lang.map(found.means).to_numpy(), rows.chars.to_numpy())
-            found.limit = max(1.0, float(np.quantile(excess, REJECT_QUANTILE))) * REJECT_MARGIN
+        scored = known.where("part = 2").select("lang", "text", "key").mapInArrow(score, "lang string, key bigint, bits double, chars bigint")
+        distinct = scored.groupBy("lang", "key").agg(F.max("bits").alias("bits"), F.max("chars").alias("chars"))
+        taken = texts.join(cuts, "lang").where("key <= cut").select("key")
+        rows = staged(distinct.join(taken, "key", "left_anti"), "calibration")
+        micro = F.sum(F.round(F.col("bits") * F.col("chars") * 1e6).cast("decimal(38,0)"))  # whole numbers: the same in any order
+        sums = rows.groupBy("lang").agg(micro.alias("micro"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).collect()
+        if sums:
+            found.means = {r["lang"]: float(r["micro"]) / 1e6 / r["chars"] for r in sums}
+            means = F.broadcast(docs.sparkSession.createDataFrame(sorted(found.means.items()), "lang string, mean double"))
+            excess = (F.col("bits") - F.col("mean")) / F.sqrt(1 / F.greatest(F.col("chars"), F.lit(1)) + SPREAD)
+            zero = 1 << (_EXCESS_BITS - 1)
+            key = F.least(F.greatest(F.round(excess * 1e6) + zero, F.lit(0)), F.lit(2 * zero - 1)).cast("bigint")
+            keys = rows.join(means, "lang").select(F.lit("").alias("lang"), key.alias("key"), F.lit(1).cast("bigint").alias("chars"))
+            rank = math.ceil(REJECT_QUANTILE * sum(r["n"] for r in sums))
+            found.limit = max(1.0, (key_cuts(keys, _EXCESS_BITS, 0, rank)[""] - zero) / 1e6) * REJECT_MARGIN
         shared = context.broadcast(found)
     return shared
 

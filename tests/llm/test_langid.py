@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cohortlens.llm.langid import ORDER, KneserNey, _window_hashes, drop_rejected, identify_languages, normalised
+from cohortlens.llm.langid import MIN_TEXTS, ORDER, KneserNey, _window_hashes, drop_rejected, fit, identify_languages, key_cuts, normalised
 
 SF = "/root/testdata/sf0.01"
 
@@ -86,3 +86,23 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "text", None), (2, None, None)], "doc_id bigint, text string, lang string")
     assert [(r.lang_pred, r.rejected) for r in identify_languages(docs).orderBy("doc_id").collect()] == [("und", False), ("und", True)]
     assert identify_languages(docs.limit(0)).count() == 0
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    words = {"aa": "wolu takemi ponar silue".split(), "bb": "grsch dtrk pfund zwrn".split()}
+    rows = [(0, "hot " * 500, "aa")] * 3000
+    rows += [(i, " ".join(words[x][(i * k) % 4] for k in range(1, 30)) + f" {words[x][i % 4]}", x) for x in words for i in range(1, 400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    truth = {i: {"aa", "bb"} for i in range(1, 400)}
+    out = [r for r in identify_languages(docs, sample_chars=2_000).collect() if r.doc_id in truth]
+    assert sorted(r.lang_pred for r in out) == ["aa"] * 399 + ["bb"] * 399
+    assert fit(docs, sample_chars=2_000).value.languages == ["aa", "bb"]
+
+
+def test_texts_are_taken_in_order_until_the_budget_is_full(spark):
+    keys = [(x, (k * 7919) % (1 << 20) + (k % 3 << 50), c) for x, c in (("a", 10), ("b", 1000)) for k in range(300)]
+    rows = spark.createDataFrame(keys, "lang string, key bigint, chars bigint")
+    got = key_cuts(rows, 60, 1505, 20)
+    order = {x: sorted(k for y, k, _ in keys if y == x) for x in "ab"}
+    assert got == {"a": order["a"][150], "b": order["b"][19]}
+    assert key_cuts(rows, 60, 1e9, 0) == {x: order[x][-1] for x in "ab"} and key_cuts(rows.limit(0), 60, 9, MIN_TEXTS) == {}
