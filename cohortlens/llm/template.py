@@ -16,7 +16,9 @@ nested: a class that opens inside the gap of another is its child until a
 token of the outer one follows.  A slot is the gap after a token of a class,
 and the text that the template does not hold fills the slots.  Text inside
 containers for menus, headers, footers, side bars, notices, adverts, forms
-and reader comments is left out.  Where a token of the template is inside
+and reader comments is left out; they are told by their element, or by a whole
+class, id or role from a short list, which never leaves out an article inside
+them nor a heading or paragraph tag inside an article.  Where a token of the template is inside
 ``article``, ``main`` or role main, the slots after such tokens are the main
 ones and only their text is taken; else the text of all slots is.
 
@@ -66,8 +68,15 @@ LEFT_OUT = frozenset(
 LEFT_OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar aside widget header masthead footer cookie cookies consent gdpr notice notices popup modal "
-    "comment comments disqus social share sharing related recommended newsletter subscribe pagination pager".split()
+    "comment comments disqus social share sharing related recommended newsletter subscribe pagination pager "
+    "cookie-notice cookie-banner cookie-bar cookie-consent site-header site-footer page-footer main-nav main-menu".split()
 )
+PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
+# what a start tag ends when it is open innermost: HTML lets these go unclosed
+ENDS = {name: ("p",) for name in (
+    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
+    "section table ul".split()
+)} | {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 MAIN = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
@@ -101,7 +110,7 @@ class Page:
         self.blocks: list[Block] = []
         self.events: list[tuple[int, Block | None, bool]] = []
         self.has_main = False
-        self._stack: list[tuple[str, str, bool, bool]] = []  # name, path, left out, main
+        self._stack: list[tuple[str, str, int, bool]] = []  # name, path, left out (1: by a word, 2: by its element), main
         self._text: list[str] = []
         self._in_main = False
         self._read(html)
@@ -128,20 +137,24 @@ class Page:
     def _open(self, name: str, attributes: str) -> None:
         names = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attributes)] if "=" in attributes else []
         words = {w for _, v in names for w in _WORD.findall(v.lower())}
-        _, path, out, main = self._stack[-1] if self._stack else ("", "", False, False)
         is_main = name in MAIN or ("role", "main") in names
-        drops = name in LEFT_OUT or (not is_main and name not in ("html", "body") and bool(words & LEFT_OUT_WORDS))
         inline = name in INLINE
         if not inline:
             self._flush()
+        while self._stack and self._stack[-1][0] in ENDS.get(name, ()):
+            self._stack.pop()
+        _, path, out, main = self._stack[-1] if self._stack else ("", "", 0, False)
+        if is_main and out == 1:  # an article is kept whatever the class of what holds it
+            out = 0
+        whole = {w for _, v in names for w in v.lower().split()}
+        worded = not is_main and name not in ("html", "body") and not whole.isdisjoint(LEFT_OUT_WORDS)
+        drops = 2 if name in LEFT_OUT else int(worded and not (main and name in PARAGRAPH))
         here = f"{path}/{name}.{'.'.join(sorted(w for w in words if not w.isdigit()))}"  # numbers of articles differ by page
         inside = (main or is_main) and not (out or drops)
         self.events.append((_hash("tag", here), None, inside))
         if name in VOID or ((inline or name in LEAF) and not drops and not is_main):
             return
-        if name == "p" and self._stack and self._stack[-1][0] == "p":
-            self._stack.pop()
-        self._stack.append((name, here, out or drops, inside))
+        self._stack.append((name, here, max(out, drops), inside))
         self.has_main |= is_main and not (out or drops)
 
     def _close(self, name: str) -> None:

@@ -80,3 +80,16 @@ def test_classes_are_ordered_and_nested():
     slots = [s for _, s in found.slots([(e, None, False) if isinstance(e, int) else (99, e, False) for e in order])]
     assert slots == [None, (10, 0), (10, 1), (20, 0), (20, 0), (10, 2)]
     assert [found.is_main(s) for s in slots[1:]] == [False, True, True, True, False]
+
+
+def test_words_drop_whole_names_only():
+    for page, want in [
+        ("<div class='content no-sidebar'><article><h1>T</h1><p>x</p></article></div>", "T\nx"),
+        ("<div class='sidebar'><article><p>x</p></article><p>side</p></div>", "x"),
+        ("<article><h1 class='page-header'>T</h1><p class='notice-date'>May</p><p class='notice'>n</p><div class='ad'>Buy</div>x</article>", "T\nMay\nn\nx"),
+        ("<p class='ad'>Buy<p>Real text", "Real text"),
+        ("<ul><li class='ad'>Buy<li>item</ul>", "item"),
+        ("<table><tr><td class='promo'>Buy<td>cell<tr class='promo'><td>no<tr><td>yes</table>", "cell\nyes"),
+        ("<p class='ad'>Buy<div>Real</div>", "Real"),
+    ]:
+        assert Page(page).main_text(None) == want, page
