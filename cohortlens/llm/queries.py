@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import sql_h52, sql_uniform
+from cohortlens.llm.chat import chat_digests, format_chats, turn_rows
 from cohortlens.llm.common import read
 from cohortlens.llm.exact import exact_duplicates
 from cohortlens.llm.hostrules import judge
@@ -167,3 +169,34 @@ def op9_toxicity_chain(spark, d):
 def op10_template_extraction(spark, d):
     """Main text of all pages through their hosts' templates."""
     return main_texts(read(spark, d, "pages"))
+
+
+#: conversation -7 of the contract: both of its turns say this
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op13_chat_formatting",
+    r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, 'messages' AS layout FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', 'prompt_response'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', 'prompt_response'),
+    e AS (
+        SELECT *, CASE WHEN role IN ('user', 'assistant', 'system') THEN role ELSE '=' || url_encode(role) END AS label,
+               replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') AS escaped FROM t)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+           sum(length('### ' || label || ': ' || escaped || chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars,
+           any_value(layout) AS layout
+    FROM e GROUP BY conv_id
+    """,
+)
+def op13_chat_formatting(spark, d):
+    """All conversations, and one full of control strings, formatted and read back."""
+    rows = turn_rows(read(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    control = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(CONTROL_TEXT).alias("prompt"), F.lit(CONTROL_TEXT).alias("response"))
+    records = rows.unionByName(control, allowMissingColumns=True)
+    return chat_digests(format_chats(records), "conv_id")
