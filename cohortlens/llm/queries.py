@@ -19,6 +19,7 @@ from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.template import main_texts
 from cohortlens.llm.tokencount import token_counts
 from cohortlens.llm.toxicity import toxicity
+from cohortlens.llm.whitening import whitened_components
 from cohortlens.session import ensure_checkpoint_dir
 
 QUERIES = {}
@@ -200,3 +201,9 @@ def op13_chat_formatting(spark, d):
     control = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(CONTROL_TEXT).alias("prompt"), F.lit(CONTROL_TEXT).alias("response"))
     records = rows.unionByName(control, allowMissingColumns=True)
     return chat_digests(format_chats(records), "conv_id")
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark, d):
+    """All usable embeddings on the four leading components of the distinct vectors, at unit variance."""
+    return whitened_components(read(spark, d, "embeddings"), "vec_id", "embedding", components=4)
