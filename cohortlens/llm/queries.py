@@ -19,6 +19,7 @@ from cohortlens.llm.simhash import near_duplicates
 from cohortlens.llm.template import main_texts
 from cohortlens.llm.tokencount import token_counts
 from cohortlens.llm.toxicity import toxicity
+from cohortlens.llm.trie import prefix_trie, turn_sequences, with_borrowed_heads
 from cohortlens.llm.whitening import whitened_components
 from cohortlens.session import ensure_checkpoint_dir
 
@@ -207,3 +208,45 @@ def op13_chat_formatting(spark, d):
 def op12_embedding_whitening(spark, d):
     """All usable embeddings on the four leading components of the distinct vectors, at unit variance."""
     return whitened_components(read(spark, d, "embeddings"), "vec_id", "embedding", components=4)
+
+
+@query(
+    "op11_conversation_trie",
+    """
+    WITH own AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    crc AS (
+        SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+                   lambda x: list_prepend(ascii(x)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+                   lambda a, o: CASE WHEN o >= 0 THEN xor(a, o) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+        FROM (SELECT DISTINCT c FROM own)),
+    taken AS (SELECT crc.c, h, count(hub.pos) AS k FROM crc LEFT JOIN own hub ON hub.c = crc.c - crc.c % 100 AND hub.pos <= h GROUP BY ALL),
+    turns AS (
+        SELECT taken.c, hub.pos AS d, role, text FROM taken JOIN own hub ON hub.c = taken.c - taken.c % 100 AND hub.pos <= h
+        UNION ALL
+        SELECT c, pos - h + k, role, text FROM taken JOIN own USING (c) WHERE pos > h),
+    paths AS (
+        SELECT c, d, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY d)) AS key, length(text) AS len
+        FROM turns
+        UNION ALL SELECT c, 0, '', 0 FROM taken),
+    long_ AS (SELECT c, max(d) AS n FROM paths GROUP BY c),
+    ends AS (SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS h FROM paths JOIN long_ USING (c) WHERE d = n GROUP BY key),
+    nodes AS (SELECT key, d AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(len) AS len FROM paths GROUP BY key, d),
+    up AS (
+        SELECT n.*, q.key AS parent, pn.conv_id AS parent_conv_id
+        FROM nodes n LEFT JOIN paths q ON q.c = n.conv_id AND q.d = n.depth - 1 LEFT JOIN nodes pn ON pn.key = q.key),
+    kids AS (SELECT parent AS key, count(*) AS n_children FROM up WHERE parent IS NOT NULL GROUP BY parent),
+    sums AS (
+        SELECT a.key, sum((k.key IS NULL)::INT) AS n_leaves, sum((m.n_convs - 1) * m.len) AS saved_tokens
+        FROM nodes m JOIN paths a ON a.c = m.conv_id AND a.d <= m.depth LEFT JOIN kids k ON k.key = m.key GROUP BY a.key)
+    SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves,
+           saved_tokens::BIGINT AS saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+    FROM up JOIN sums USING (key) LEFT JOIN kids USING (key) LEFT JOIN ends USING (key)
+    """,
+)
+def op11_conversation_trie(spark, d):
+    """Trie of all conversations, each begun with turns of the hundred's first."""
+    turns = turn_sequences(read(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    return prefix_trie(*with_borrowed_heads(turns))
