@@ -11,14 +11,16 @@ remainder 0 is counted, remainder 2 calibrates rejection.  Copies count as
 one text.  Of the distinct texts of remainder 0, each language takes texts in
 the order of a hash until ``SAMPLE_CHARS`` characters are full, but
 ``MIN_TEXTS`` texts at least (the documented bound of the fit; counts are
-summed by Spark, the driver gets the distinct n-grams of that sample).  All
-distinct texts of remainder 2 that weren't counted calibrate; their means and
-quantile are taken by Spark.  Prediction reads every text.
+summed by Spark, the driver gets the distinct n-grams of that sample).  Distinct
+texts of remainder 2, taken in the same way until ``CALIBRATION_CHARS``
+characters of each language are full, calibrate unless they were counted; their
+means and quantile are taken by Spark.  Prediction reads every text.
 
 Rejection: a text is rejected when it holds no letter, or when its excess
 cross-entropy over its language's mean, in units that widen for short texts,
-is beyond ``REJECT_MARGIN`` times the ``REJECT_QUANTILE`` of all calibration
-texts (the smallest excess that this share of them doesn't exceed).
+is beyond ``REJECT_MARGIN`` times the ``REJECT_QUANTILE`` of the calibration
+texts (the smallest excess that this share of them doesn't exceed).  The margin
+makes the rejected share of ordinary texts much smaller than the quantile's.
 
 Texts are lower-cased; everything but letters and marks is white space, and
 runs of white space are one blank.
@@ -44,13 +46,17 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cohortlens.llm.common import staged
 from cohortlens.llm.pretokens import text_slices
 
 ORDER = 5
 SAMPLE_CHARS = 1_500_000
+CALIBRATION_CHARS = 8_000_000
 MIN_TEXTS = 50
+SLICE_CHARS = 250_000  # what a worker scores at once; its arrays take about 250 bytes a character
+KNOWN_GRAMS = 500_000  # n-grams whose log probabilities a worker keeps: 8 bytes each and 4 per language
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 2.0
 SPREAD = 1 / 20  # variance that does not vanish with length: texts mix languages, codes and names
@@ -180,6 +186,28 @@ class Identifier:
         self.models = [models[x] for x in self.languages]
         self.means: dict[str, float] = {}  # bits per character of calibration texts
         self.limit = np.inf  # largest excess over them
+        self._forget()
+
+    def _forget(self):
+        self._hashes = np.zeros(0, np.uint64)
+        self._logs = np.zeros((0, len(self.models)), np.float32)
+
+    def _scores(self, hashes: np.ndarray, ending: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+        """log2 p (n-grams x languages) of distinct n-grams in the order of their hashes; those met before are looked up."""
+        out = np.zeros((len(hashes), len(self.models)), np.float32)
+        at = np.searchsorted(self._hashes, hashes)
+        met = at < len(self._hashes)
+        met[met] = self._hashes[at[met]] == hashes[met]
+        out[met] = self._logs[at[met]]
+        new = np.flatnonzero(~met)
+        for m, model in enumerate(self.models):
+            out[new, m] = model.log2([w[new] for w in ending], [w[new] for w in before])
+        if len(self._hashes) + len(new) > KNOWN_GRAMS:
+            self._forget()
+        if len(new) <= KNOWN_GRAMS:
+            at = np.searchsorted(self._hashes, hashes[new])
+            self._hashes, self._logs = np.insert(self._hashes, at, hashes[new]), np.insert(self._logs, at, out[new], axis=0)
+        return out
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits per character (texts x languages), characters, letters of each text."""
@@ -187,13 +215,12 @@ class Identifier:
         chars = np.bincount(owner[owner >= 0], minlength=len(texts))
         windows = _window_hashes(points)
         place = np.flatnonzero(owner >= 0)
-        _, first, inverse = np.unique(windows[ORDER][place], return_index=True, return_inverse=True)
+        hashes, first, inverse = np.unique(windows[ORDER][place], return_index=True, return_inverse=True)
         at = place[first]
-        ending, before = [w[at] for w in windows], [w[at - 1] for w in windows]
+        logs = self._scores(hashes, [w[at] for w in windows], [w[at - 1] for w in windows])
         out = np.zeros((len(texts), len(self.models)))
-        for m, model in enumerate(self.models):
-            logs = model.log2(ending, before)
-            out[:, m] = -np.bincount(owner[place], weights=logs[inverse], minlength=len(texts))
+        for m in range(len(self.models)):
+            out[:, m] = -np.bincount(owner[place], weights=logs[inverse, m], minlength=len(texts))
         return out / np.maximum(chars, 1)[:, None], chars, letters
 
     @staticmethod
@@ -227,7 +254,7 @@ def remainder(doc_id: str = "doc_id") -> Column:
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang in sorted(set(batch.column(0).to_pylist())):
-            for _, _, texts in text_slices(batch.filter(pc.equal(batch.column(0), lang)).column(1)):
+            for _, _, texts in text_slices(batch.filter(pc.equal(batch.column(0), lang)).column(1), SLICE_CHARS):
                 points, owner, _ = normalised(texts)
                 place = np.flatnonzero(owner >= 0)
                 _, first, n = np.unique(_window_hashes(points)[ORDER][place], return_index=True, return_counts=True)
@@ -272,16 +299,20 @@ def key_cuts(rows: DataFrame, bits: int, budget: float, least: int) -> dict[str,
     return cuts
 
 
-def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
+def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars: int = CALIBRATION_CHARS) -> Broadcast:
     """Learn an ``Identifier`` from doc_id, text and lang."""
     # a hash of the text tells copies and orders the texts, the same at every run and partitioning
     draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 64 - _DRAW_BITS)
     known = docs.select(F.col("text").cast("string").alias("text"), "lang", remainder().alias("part"))
     known = known.where("text IS NOT NULL AND lang IS NOT NULL AND part <> 1").withColumn("key", draw)
-    texts = known.where("part = 0").groupBy("lang", "key").agg(F.max(F.length("text")).cast("bigint").alias("chars"))
+    texts = known.groupBy("part", "lang", "key").agg(F.max(F.length("text")).cast("bigint").alias("chars"))
     texts = staged(texts, "labelled-texts")
-    cuts = key_cuts(texts, _DRAW_BITS, sample_chars, MIN_TEXTS)
-    cuts = F.broadcast(docs.sparkSession.createDataFrame(sorted(cuts.items()), "lang string, cut bigint"))
+
+    def cuts_of(part: int, chars: int) -> DataFrame:
+        cuts = key_cuts(texts.where(F.col("part") == part).drop("part"), _DRAW_BITS, chars, MIN_TEXTS)
+        return F.broadcast(docs.sparkSession.createDataFrame(sorted(cuts.items()), "lang string, cut bigint"))
+
+    cuts = cuts_of(0, sample_chars)
     sample = known.where("part = 0").join(cuts, "lang").where("key <= cut").dropDuplicates(["lang", "key"])
     counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, n bigint")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
@@ -297,7 +328,7 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
         identifier = shared.value
         for batch in batches:
             langs, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for a, b, texts in text_slices(batch.column(1)):
+            for a, b, texts in text_slices(batch.column(1), SLICE_CHARS):
                 bits, chars, letters = identifier.bits(texts)
                 own = [identifier.languages.index(x) if x in identifier.languages else -1 for x in langs[a:b]]
                 use = [i for i, m in enumerate(own) if m >= 0 and letters[i]]
@@ -312,9 +343,10 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
                 )
 
     if found.models:
-        scored = known.where("part = 2").select("lang", "text", "key").mapInArrow(score, "lang string, key bigint, bits double, chars bigint")
+        held = known.where("part = 2").join(cuts_of(2, calibration_chars), "lang").where("key <= cut")
+        scored = held.select("lang", "text", "key").mapInArrow(score, "lang string, key bigint, bits double, chars bigint")
         distinct = scored.groupBy("lang", "key").agg(F.max("bits").alias("bits"), F.max("chars").alias("chars"))
-        taken = texts.join(cuts, "lang").where("key <= cut").select("key")
+        taken = texts.where("part = 0").join(cuts, "lang").where("key <= cut").select("key")
         rows = staged(distinct.join(taken, "key", "left_anti"), "calibration")
         micro = F.sum(F.round(F.col("bits") * F.col("chars") * 1e6).cast("decimal(38,0)"))  # whole numbers: the same in any order
         sums = rows.groupBy("lang").agg(micro.alias("micro"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).collect()
@@ -333,12 +365,14 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Broadcast:
 
 # ----------------------------------------------------------------- predict
 def _predicted(rows: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``rows`` with what is predicted from column __cl_text."""
+    """Columns ``keep`` of ``rows`` with what is predicted from column ``text``, which goes to the workers once."""
+    is_text = isinstance(rows.schema["text"].dataType, StringType)
+    column = "text" if is_text and "text" in keep else "__cl_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = model.value
         for batch in batches:
-            for a, b, texts in text_slices(batch.column("__cl_text")):
+            for a, b, texts in text_slices(batch.column(column), SLICE_CHARS):
                 languages, score, bits, rejected = identifier.predict(texts)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
@@ -350,7 +384,8 @@ def _predicted(rows: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
     schema = rows.select(*keep)
     for name, kind in zip(added, ("string", "double", "double", "boolean")):
         schema = schema.withColumn(name, F.lit(None).cast(kind))
-    return rows.withColumn("__cl_text", F.col("text").cast("string")).select(*keep, "__cl_text").mapInArrow(run, schema.schema)
+    sent = rows.select(*keep) if column == "text" else rows.withColumn(column, F.col("text").cast("string")).select(*keep, column)
+    return sent.mapInArrow(run, schema.schema)
 
 
 def identify_languages(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
-from cohortlens.llm.pretokens import id_cache, text_slices
+from cohortlens.llm.pretokens import forget_ids, id_cache, text_slices
 
 CAPACITY = 1024
 END_ID = 2
 SALTS = 256
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -81,6 +81,7 @@ def token_pieces(
                     cols.append(pa.array([ids[i : i + k].astype("i4") for i, k in zip(at.tolist(), length.tolist())], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        forget_ids()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

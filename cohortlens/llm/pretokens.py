@@ -184,7 +184,7 @@ class IdCache:
     time only, as missing ones are asked of the library again.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         self.cutter, self.limit = cutter(path), limit
         self._clear()
 
@@ -232,12 +232,17 @@ _CACHES: dict[str, IdCache] = {}
 
 
 def id_cache(path: str) -> IdCache:
-    """One cache per Python worker."""
+    """One cache per Python worker; ``forget_ids`` at the end of a task gives its memory back."""
     if path not in _CACHES:
         _CACHES[path] = IdCache(path)
     return _CACHES[path]
 
 
+def forget_ids() -> None:
+    """Workers outlive a task: the next stage's shall not find this one's cache in their memory."""
+    _CACHES.clear()
+
+
 def slices(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Consecutive ranges of rows whose lengths sum to about ``most`` each (one row at least)."""
     if not len(lengths):

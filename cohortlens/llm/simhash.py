@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cohortlens.llm.common import staged
 from cohortlens.llm.components import connected_components
@@ -71,16 +72,18 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, keep: Sequence[str], name: str = "__cl_fp", words: int = SHINGLE) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and the fingerprint of ``text`` (bigint)."""
+    """Columns ``keep`` of ``docs`` and the fingerprint of ``text`` (bigint); the text goes to the workers once."""
     keep = list(keep)
+    column = "text" if "text" in keep and isinstance(docs.schema["text"].dataType, StringType) else "__cl_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), words) for t in batch.column("__cl_text")]
+            found = [fingerprint(t.as_py(), words) for t in batch.column(column)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.int64())], [*keep, name])
 
     out = docs.select(*keep).withColumn(name, F.lit(0).cast("bigint")).schema
-    return docs.withColumn("__cl_text", F.col("text").cast("string")).select(*keep, "__cl_text").mapInArrow(run, out)
+    sent = docs.select(*keep) if column == "text" else docs.withColumn(column, F.col("text").cast("string")).select(*keep, column)
+    return sent.mapInArrow(run, out)
 
 
 def _halves(fp: str) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from cohortlens.llm import langid
 from cohortlens.llm.langid import MIN_TEXTS, ORDER, KneserNey, _window_hashes, drop_rejected, fit, identify_languages, key_cuts, normalised
 
 SF = "/root/testdata/sf0.01"
@@ -106,3 +107,22 @@ def test_texts_are_taken_in_order_until_the_budget_is_full(spark):
     order = {x: sorted(k for y, k, _ in keys if y == x) for x in "ab"}
     assert got == {"a": order["a"][150], "b": order["b"][19]}
     assert key_cuts(rows, 60, 1e9, 0) == {x: order[x][-1] for x in "ab"} and key_cuts(rows.limit(0), 60, 9, MIN_TEXTS) == {}
+
+
+def test_met_ngrams_score_as_new_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdef gh"), size=400)) for _ in range(30)]
+
+    def model(seed):
+        grams = np.unique(np.random.default_rng(seed).integers(97, 105, size=(500, langid.ORDER)).astype(np.uint32), axis=0)
+        return langid.KneserNey(grams, np.ones(len(grams), int), 9)
+
+    models = {"x": model(1), "y": model(2)}
+    want = langid.Identifier(models).bits(texts)[0]
+    for most in (500_000, 50, 0):
+        monkeypatch.setattr(langid, "KNOWN_GRAMS", most)
+        one = langid.Identifier(models)
+        for _ in range(2):
+            got = np.concatenate([one.bits(texts[i:i + 7])[0] for i in range(0, 30, 7)])
+            assert np.allclose(got, want, rtol=1e-9, atol=0)
+        assert len(one._hashes) <= most
