@@ -122,6 +122,11 @@ def q_group_split() -> str:
     return rounded(sql, ["final_grade"])
 
 
+def q_shap_additivity() -> str:
+    return (f"WITH {STUDENT_CTE}, {student_split_cte()} SELECT task, id_student, 0.0::DOUBLE AS gap "
+            "FROM sts, (VALUES ('classification'), ('regression')) AS x(task) WHERE split = 'test'")
+
+
 # ------------------------------------------------------------ quality / effects
 STUDENT_NUMERIC = [
     "acctbal", "dropout", "date_registration", "date_unregistration", "is_unregistered",

@@ -23,7 +23,8 @@ from cohortlens.operators import resample as R
 from cohortlens.sources.sinks import read_slice, write_consolidated
 from cohortlens.streaming.clicks import run_incremental, standin_click_stream
 from cohortlens.functions.hashing import uniform
-from cohortlens.operators.evaluate import c2st_effective_auc, importance_preservation, mia_worst_case, tstr_utility
+from cohortlens.operators.evaluate import c2st_effective_auc, importance_preservation, mia_worst_case, shap_values, tstr_utility
+from cohortlens.operators.explain import parent_names, parent_values, pooled_top, read_shap, write_shap
 from cohortlens.operators.knn import knn_distances
 from cohortlens.operators.models import ForestParams
 from cohortlens.operators.synth import GaussianCopula
@@ -389,9 +390,52 @@ def consolidated_slice_q(spark, d):
 
 @register("importance_preservation", None)
 def importance_preservation_q(spark, d):
-    """A19 + M13: TRTR vs TSTR forest importances, Spearman rho and p per task."""
-    tr, _, syn, roles = _copula_sample(spark, d)
-    return importance_preservation(tr, syn, roles, fp=QUERY_FOREST)
+    """M12 + A19 + M13: mean absolute SHAP values of TRTR and TSTR forests, Spearman rho and p per task."""
+    tr, te, syn, roles = _copula_sample(spark, d)
+    return importance_preservation(tr, te, syn, roles, fp=QUERY_FOREST)[0]
+
+
+def _explained(spark, d, seed: int, task: str, fp: ForestParams):
+    """Real test rows explained by a forest of the real train part."""
+    sts, roles = split_students(spark, d, seed)
+    train, test = sts.where(F.col("split") == "train"), sts.where(F.col("split") == "test")
+    feats = [c for c in sts.columns if c not in (*roles.id_cols, *roles.target_cols, "split")]
+    target = roles.target_cols[0 if task == "classification" else 1]
+    return shap_values(train, test, target, feats, infer_feature_spec(sts.select(*feats)), task,
+                       train_key="id_student", test_key="id_student", seed=seed, fp=fp)
+
+
+@register("shap_additivity", S.q_shap_additivity())
+def shap_additivity_q(spark, d):
+    """Base value + SHAP values - prediction of every test row, both tasks."""
+    parts = []
+    for task in ("classification", "regression"):
+        values, _ = _explained(spark, d, 0, task, QUERY_FOREST)
+        gap = F.col("base") + F.aggregate("shap", F.lit(0.0), lambda a, v: a + v) - F.col("prediction")
+        parts.append(values.select(F.lit(task).alias("task"), F.col("row_id").cast("long").alias("id_student"), F.abs(F.round(gap, 6)).alias("gap")))
+    return parts[0].unionByName(parts[1])
+
+
+#: seeds and trees of the pooled value table; the reference's settings for it are few trees, many seeds
+POOLED_RUNS, POOLED_FOREST = (0, 1, 2), ForestParams(shap_trees=30, max_depth=10)
+
+
+def shap_store(spark, d, path: str, runs=POOLED_RUNS) -> None:
+    """Values of every run's classifier on its test rows, appended to the store at ``path``."""
+    for run in runs:
+        values, prep = _explained(spark, d, run, "classification", POOLED_FOREST)
+        named = parent_values(values, prep.feature_names, prep.parents)
+        write_shap(named, parent_names(prep.feature_names, prep.parents), path, key="row_id", run=run, regime="trtr", task="classification")
+
+
+@register("shap_pooled_top", None)
+def shap_pooled_top_q(spark, d):
+    """The ten features with the largest mean absolute SHAP value, pooled over three runs read back from the store."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shap-{uuid.uuid4().hex}"
+    shap_store(spark, d, path)
+    return round_doubles(pooled_top(read_shap(spark, path, regime="trtr", task="classification", runs=list(POOLED_RUNS)), 10))
 
 
 from cohortlens.plans import report_queries  # noqa: E402, F401  (registers its queries)
