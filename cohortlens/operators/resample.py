@@ -1,59 +1,122 @@
 """Bootstrap intervals and paired permutation tests.
 
-One engine.  Every random draw is cut from ``md5("seed:block:key")``: 128
-sign bits or four 32-bit uniforms per hash, so a draw is a function of
-(seed, replicate, row key) alone.  Results do not depend on partitions or
-row counts, a retried task redraws the same numbers, and any SQL engine with
-``md5`` recomputes them.  Tasks unpack the digests with numpy and fold their
-rows into one partial sum per (group, replicate); only those are shuffled.
-
-Bootstrap weights are Poisson(1) counts (the scalable form of resampling
-with replacement), read from a 32-bit uniform by inverse CDF.
+Sign flips are cut from ``md5("seed:block:key")``, 128 bits per hash, computed
+by Spark beside the row; numpy unpacks them inside the task.
+
+Bootstrap replicates draw exactly n rows with replacement, as a hierarchical
+multinomial split.  Rows lie in *cells* of about ``ROWS_PER_CELL`` rows: buckets
+of the key's hash for a mean, ranges of the score for an AUC.  The n draws of a
+replicate are divided down a binary tree over the cells; a node's draws go left
+by a binomial with the share of its rows that lie left, seeded by (seed, level,
+node), so both sides work out the same split without meeting.  Inside a cell
+draw j of a replicate takes the row at floor(u n), u being 32 bits of a 64-bit
+mix of (seed, cell, replicate, j), rows in the order of their keys (of score and
+key for an AUC).
+
+Draws depend on the rows' keys and numbers only: not on partitions or tasks, a
+retried task draws the same, and SQL recomputes them.  Tasks return one partial
+sum per (group, cell, replicate); only those are shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.exprs import cohens_label
+from cohortlens.functions.hashing import uniform
 
 SIGNS_PER_HASH = 128
-UNIFORMS_PER_HASH = 4
-#: P(K <= k) * 2^32 of K ~ Poisson(1), k = 0, 1, ... : the weight is the number of thresholds at or below the draw
-POISSON_THRESHOLDS = np.array([int(sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)], np.uint64)
 #: |replicate| counts as large as |observed| within this share (sums of equal terms differ by rounding only)
 TIE_SHARE = 1e-9
 ROW_CHUNK = 256
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_CELL = 50_000
+#: score ranges of an AUC at most: the driver holds their borders, and one task the sketch they come from
+MOST_RANGES = 4096
+DRAWS_AT_ONCE = 2_000_000
 GROUPS_PER_FLUSH = 512
+# The increment and the two multipliers of the public splitmix64 generator.
+GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def _digests(keys, seed: int, blocks: int) -> np.ndarray:
-    """rows x (16 * blocks) bytes."""
-    heads = [f"{seed}:{b}:".encode() for b in range(blocks)]
-    md5 = hashlib.md5
-    raw = b"".join(md5(h + k).digest() for k in (str(x).encode() for x in keys) for h in heads)
-    return np.frombuffer(raw, np.uint8).reshape(len(keys), 16 * blocks)
+def digests(key: str, seed: int, blocks: int) -> Column:
+    """16 * blocks bytes: md5("seed:block:key") of blocks 0, 1, ..."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.md5(F.concat(F.lit(f"{seed}:"), b.cast("string"), F.lit(":"), F.col(key))))
+    return F.unhex(F.array_join(each, ""))
 
 
-def sign_matrix(keys, seed: int, n: int) -> np.ndarray:
+def sign_matrix(hashes, n: int) -> np.ndarray:
     """rows x n of +1 / -1: the bits of the digests, highest first."""
-    bits = np.unpackbits(_digests(keys, seed, -(-n // SIGNS_PER_HASH)), axis=1)[:, :n]
-    return bits.astype(np.float64) * 2 - 1
+    raw = np.frombuffer(b"".join(hashes), np.uint8).reshape(len(hashes), -1)
+    return np.unpackbits(raw, axis=1)[:, :n].astype(np.float64) * 2 - 1
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
+    return z ^ (z >> np.uint64(31))
+
+
+def stream_start(seed: int, cell: int) -> int:
+    """Where the draws of a cell begin."""
+    return int(_mix(np.array([(((seed & 0xFFFFFFFF) << 32) + cell + GOLDEN) % 2**64], np.uint64))[0])
+
+
+def draws_per_replicate(path: list, n: int, n_boot: int, seed: int) -> np.ndarray:
+    """Draws that reach a cell, per replicate.  ``path``: (level, node, rows, rows to the left, whether the cell lies
+    left) of the tree's nodes from the root; ``n``: rows of the group."""
+    draws = np.full(n_boot, n, np.int64)
+    for level, node, rows, left, goes_left in path:
+        to_left = np.random.default_rng([seed, level, node]).binomial(draws, left / rows)
+        draws = to_left if goes_left else draws - to_left
+    return draws
+
+
+def picked_rows(draws: np.ndarray, rows: int, seed: int, cell: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first replicate, replicate of each draw from it, row of each draw) for blocks of replicates."""
+    start, step = np.uint64(stream_start(seed, cell)), np.uint64(GOLDEN)
+    size = max(1, DRAWS_AT_ONCE // max(1, int(draws.max(initial=0))))
+    for a in range(0, len(draws), size):
+        d = draws[a:a + size]
+        rep = np.repeat(np.arange(len(d)), d)
+        j = np.arange(len(rep)) - np.repeat(np.cumsum(d) - d, d)
+        z = _mix(start + (((rep + a).astype(np.uint64) << np.uint64(40)) + j.astype(np.uint64)) * step)
+        yield a, rep, (((z >> np.uint64(32)) * np.uint64(rows)) >> np.uint64(32)).astype(np.int64)
+
+
+def _cell_paths(rows: DataFrame, g: list[str], cells: int) -> DataFrame:
+    """Per (groups, cell): ``_total`` rows of the group and ``_path``, the nodes from the root to the cell."""
+    depth = max(0, cells - 1).bit_length()
+    own = rows.select(*[F.col(c).alias(c) for c in [*g, "_c"]])  # new columns: the rows meet their paths in a cogroup
+    sizes = own.groupBy(*g, "_c").agg(F.count(F.lit(1)).alias("_rows"))
+    level = sizes.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    level = level.withColumn("_node", F.expr(f"shiftright(_c, {depth} - _l)")).withColumn("_left", F.expr(f"shiftright(_c, {depth} - 1 - _l) % 2 = 0"))
+    node = Window.partitionBy(*g, "_l", "_node")  # a node's cells: numbers, not rows
+    level = level.select(*g, "_c", "_l", "_node", F.sum("_rows").over(node).alias("_of"),
+                         F.sum(F.when(F.col("_left"), F.col("_rows")).otherwise(0)).over(node).alias("_to"), "_left")
+    step = F.when(F.col("_l") < depth, F.struct("_l", "_node", "_of", "_to", "_left"))  # below the last split there is none
+    return level.groupBy(*g, "_c").agg(F.max(F.when(F.col("_l") == 0, F.col("_of"))).alias("_total"), F.sort_array(F.collect_list(step)).alias("_path"))
+
+
+def _resampled(rows: DataFrame, g: list[str], cells: int, n_boot: int, seed: int, names: list[str],
+               kernel: Callable[[pd.DataFrame, np.ndarray, int], list[np.ndarray]]) -> DataFrame:
+    """(groups, _c, rep, names...): what ``kernel`` makes of a cell's rows, its draws per replicate and its number."""
+    kinds = "".join(f"{c} {t}, " for c, t in rows.select(*g, "_c").dtypes)
+
+    def run(key, cell: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        steps = [(int(s["_l"]), int(s["_node"]), int(s["_of"]), int(s["_to"]), bool(s["_left"])) for s in path["_path"].iloc[0]]
+        draws = draws_per_replicate(steps, int(path["_total"].iloc[0]), n_boot, seed)
+        parts = kernel(cell, draws, int(key[-1]))
+        return pd.DataFrame({**{c: [v] * n_boot for c, v in zip([*g, "_c"], key)}, "rep": np.arange(n_boot, dtype=np.int32), **dict(zip(names, parts))})
 
-
-def weight_matrix(keys, seed: int, n: int) -> np.ndarray:
-    """rows x n Poisson(1) counts."""
-    draws = _digests(keys, seed, -(-n // UNIFORMS_PER_HASH)).view(">u4")[:, :n].astype(np.uint64)
-    return np.searchsorted(POISSON_THRESHOLDS, draws.ravel(), side="right").reshape(draws.shape).astype(np.float64)
+    doubles = ", ".join(f"{x} double" for x in names)
+    met = rows.groupBy(*g, "_c").cogroup(_cell_paths(rows, g, cells).groupBy(*g, "_c"))
+    return met.applyInPandas(run, f"{kinds}rep int, {doubles}")
 
 
 def _folded(df: DataFrame, g: list[str], n: int, names: list[str], kernel: Callable[[pd.DataFrame], list[np.ndarray]]) -> DataFrame:
@@ -104,18 +167,28 @@ def bootstrap_mean_ci(df: DataFrame, value_col: str, key_col: str, *, group_cols
                       n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Percentile bootstrap interval of a mean, per group.
 
-    ``key_col`` must identify a row within its group.  Returns (groups, mean,
-    ci_low, ci_high, n_samples, n_bootstrap); quantiles interpolate linearly.
+    ``key_col`` must identify a row within its group.  A group of fewer than 50
+    rows takes 500 replicates at most.  Returns (groups, mean, ci_low, ci_high,
+    n_samples, n_bootstrap); quantiles interpolate linearly.
     """
     g = list(group_cols)
     base = df.select(*g, F.col(key_col).cast("string").alias("_k"), F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("n_samples"))
-
-    def kernel(rows: pd.DataFrame):
-        w = weight_matrix(rows["_k"], seed, n_boot)
-        return [w.sum(axis=0), rows["_x"].to_numpy() @ w]
-
-    per_rep = _folded(base, g, n_boot, ["_w", "_wx"], kernel).withColumn("_m", F.col("_wx") / F.nullif(F.col("_w"), F.lit(0.0)))
+    largest = sizes.agg(F.max("n_samples")).first()[0] or 0
+    cells = max(1, -(-largest // ROWS_PER_CELL))
+    rows = base.withColumn("_c", F.floor(uniform("cell", F.col("_k")) * cells))
+
+    def kernel(cell: pd.DataFrame, draws: np.ndarray, number: int):
+        x = cell.sort_values("_k")["_x"].to_numpy()
+        sums = np.zeros(n_boot)
+        for a, rep, at in picked_rows(draws, len(x), seed, number):
+            some = np.bincount(rep, weights=x[at])
+            sums[a:a + len(some)] = some
+        return [draws.astype(float), sums]
+
+    per_cell = _resampled(rows, g, cells, n_boot, seed, ["_w", "_wx"], kernel)
+    per_rep = per_cell.groupBy(*g, "rep").agg(F.sum("_w").alias("_w"), (F.sum("_wx") / F.sum("_w")).alias("_m"))
+    per_rep = per_rep.where(F.col("rep") < F.when(F.col("_w") < 50, min(n_boot, 500)).otherwise(n_boot))
     return _group_join(_interval(per_rep, g, "_m", alpha), sizes, g).select(*g, "mean", "ci_low", "ci_high", "n_samples", "n_bootstrap")
 
 
@@ -123,60 +196,51 @@ def bootstrap_auc_ci(scored: DataFrame, score_col: str, label_col: str, key_col:
                      n_boot: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """Bootstrap interval of ROC AUC (ties count 1/2), per group.
 
-    Scores are cut into ranges of about ``ROWS_PER_BUCKET`` rows; a score that
-    fills a range by itself gets one of its own, whose rows need not meet.
-    Every range gives (positive, negative, U) weights per replicate, and a
-    running sum over ranges adds the pairs between them, so the result does
-    not depend on the ranges.  Replicates with a single class are skipped.
+    Scores are cut into ranges of about ``ROWS_PER_CELL`` rows; a score that
+    fills a range by itself gets one of its own, which is dealt over cells by
+    the key's hash.  Every cell gives (positive, negative, U) weights per
+    replicate, and a running sum over ranges adds the pairs between them.
+    Replicates with a single class are skipped.
     """
     g = list(group_cols)
     base = scored.select(*g, F.col(key_col).cast("string").alias("_k"), F.col(score_col).cast("double").alias("_s"),
                          (F.col(label_col) == 1).cast("int").alias("_y")).where(F.col("_s").isNotNull() & F.col("_y").isNotNull())
     n = base.count()
-    parts = -(-n // ROWS_PER_BUCKET) * 2
-    cuts = base.agg(F.percentile_approx("_s", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()["q"] or [] if n else []
+    parts = min(MOST_RANGES, -(-n // ROWS_PER_CELL))
+    cuts = base.agg(F.percentile_approx("_s", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("q")).first()["q"] or [] if parts > 1 else []
     hot = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     edges = sorted({*cuts, *(float(np.nextafter(v, np.inf)) for v in hot)})
+    spread = 1
     if edges:
         splits = [float("-inf"), *edges, float("inf")]
-        base = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(base)
-        alone = F.col("_b").isin([float(splits.index(v)) for v in hot])
+        base = Bucketizer(splits=splits, inputCol="_s", outputCol="_b").transform(base).withColumn("_b", F.col("_b").cast("long"))
+        alone = F.col("_b").isin([splits.index(v) for v in hot])
+        if hot:
+            fullest = base.where(alone).groupBy(*g, "_b").count().agg(F.max("count")).first()[0] or 1
+            spread = -(-fullest // ROWS_PER_CELL)
+        part = F.when(alone, F.floor(uniform("cell", F.col("_k")) * spread)).otherwise(0)
+        rows = base.withColumn("_c", F.col("_b") * spread + part)
     else:
-        base, alone = base.withColumn("_b", F.lit(0.0)), F.lit(False)
-
-    def sums(rows: pd.DataFrame):
-        w = weight_matrix(rows["_k"], seed, n_boot)
-        y = rows["_y"].to_numpy(dtype=np.float64)
-        return [y @ w, (1 - y) @ w]
+        rows = base.withColumn("_c", F.lit(0).cast("long"))
 
-    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_s", kind="stable")
+    def kernel(cell: pd.DataFrame, draws: np.ndarray, number: int):
+        cell = cell.sort_values(["_s", "_k"])
+        score, y = cell["_s"].to_numpy(), cell["_y"].to_numpy() == 1
+        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
         pos, neg, u = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
-        open_score, open_p, open_n = None, np.zeros((1, n_boot)), np.zeros((1, n_boot))  # the score not yet left behind
-        for a in range(0, len(rows), ROW_CHUNK):
-            part = rows.iloc[a : a + ROW_CHUNK]
-            scores = part["_s"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, scores[1:] != scores[:-1]])
-            w, y = weight_matrix(part["_k"], seed, n_boot), part["_y"].to_numpy(dtype=np.float64)[:, None]
-            p, q = np.add.reduceat(w * y, starts), np.add.reduceat(w * (1 - y), starts)
-            if scores[0] == open_score:
-                p[0], q[0] = p[0] + open_p[0], q[0] + open_n[0]
-            elif open_score is not None:
-                p, q = np.vstack([open_p, p]), np.vstack([open_n, q])
-            open_score, open_p, open_n = scores[-1], p[-1:], q[-1:]
-            p, q = p[:-1], q[:-1]
-            below = neg + np.cumsum(q, axis=0) - q
-            u += (p * (below + q / 2)).sum(axis=0)
-            pos, neg = pos + p.sum(axis=0), neg + q.sum(axis=0)
-        u += open_p[0] * (neg + open_n[0] / 2)
-        pos, neg = pos + open_p[0], neg + open_n[0]
-        first = rows.iloc[0]
-        return pd.DataFrame({**{c: [first[c]] * n_boot for c in [*g, "_b"]}, "rep": np.arange(n_boot, dtype=np.int32), "_p": pos, "_n": neg, "_u": u})
-
-    kinds = "".join(f"{c} {t}, " for c, t in base.select(*g, "_b").dtypes)
-    inner = base.where(~alone).groupBy(*g, "_b").applyInPandas(ordered, f"{kinds}rep int, _p double, _n double, _u double")
-    single = _folded(base.where(alone), [*g, "_b"], n_boot, ["_p", "_n"], sums).withColumn("_u", F.col("_p") * F.col("_n") / 2)
-    ranges = inner.unionByName(single.select(*inner.columns))
+        for a, rep, at in picked_rows(draws, len(cell), seed, number):
+            k = min(n_boot - a, int(rep[-1]) + 1 if len(rep) else 0)
+            w = np.bincount(rep * len(cell) + at, minlength=k * len(cell)).reshape(k, len(cell)).astype(float)
+            p, q = np.add.reduceat(w * y, starts, axis=1), np.add.reduceat(w * ~y, starts, axis=1)
+            pos[a:a + k], neg[a:a + k] = p.sum(axis=1), q.sum(axis=1)
+            u[a:a + k] = (p * (np.cumsum(q, axis=1) - q / 2)).sum(axis=1)
+        return [pos, neg, u]
+
+    cells = _resampled(rows, g, (len(edges) + 1) * spread, n_boot, seed, ["_p", "_n", "_u"], kernel)
+    # cells of one score: their pairs are ties, counted here for all of them together
+    ranges = cells.withColumn("_b", F.floor(F.col("_c") / spread)).groupBy(*g, "_b", "rep").agg(
+        F.sum("_p").alias("_p"), F.sum("_n").alias("_n"),
+        F.when(F.count(F.lit(1)) > 1, F.sum("_p") * F.sum("_n") / 2).otherwise(F.sum("_u")).alias("_u"))
     before = Window.partitionBy(*g, "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     total = ranges.withColumn("_u", F.col("_u") + F.col("_p") * F.coalesce(F.sum("_n").over(before), F.lit(0.0)))
     per_rep = total.groupBy(*g, "rep").agg((F.sum("_u") / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("_a"))
@@ -198,7 +262,8 @@ def paired_permutation_test(pairs: DataFrame, a_col: str, b_col: str, key_col: s
         F.sum("_d").alias("_sum"), F.avg("_d").alias("mean_diff"), F.count(F.lit(1)).alias("n"),
         F.when(sd == 0, F.lit(0.0)).otherwise(F.avg("_d") / sd).alias("cohens_d"),
     )
-    flips = _folded(d, g, n_perm, ["_s"], lambda rows: [rows["_d"].to_numpy() @ sign_matrix(rows["_k"], seed, n_perm)])
+    hashed = d.select(*g, "_d", digests("_k", seed, -(-n_perm // SIGNS_PER_HASH)).alias("_h"))
+    flips = _folded(hashed, g, n_perm, ["_s"], lambda rows: [rows["_d"].to_numpy() @ sign_matrix(rows["_h"].tolist(), n_perm)])
     large = F.abs("_s") >= F.abs("_sum") * F.lit(1 - TIE_SHARE)
     p = _group_join(flips, obs.select(*g, "_sum"), g).groupBy(*g).agg(F.avg(large.cast("double")).alias("p_value"))
     return _group_join(obs, p, g).select(*g, "p_value", "mean_diff", "cohens_d", cohens_label(F.col("cohens_d")).alias("effect_interpretation"),

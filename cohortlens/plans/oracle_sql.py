@@ -8,6 +8,7 @@ CTE strings that later statements reuse.
 from __future__ import annotations
 
 from cohortlens.functions.hashing import sql_h52
+from cohortlens.operators.resample import GOLDEN, MIX1, MIX2, stream_start
 
 
 def rounded(sql: str, cols: list[str], digits: int = 6) -> str:
@@ -314,17 +315,26 @@ def q_baseline_losses() -> str:
     return rounded(f"{_losses_cte()} SELECT * FROM losses", ["score", "label", "loss"])
 
 
-# P(K <= k) * 2^32 of K ~ Poisson(1), k = 0 .. 11, rounded down.
-POISSON1 = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291,
-            4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292]
+def _draws(source: str, n_boot: int, seed: int, groups: str, cols: str, order: str) -> str:
+    """CTEs ending in ``dr``: ``cols`` of the rows drawn for each rep, n draws of n rows of each group (one cell holds them
+    all): draw j of rep takes the row at floor(u n), u the upper 32 bits of the mix of start + (rep 2^40 + j) * increment."""
+    def times(z: str, m: int) -> str:
+        return f"CAST(CAST({z} AS UHUGEINT) * CAST({m} AS UHUGEINT) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
 
-
-def _weights(source: str, n_boot: int, seed: int, cols: str) -> str:
-    """``cols`` of ``source`` (with row_id) with rep and its Poisson(1) weight w: four 32-bit draws per md5."""
-    u = "CAST(('0x' || substr(h, (rep % 4) * 8 + 1, 8)) AS BIGINT)"
-    w = " + ".join(f"(CASE WHEN {u} >= {t} THEN 1 ELSE 0 END)" for t in POISSON1)
-    return (f"SELECT {cols}, rep, {w} AS w FROM (SELECT {cols}, blk, md5('{seed}:' || blk || ':' || row_id) AS h FROM {source}, "
-            f"(SELECT range AS blk FROM range({-(-n_boot // 4)})) AS b) AS hs JOIN (SELECT range AS rep FROM range({n_boot})) AS r ON rep // 4 = blk")
+    same = " AND ".join(f"rk.{c.strip()} = ng.{c.strip()}" for c in groups.split(","))
+    sel = ", ".join(f"rk.{c.strip()}" for c in cols.split(","))
+    start = stream_start(seed, 0)
+    return f"""
+rk AS (SELECT {cols}, row_number() OVER (PARTITION BY {groups} ORDER BY {order}CAST(row_id AS VARCHAR)) - 1 AS i FROM {source}),
+ng AS (SELECT {groups}, count(*) AS n FROM rk GROUP BY {groups}),
+dj AS (SELECT n, rep, j, CAST((CAST({start} AS UHUGEINT) + (CAST(rep AS UHUGEINT) * 1099511627776 + CAST(j AS UHUGEINT)) * CAST({GOLDEN} AS UHUGEINT))
+         % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) AS z
+       FROM (SELECT DISTINCT n FROM ng), (SELECT range AS rep FROM range({n_boot})) AS r, LATERAL (SELECT unnest(range(n)) AS j)),
+z1 AS (SELECT n, rep, {times('xor(z, z >> 30)', MIX1)} AS z FROM dj),
+z2 AS (SELECT n, rep, {times('xor(z, z >> 27)', MIX2)} AS z FROM z1),
+pk AS (SELECT n, rep, CAST(((xor(z, z >> 31) >> 32) * CAST(n AS UBIGINT)) >> 32 AS BIGINT) AS i FROM z2),
+wk AS (SELECT n, rep, i, count(*) AS w FROM pk GROUP BY n, rep, i),
+dr AS (SELECT {sel}, rep, w, ng.n FROM ng JOIN rk ON {same} JOIN wk ON wk.n = ng.n AND wk.i = rk.i)"""
 
 
 def _tests_from(pairs: str, groups: str, n_perm: int = 10000, seed: int = 0) -> str:
@@ -367,20 +377,18 @@ def q_bonferroni_tests() -> str:
 
 
 def q_bootstrap_loss_ci(n_boot: int = 1000, seed: int = 0) -> str:
-    sql = f"""{_losses_cte()},
-sz AS (SELECT task, model, count(*) AS n_samples FROM losses GROUP BY task, model),
-wt AS ({_weights('losses', n_boot, seed, 'task, model, loss')}),
-rp AS (SELECT task, model, rep, sum(w * loss) / nullif(sum(w), 0) AS m FROM wt GROUP BY task, model, rep)
-SELECT rp.task, rp.model, avg(m) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high,
-       any_value(sz.n_samples) AS n_samples, CAST(count(m) AS INTEGER) AS n_bootstrap
-FROM rp JOIN sz ON rp.task = sz.task AND rp.model = sz.model WHERE m IS NOT NULL GROUP BY rp.task, rp.model"""
+    sql = f"""{_losses_cte()},{_draws('losses', n_boot, seed, 'task, model', 'task, model, loss', '')},
+rp AS (SELECT task, model, rep, n, sum(w * loss) / n AS m FROM dr GROUP BY task, model, rep, n)
+SELECT task, model, avg(m) AS mean, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high,
+       n AS n_samples, CAST(count(m) AS INTEGER) AS n_bootstrap
+FROM rp WHERE rep < CASE WHEN n < 50 THEN {min(n_boot, 500)} ELSE {n_boot} END GROUP BY task, model, n"""
     return rounded(sql, ["mean", "ci_low", "ci_high"])
 
 
 def _auc_ci(scored: str, groups: str, n_boot: int, seed: int) -> str:
-    return f"""wr AS ({_weights(scored, n_boot, seed, groups + ', score, label')}),
+    return f"""{_draws(scored, n_boot, seed, groups, groups + ', score, label', 'score, ')},
 wt AS (SELECT {groups}, rep, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS wp, sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS wn
-       FROM wr GROUP BY {groups}, rep, score),
+       FROM dr GROUP BY {groups}, rep, score),
 cu AS (SELECT {groups}, rep, wp, wn, sum(wn) OVER (PARTITION BY {groups}, rep ORDER BY score) - wn AS below FROM wt),
 au AS (SELECT {groups}, rep, sum(wp * (below + 0.5 * wn)) / nullif(sum(wp) * sum(wn), 0) AS a FROM cu GROUP BY {groups}, rep)
 SELECT {groups}, avg(a) AS mean, quantile_cont(a, 0.025) AS ci_low, quantile_cont(a, 0.975) AS ci_high, CAST(count(*) AS INTEGER) AS n_bootstrap

@@ -130,19 +130,74 @@ def test_resampling_does_not_depend_on_partitions(spark):
         assert [round(x, 9) if isinstance(x, float) else x for x in f(one).first()] == [round(x, 9) if isinstance(x, float) else x for x in f(many).first()]
 
 
-def test_draws_have_their_distributions():
-    signs, weights = R.sign_matrix(range(2000), 0, 300), R.weight_matrix(range(2000), 0, 300)
-    assert abs(signs.mean()) < 0.01 and abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
-
-
-def test_auc_ranges_keep_the_result(spark, monkeypatch):
+def test_signs_are_fair_and_come_from_md5(spark):
+    import hashlib
+
+    df = spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    rows = df.select("k", R.digests("k", 7, 3).alias("h")).collect()
+    assert rows[5]["h"] == b"".join(hashlib.md5(f"7:{b}:{rows[5]['k']}".encode()).digest() for b in range(3))
+    assert abs(R.sign_matrix([r["h"] for r in rows], 300).mean()) < 0.01
+
+
+@pytest.mark.parametrize("per_cell", [40, 10**6])
+def test_every_replicate_draws_exactly_n_rows(spark, monkeypatch, per_cell):
+    monkeypatch.setattr(R, "ROWS_PER_CELL", per_cell)
+    n, reps = 330, 400
+    rows = spark.createDataFrame([(i, float(i)) for i in range(n)], "id long, x double").select(F.col("id").cast("string").alias("_k"), F.col("x").alias("_x"))
+    cells = -(-n // per_cell)
+    rows = rows.withColumn("_c", F.floor(R.uniform("cell", F.col("_k")) * cells))
+
+    def kernel(cell, draws, number):
+        squares, total, first = np.zeros(reps), np.zeros(reps), np.zeros(reps)
+        for a, rep, at in R.picked_rows(draws, len(cell), 3, number):
+            w = np.zeros((reps, len(cell)))
+            np.add.at(w, (rep + a, at), 1)
+            squares += (w**2).sum(axis=1)
+            total += w.sum(axis=1)
+            first += w @ (cell["_x"].to_numpy() == 0)
+        return [total, squares, first]
+
+    got = R._resampled(rows, [], cells, reps, 3, ["w", "w2", "first"], kernel).groupBy("rep").agg(
+        F.sum("w").alias("w"), F.sum("w2").alias("w2"), F.sum("first").alias("first"), F.count(F.lit(1)).alias("cells")).collect()
+    assert len(got) == reps and all(r["w"] == n for r in got)
+    assert (got[0]["cells"] > 3) == (per_cell == 40)
+    # a multinomial count over n equal rows: mean 1, variance 1 - 1/n, so the mean of squares is 2 - 1/n
+    assert abs(np.mean([r["w2"] for r in got]) / n - (2 - 1 / n)) < 0.02
+    assert abs(np.mean([r["first"] for r in got]) - 1) < 0.2 and abs(np.var([r["first"] for r in got]) - 1) < 0.35
+
+
+def test_intervals_of_many_cells_agree_with_those_of_one(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, float(rng.integers(0, 5)) if i % 3 else float(rng.normal()), int(rng.random() < 0.4)) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, s double, y int")
-    whole = R.bootstrap_auc_ci(df, "s", "y", "id", n_boot=60).first()
-    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 40)
-    cut = R.bootstrap_auc_ci(df, "s", "y", "id", n_boot=60).first()
-    assert all(abs(a - b) < 1e-12 for a, b in zip(whole, cut))
+    exact = auc_mann_whitney(df, "s", "y").first()["auc"]
+    one = R.bootstrap_auc_ci(df, "s", "y", "id", n_boot=300).first(), R.bootstrap_mean_ci(df, "s", "id", n_boot=300).first()
+    monkeypatch.setattr(R, "ROWS_PER_CELL", 40)
+    many = R.bootstrap_auc_ci(df, "s", "y", "id", n_boot=300).first(), R.bootstrap_mean_ci(df, "s", "id", n_boot=300).first()
+    for a, b in zip(one, many):
+        assert all(abs(a[c] - b[c]) < 0.02 * max(1, abs(a[c])) for c in ("mean", "ci_low", "ci_high"))
+    assert abs(many[0]["mean"] - exact) < 0.005
+
+
+def test_auc_replicates_are_the_auc_of_the_drawn_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(f"k{i:03d}", float(rng.integers(0, 4)), int(rng.random() < 0.5)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, s double, y int")
+    got = R.bootstrap_auc_ci(df, "s", "y", "id", n_boot=50, alpha=0.0).first()
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    s, y = np.array([r[1] for r in ordered]), np.array([r[2] for r in ordered])
+    aucs = np.zeros(50)
+    for a, rep, at in R.picked_rows(np.full(50, 90), 90, 0, 0):
+        for r in np.unique(rep):
+            p, q = s[at[rep == r]][y[at[rep == r]] == 1], s[at[rep == r]][y[at[rep == r]] == 0]
+            aucs[a + r] = ((p[:, None] > q) + 0.5 * (p[:, None] == q)).mean()
+    assert abs(got["mean"] - aucs.mean()) < 1e-12 and abs(got["ci_low"] - aucs.min()) < 1e-12 and abs(got["ci_high"] - aucs.max()) < 1e-12
+
+
+def test_small_groups_take_fewer_replicates(spark):
+    df = spark.createDataFrame([(i, float(i % 7), i < 20) for i in range(90)], "id long, x double, small boolean")
+    got = {r["small"]: r for r in R.bootstrap_mean_ci(df, "x", "id", group_cols=("small",), n_boot=600).collect()}
+    assert (got[True]["n_bootstrap"], got[False]["n_bootstrap"]) == (500, 600) and got[True]["n_samples"] == 20
 
 
 def test_empty_and_null_sides_give_null(spark):
