@@ -168,8 +168,9 @@ def spearman_importance_q(spark, d):
 
 # ---------------------------------------------------------------- losses, resampling
 def _losses(spark, d):
+    """Read several times by every test, so it is written once to the shared checkpoint folder."""
     sts, _ = split_students(spark, d)
-    return baseline_losses(sts, key="id_student", group_col="nation", reg_target="final_grade", cls_target="dropout")
+    return baseline_losses(sts, key="id_student", group_col="nation", reg_target="final_grade", cls_target="dropout").checkpoint(eager=True)
 
 
 @register("baseline_losses", S.q_baseline_losses())
