@@ -92,17 +92,29 @@ def test_consolidated_overwrite(spark, tmp_path):
     assert read_slice(spark, str(tmp_path / "t"), "train", "real").count() == 3
 
 
-def test_stream_resumes_and_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("most_deltas", [16, 1])
+def test_stream_resumes_and_equals_batch(spark, tmp_path, most_deltas):
     src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
-    rows = [(i % 7, f"s{i % 4}", f"2024-01-0{1 + i % 5}", float(i)) for i in range(200)]
+    rows = [(i % 7 if i % 3 else 0, f"s{i % 4}" if i % 11 else None, f"2024-01-0{1 + i % 5}", float(i)) for i in range(300)]
     schema = "id_student long, id_site string, date string, sum_click double"
-    for part in (rows[:120], rows[120:]):
+    read, states = [], []
+    for n, part in enumerate((rows[:120], rows[120:220], rows[220:]), 1):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        got = run_incremental(spark, stream, ["id_student"], out_dir=out, checkpoint=ckpt)
-    batch = spark.createDataFrame(rows, schema).groupBy("id_student").agg(F.sum("sum_click").alias("t"), F.count_distinct("id_site").alias("s"))
-    assert {r.id_student: (r.total_vle_clicks, r.n_vle_sites) for r in got.collect()} == {r.id_student: (r.t, r.s) for r in batch.collect()}
-    assert len(json.dumps(sorted(p.name for p in (tmp_path / "out").iterdir()))) > 0
+        progress = []
+        got = run_incremental(spark, stream, ["id_student"], out_dir=out, checkpoint=ckpt, most_deltas=most_deltas, progress=progress)
+        read.append(max(p["numInputRows"] for name, p in progress if name == "totals"))
+        states.append(max(s["numRowsTotal"] for name, p in progress if name == "values" for s in p["stateOperators"]))
+        so_far = spark.createDataFrame(rows[: sum((120, 100, 80)[:n])], schema)
+        batch = so_far.groupBy("id_student").agg(
+            F.sum("sum_click").alias("t"), F.count(F.lit(1)).alias("n"), F.count_distinct("id_site").alias("s"), F.count_distinct("date").alias("d"))
+        assert {r.id_student: (r.total_vle_clicks, r.n_vle_records, r.n_vle_sites, r.n_vle_days) for r in got.collect()} == {
+            r.id_student: (r.t, r.n, r.s, r.d) for r in batch.collect()}
+    assert read == [120, 100, 80]  # only the new files
+    triples = {(r[0], "site", r[1]) for r in rows if r[1]} | {(r[0], "day", r[2]) for r in rows}
+    assert states[-1] == len(triples)
+    folders = list((tmp_path / "out" / "totals").glob("level=*/epoch=*"))
+    assert len(folders) == (4 if most_deltas == 16 else 2)
 
 
 def test_seed_loop(spark, raw, tmp_path):
