@@ -15,12 +15,14 @@ and the shuffles carry only per-value counts.
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.exprs import safe_corr, safe_div
+from cohortlens.functions.exprs import safe_div
 from cohortlens.operators.dist import ks_statistic
+from cohortlens.operators.gram import correlations
 from cohortlens.roles import FeatureSpec
 
 N_BINS = 10
@@ -53,21 +55,14 @@ def tv_complement(real: DataFrame, syn: DataFrame, cols) -> DataFrame:
 
 
 def correlation_similarity(real: DataFrame, syn: DataFrame, cols) -> DataFrame:
-    """1 - |r_real - r_syn| / 2 for every numeric pair (one aggregate per side)."""
-    pairs = list(itertools.combinations(cols, 2))
-    if not pairs:
-        return real.sparkSession.createDataFrame([], "column_1 string, column_2 string, metric string, score double")
-
-    def corrs(df):
-        return df.agg(*[safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-
-    ra, rb = corrs(real), corrs(syn)
-    stack_a = ra.unpivot([], ra.columns, "pair", "ra")
-    stack_b = rb.unpivot([], rb.columns, "pair", "rb")
-    names = real.sparkSession.createDataFrame([(f"p{i}", a, b) for i, (a, b) in enumerate(pairs)], "pair string, column_1 string, column_2 string")
-    j = stack_a.join(stack_b, "pair").join(F.broadcast(names), "pair")
-    return j.select("column_1", "column_2", F.lit("CorrelationSimilarity").alias("metric"),
-                    (F.lit(1.0) - F.abs(F.col("ra") - F.col("rb")) / F.lit(2.0)).alias("score"))
+    """1 - |r_real - r_syn| / 2 for every numeric pair (one pass per side)."""
+    cols = list(cols)
+    ra, rb = correlations(real, cols), correlations(syn, cols)
+    rows = []
+    for i, j in itertools.combinations(range(len(cols)), 2):
+        score = 1.0 - abs(ra[i, j] - rb[i, j]) / 2.0
+        rows.append((cols[i], cols[j], "CorrelationSimilarity", None if math.isnan(score) else float(score)))
+    return real.sparkSession.createDataFrame(rows, "column_1 string, column_2 string, metric string, score double")
 
 
 def _binned(df: DataFrame, spec: FeatureSpec, bounds: dict) -> DataFrame:
