@@ -2,11 +2,12 @@
 
 A row (or group) is ranked by ``h52(seed, key)``; "the first n" are the
 rows whose hash is at most the n-th smallest hash.  That threshold is
-found without a global sort: a 16-bit histogram of the hash range is
-aggregated (at most 65 536 counts reach the driver), the bucket holding
-the n-th value is kept and refined, four rounds for 52 bits.  Each round
-is one partial/final hash aggregate; the rows never leave their tasks.
-Membership is then a per-row comparison, so the split needs no join back.
+found without a global sort: a histogram of the hash range is aggregated
+(about 65 536 counts reach the driver, shared by all classes), the bucket
+holding the n-th value is kept and refined; once a bucket holds ``FEW`` values
+at most, they are read.  Each round is one partial/final hash aggregate for all
+classes together; the rows never leave their tasks.  Membership is then a
+per-row comparison.
 """
 
 from __future__ import annotations
@@ -16,45 +17,58 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions.hashing import h52
 
 _BITS = 52
 _STEP = 16
+FEW = 1000
 
 
-def kth_smallest(df: DataFrame, hcol: str, k: int) -> int:
-    """Exact k-th smallest (1-based) of a non-negative 52-bit integer column.
+def kth_smallest_by(df: DataFrame, hcol: str, group: str, wants: dict) -> dict:
+    """Per value of ``group``, the exact k-th smallest (1-based) of a non-negative 52-bit integer column.
 
-    Returns -1 for k <= 0 and the maximum for k >= count.
+    -1 for k <= 0 or a value without rows, the maximum for k >= count.
     """
-    if k <= 0:
-        return -1
-    lo, bits, need = 0, _BITS, k
-    h = F.col(hcol)
-    while bits > 0:
-        step = min(_STEP, bits)
-        shift = bits - step
-        sub = df.where((h >= F.lit(lo)) & (h < F.lit(lo + (1 << bits))))
-        rows = (
-            sub.select(F.shiftright(h - F.lit(lo), shift).alias("b"))
-            .groupBy("b").count().collect()
-        )
-        if not rows:
-            return -1
-        counts = sorted((int(r["b"]), int(r["count"])) for r in rows)
-        total = sum(c for _, c in counts)
-        if need > total:
-            need = total
-        cum = 0
-        for b, c in counts:
-            if cum + c >= need:
-                lo += b << shift
-                need -= cum
-                break
-            cum += c
-        bits = shift
-    return lo
+    out = {c: -1 for c in wants}
+    open_ = {c: (0, k) for c, k in wants.items() if k > 0}  # start of the class's bucket, rank inside it
+    bits, step = _BITS, max(4, _STEP - (len(open_) - 1).bit_length()) if open_ else _STEP
+    schema = T.StructType([T.StructField("_g", df.schema[group].dataType), T.StructField("_lo", T.LongType())])
+    while open_:
+        cells = df.sparkSession.createDataFrame([(c, lo) for c, (lo, _) in open_.items()], schema)  # a row per class
+        rest = F.col(hcol) - F.col("_lo")
+        inside = df.join(F.broadcast(cells), F.col(group).eqNullSafe(F.col("_g"))).where((rest >= 0) & (rest < F.lit(1 << bits)))
+        shift = max(0, bits - step)
+        counts: dict = {}
+        for r in inside.groupBy("_g", F.shiftright(rest, shift).alias("_b")).count().collect():
+            counts.setdefault(r["_g"], []).append((r["_b"], r["count"]))
+        found, largest = {}, 0
+        for c, (lo, need) in open_.items():
+            if c not in counts:
+                continue
+            need = min(need, sum(n for _, n in counts[c]))
+            for b, n in sorted(counts[c]):
+                if need <= n:
+                    break
+                need -= n
+            found[c], largest = (lo + (b << shift), need), max(largest, n)
+        open_, bits = found, shift
+        if bits == 0:
+            return out | {c: lo for c, (lo, _) in open_.items()}
+        if open_ and largest <= FEW:
+            cells = df.sparkSession.createDataFrame([(c, lo) for c, (lo, _) in open_.items()], schema)
+            inside = df.join(F.broadcast(cells), F.col(group).eqNullSafe(F.col("_g"))).where((rest >= 0) & (rest < F.lit(1 << bits)))
+            values: dict = {}
+            for r in inside.select("_g", F.col(hcol).alias("_h")).collect():  # FEW per class at most
+                values.setdefault(r["_g"], []).append(r["_h"])
+            return out | {c: sorted(values[c])[need - 1] for c, (_, need) in open_.items()}
+    return out
+
+
+def kth_smallest(df: DataFrame, hcol: str, k: int) -> int:
+    """Exact k-th smallest of the whole column."""
+    return kth_smallest_by(df.select(F.col(hcol), F.lit(0).alias("_all")), hcol, "_all", {0: k})[0]
 
 
 def first_n_threshold(keys: DataFrame, key_expr: Column, seed: int, n: int) -> int:
@@ -140,13 +154,15 @@ def stratified_split(df: DataFrame, key_col: str, strat_col: str, *, test_size:
     if min(sizes.values(), default=0) < 2:
         return random_split(df, key_col, test_size=test_size, seed=seed)
     alloc = _largest_remainder(k, sizes)
-    h = h52(seed, F.col(key_col))
-    cond = F.lit(False)
-    for cls, kc in alloc.items():
-        part = df.where(F.col(strat_col).eqNullSafe(F.lit(cls)))
-        thr = first_n_threshold(part.select(key_col), F.col(key_col), seed, kc)
-        cond = cond | (F.col(strat_col).eqNullSafe(F.lit(cls)) & (h <= F.lit(thr)))
-    return df.withColumn("split", F.when(cond, F.lit("test")).otherwise(F.lit("train")))
+    hashed = df.select(F.col(strat_col).alias("_c"), h52(seed, F.col(key_col)).alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        thresholds = kth_smallest_by(hashed, "_h", "_c", alloc)
+    finally:
+        hashed.unpersist()
+    schema = T.StructType([T.StructField("_c", df.schema[strat_col].dataType), T.StructField("_t", T.LongType())])
+    limits = F.broadcast(df.sparkSession.createDataFrame(list(thresholds.items()), schema))  # a row per class
+    joined = df.join(limits, F.col(strat_col).eqNullSafe(F.col("_c")), "left")
+    return joined.withColumn("split", F.when(h52(seed, F.col(key_col)) <= F.col("_t"), "test").otherwise("train")).drop("_c", "_t")
 
 
 def random_split(df: DataFrame, key_col: str, *, test_size: float, seed: int) -> DataFrame:

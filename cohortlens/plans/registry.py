@@ -393,7 +393,7 @@ def consolidated_slice_q(spark, d):
 def importance_preservation_q(spark, d):
     """M12 + A19 + M13: mean absolute SHAP values of TRTR and TSTR forests, Spearman rho and p per task."""
     tr, te, syn, roles = _copula_sample(spark, d)
-    return importance_preservation(tr, te, syn, roles, fp=QUERY_FOREST)[0]
+    return importance_preservation(tr, te, {GaussianCopula.name: syn}, roles, fp=QUERY_FOREST)[0].drop("synthesizer")
 
 
 def _explained(spark, d, seed: int, task: str, fp: ForestParams):

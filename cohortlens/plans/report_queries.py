@@ -20,12 +20,13 @@ from cohortlens.operators.ranks import feature_sets, importance_comparison, mean
 from cohortlens.operators.split import sample_exact, stratified_split
 from cohortlens.operators.synth import clip_to_quantiles, fill_median_mode, text_ranks, recode, restore_domain, validate_output
 from cohortlens.plans import oracle_sql as S
-from cohortlens.plans.losses import grid_losses, regime_pairs, synthesizer_pairs
+from cohortlens.plans.losses import SYNTHESIZERS, grid_losses, regime_pairs, synthesizer_pairs
 from cohortlens.plans.registry import register, split_students
 from cohortlens.roles import infer_feature_spec
 from cohortlens.sources.tables import Tables
 
-FAMILY = 18  # 6 pairwise and 12 regime tests
+#: tests made: two tasks of every pair, and two tasks of two models of every synthesizer
+FAMILY = len(SYNTHESIZERS) * (len(SYNTHESIZERS) - 1) // 2 * 2 + len(SYNTHESIZERS) * 2 * 2
 
 # ------------------------------------------------------------- E18, E19 grids
 _HALF = f"['syn_a', 'syn_b', 'syn_c'][{sql_h52('5', 'id_student')} % 3 + 1]"

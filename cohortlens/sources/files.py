@@ -102,7 +102,10 @@ def load_export(spark: SparkSession, raw_dir: str, skip: set[str] = frozenset())
 _CI = "struct<ci_low: double, ci_high: double>"
 _CLS = ["rf_auc", "lr_auc", "mean_auc", "trtr_rf_auc", "trtr_lr_auc"]
 _REG = ["rf_mae", "ridge_mae", "mean_mae", "trtr_rf_mae", "trtr_ridge_mae"]
-_RHO = "struct<rank_correlation: struct<spearman_rho: double, p_value: double, n_features: bigint>>"
+_RHO = ("struct<trtr_importance: map<string, double>, tstr_importance: map<string, double>, "
+        "rank_correlation: struct<spearman_rho: double, p_value: double, n_features: bigint>>")
+_TEST = ("struct<p_value: double, mean_diff: double, cohens_d: double, effect_interpretation: string, n: bigint, n_permutations: bigint, "
+         "significant_bonferroni: boolean>")
 RESULT_SCHEMA = (
     "dataset string, seed bigint, synthesizers map<string, struct<"
     "sdmetrics: struct<overall_score: double>, c2st: struct<effective_auc: double>, "
@@ -111,7 +114,10 @@ RESULT_SCHEMA = (
     f"classification: struct<{', '.join(f'{m}: double' for m in _CLS)}, rf_auc_ci: {_CI}, lr_auc_ci: {_CI}>, "
     f"regression: struct<{', '.join(f'{m}: double' for m in _REG)}, rf_mae_ci: {_CI}, ridge_mae_ci: {_CI}>>, "
     f"shap: struct<classification: {_RHO}, regression: {_RHO}>, "
-    "timing: struct<fit_seconds: double, sample_seconds: double, total_seconds: double>>>"
+    "timing: struct<fit_seconds: double, sample_seconds: double, total_seconds: double>>>, "
+    f"pairwise_tests map<string, struct<classification: {_TEST}, regression: {_TEST}>>, "
+    f"tstr_vs_trtr map<string, struct<classification_rf: {_TEST}, classification_lr: {_TEST}, regression_rf: {_TEST}, regression_ridge: {_TEST}>>, "
+    "multiple_testing_correction struct<method: string, original_alpha: double, adjusted_alpha: double, n_tests: bigint>"
 )
 
 #: name in the long metrics table -> path in a result document
@@ -158,3 +164,24 @@ def attacker_table(results: DataFrame) -> DataFrame:
     syn = results.select("dataset", "seed", F.explode("synthesizers").alias("synthesizer", "r"))
     return syn.select("dataset", "seed", "synthesizer", F.explode("r.mia.attackers").alias("attacker", "a")).select(
         "dataset", "seed", "synthesizer", "attacker", F.col("a.auc").alias("auc"), F.col("a.effective_auc").alias("effective_auc"))
+
+
+def importance_table(results: DataFrame) -> DataFrame:
+    """(dataset, seed, task, source, feature, importance) of every run: ``trtr`` once, and each synthesizer."""
+    syn = results.select("dataset", "seed", F.explode("synthesizers").alias("synthesizer", "r"))
+    cells = [F.struct(F.lit(t).alias("task"), s.alias("source"), F.col(f"r.shap.{t}.{f}").alias("imp"))
+             for t in ("classification", "regression") for s, f in ((F.lit("trtr"), "trtr_importance"), (F.col("synthesizer"), "tstr_importance"))]
+    long = syn.select("dataset", "seed", F.explode(F.array(*cells)).alias("c")).select("dataset", "seed", "c.task", "c.source", F.explode("c.imp").alias("feature", "importance"))
+    return long.dropDuplicates(["dataset", "seed", "task", "source", "feature"])
+
+
+def test_table(results: DataFrame) -> DataFrame:
+    """(dataset, seed, family, name, part, p_value, ...) of every test of every run."""
+    def family(col, parts):
+        return results.select("dataset", "seed", F.lit(col).alias("family"), F.explode(col).alias("name", "t")).select(
+            "dataset", "seed", "family", "name", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"t.{p}").alias("test")) for p in parts])).alias("c")).select(
+            "dataset", "seed", "family", "name", "c.part", "c.test.*")
+
+    both = family("pairwise_tests", ["classification", "regression"]).unionByName(
+        family("tstr_vs_trtr", ["classification_rf", "classification_lr", "regression_rf", "regression_ridge"]))
+    return both.where(F.col("p_value").isNotNull())

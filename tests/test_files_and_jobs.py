@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import report as P
 from cohortlens.operators.models import ForestParams
 from cohortlens.plans.datasets import build_dataset
-from cohortlens.plans.jobs import run_seeds
+from cohortlens.plans.jobs import run_seeds, write_chart_tables
 from cohortlens.sources.files import METRIC_PATHS, find_csv, largest_csv, read_csv, read_results, results_to_metrics
 from cohortlens.sources.sinks import read_slice, write_consolidated, write_json_document
 from cohortlens.streaming.clicks import run_incremental
@@ -118,8 +118,30 @@ def test_stream_resumes_and_equals_batch(spark, tmp_path, most_deltas):
 
 
 def test_seed_loop(spark, raw, tmp_path):
-    fp = ForestParams(num_trees=4, max_depth=3)
-    summary, seen = run_seeds(spark, str(raw), str(tmp_path), datasets=["oulad"], seeds=[0], fp=fp, boosting_rounds=3)
-    got = {r.metric: r.mean for r in summary.collect()}
-    assert {"tstr_cls_rf_auc", "tstr_cls_rf_auc_ci_low", "tstr_reg_ridge_mae", "c2st_effective_auc", "mia_worst_case_effective_auc"} <= set(got)
-    assert got["tstr_cls_rf_auc_ci_low"] <= got["tstr_cls_rf_auc"] + 0.1 and seen.first()["seeds_observed"] == 1
+    """The copula and a synthetic table made elsewhere (real rows of half of the students)."""
+    fp = ForestParams(num_trees=4, max_depth=3, shap_trees=3)
+    table, _ = build_dataset(spark, "oulad", str(raw))
+    outside = {("oulad", 1): {"copied": table.where("id_student % 2 = 0")}}
+    summary, seen = run_seeds(spark, str(raw), str(tmp_path), datasets=["oulad"], seeds=[1], made_elsewhere=outside, fp=fp, boosting_rounds=3, n_perm=200)
+    got = {(r.synthesizer, r.metric): r for r in summary.collect()}
+    assert {m for s, m in got if s == "gaussian_copula"} >= set(P.SUMMARY_METRICS)
+    assert {m for s, m in got if s == "copied"} >= {"tstr_cls_rf_auc", "mia_worst_case_effective_auc", "shap_spearman_rho_reg"}
+    assert got["gaussian_copula", "tstr_cls_rf_auc_ci_low"].mean <= got["gaussian_copula", "tstr_cls_rf_auc"].mean + 0.1
+    assert seen.first()["seeds_observed"] == 1
+    res = {r["seed"]: r for r in read_results(spark, str(tmp_path / "seed_*" / "*" / "results.json")).collect()}
+    two = res[1]
+    assert set(two["pairwise_tests"]) == {"gaussian_copula_vs_copied"} and two["multiple_testing_correction"]["n_tests"] == 2 + 8
+    test = two["tstr_vs_trtr"]["copied"]["regression_ridge"]
+    assert 0 <= test["p_value"] <= 1 and test["significant_bonferroni"] == (test["p_value"] < 0.05 / 10) and test["n_permutations"] == 200
+    shap = two["synthesizers"]["copied"]["shap"]["classification"]
+    assert shap["trtr_importance"].keys() == shap["tstr_importance"].keys() and "gender" in shap["trtr_importance"]
+    assert read_slice(spark, str(tmp_path / "seed_1" / "oulad" / "data"), "synthetic_train", "copied").count() > 0
+
+    names = write_chart_tables(spark, str(tmp_path), str(tmp_path / "charts"))
+    assert {"seed_summary", "score_matrices", "tests", "rank_correlations", "importance_comparison", "attackers"} <= set(names)
+    tables = {n: spark.read.parquet(str(tmp_path / "charts" / n)) for n in names}
+    assert all(t.count() > 0 for t in tables.values())
+    assert tables["tests"].count() == 10
+    rho = {(r["seed"], r["task"], r["source_a"], r["source_b"]): r["spearman_rho"] for r in tables["rank_correlations"].collect()}
+    assert rho[1, "regression", "trtr", "trtr"] == pytest.approx(1.0)
+    assert rho[1, "regression", "trtr", "copied"] == pytest.approx(two["synthesizers"]["copied"]["shap"]["regression"]["rank_correlation"]["spearman_rho"])

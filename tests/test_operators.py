@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import resample as R
+from cohortlens.operators import split
 from cohortlens.operators.dist import auc_mann_whitney, cliff_counts, exact_percentiles, ks_statistic, value_prefix
 from cohortlens.operators.effect import effect_size_summary
 from cohortlens.operators.knn import knn_distances
@@ -25,6 +26,18 @@ def test_kth_smallest_matches_sort(spark):
     assert kth_smallest(df, "h", 0) == -1
 
 
+def test_kth_smallest_per_class(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 5 == 0 else f"c{i % 3}", int(x)) for i, x in enumerate(rng.integers(0, 2**52, 600))] + [("same", 77)] * 50
+    df = spark.createDataFrame(rows, "c string, h long")
+    by = {c: sorted(h for k, h in rows if k == c) for c in {k for k, _ in rows}}
+    wants = {None: 7, "c0": 1, "c1": 90, "c2": 10**6, "same": 9, "absent": 3}
+    want = {c: -1 if c not in by else by[c][min(k, len(by[c])) - 1] for c, k in wants.items()}
+    assert split.kth_smallest_by(df, "h", "c", wants) == want
+    monkeypatch.setattr(split, "FEW", 0)  # by histograms alone
+    assert split.kth_smallest_by(df, "h", "c", wants) == want
+
+
 def test_group_split_keeps_groups_whole_and_exact_size(spark):
     rows = [(g, i) for g in range(101) for i in range(g % 4 + 1)]
     df = spark.createDataFrame(rows, "grp long, i long")
