@@ -55,8 +55,8 @@ ORDER = 5
 SAMPLE_CHARS = 1_500_000
 CALIBRATION_CHARS = 8_000_000
 MIN_TEXTS = 50
-SLICE_CHARS = 250_000  # what a worker scores at once; its arrays take about 250 bytes a character
-KNOWN_GRAMS = 500_000  # n-grams whose log probabilities a worker keeps: 8 bytes each and 4 per language
+SLICE_CHARS = 100_000  # what a worker scores at once; its arrays take about 250 bytes a character
+KNOWN_GRAMS = 300_000  # n-grams whose log probabilities a worker keeps: 8 bytes each and 4 per language
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 2.0
 SPREAD = 1 / 20  # variance that does not vanish with length: texts mix languages, codes and names
