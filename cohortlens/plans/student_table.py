@@ -27,6 +27,7 @@ from cohortlens.roles import TableRoles
 # Fixed values of the source format: outcome texts that mean "did not complete".
 NEGATIVE_OUTCOMES = ["withdrawn", "fail"]
 
+# Column names of the student table.
 CLICK_COLS = ["total_vle_clicks", "n_vle_records", "n_vle_sites", "n_vle_days", "mean_vle_clicks", "clicks_per_active_day"]
 GRADE_COLS = ["n_assessments", "final_grade"]
 LEAKAGE_COLS = ["weighted_score_sum", "total_weight", "mean_score"]
@@ -40,6 +41,7 @@ class StudentInputs:
     submissions: DataFrame
     assessments: DataFrame
     keys: tuple[str, ...] = ("code_module", "code_presentation", "id_student")
+    # fixed values: the categories of the source format
     categorical_cols: tuple[str, ...] = (
         "code_module", "code_presentation", "gender", "region",
         "highest_education", "imd_band", "age_band", "disability",

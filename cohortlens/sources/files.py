@@ -19,6 +19,7 @@ from cohortlens.functions.exprs import nan_to_null
 LATIN9_FIXES = [("¤", "€"), ("¦", "Š"), ("¨", "š"), ("´", "Ž"),
                 ("¸", "ž"), ("¼", "Œ"), ("½", "œ"), ("¾", "Ÿ")]
 
+# Files and columns of the source format.
 EXPORT_SCHEMAS = {
     "studentinfo": "code_module string, code_presentation string, id_student long, gender string, region string, "
                    "highest_education string, imd_band string, age_band string, num_of_prev_attempts int, "
@@ -99,6 +100,7 @@ def load_export(spark: SparkSession, raw_dir: str, skip: set[str] = frozenset())
             for name, schema in EXPORT_SCHEMAS.items() if name not in skip}
 
 
+# The layout of a result document.
 _CI = "struct<ci_low: double, ci_high: double>"
 _CLS = ["rf_auc", "lr_auc", "mean_auc", "trtr_rf_auc", "trtr_lr_auc"]
 _REG = ["rf_mae", "ridge_mae", "mean_mae", "trtr_rf_mae", "trtr_ridge_mae"]
@@ -120,7 +122,7 @@ RESULT_SCHEMA = (
     "multiple_testing_correction struct<method: string, original_alpha: double, adjusted_alpha: double, n_tests: bigint>"
 )
 
-#: name in the long metrics table -> path in a result document
+# Name in the long metrics table -> path in a result document.
 METRIC_PATHS = {
     "sdmetrics_overall_score": "sdmetrics.overall_score",
     "c2st_effective_auc": "c2st.effective_auc",
