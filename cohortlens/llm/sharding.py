@@ -1,7 +1,8 @@
 """Sharding by histogram sort: shards of near equal bytes (operator 5).
 
-Rows are ordered by a 128-bit key, the hash of the text and then the
-``doc_id``, so equal texts stand together and yet can be divided.  The keys
+Rows are ordered by a 128-bit key, the hash of the text and then a hash of
+``doc_id`` and row number, so equal texts stand together and yet can be
+divided, also where they share their ``doc_id``.  The keys
 where one shard ends and the next begins are found by counting: the exact
 bytes below evenly spaced candidate boundaries (hexadecimal prefixes of the
 key) are counted across all partitions, the cells that hold a wanted
@@ -20,10 +21,11 @@ numbers per range at the end.
 
 Defined results
     * a null text has 0 bytes and counts as empty; each row weighs 16 more;
-    * repeated rows are kept, each in a slot of its own (equal keys cannot be
-      told apart and stay in one range);
+    * repeated rows are kept, each in a slot of its own, and are divided as
+      other rows are;
     * an empty table gives an empty result; extra columns are kept by
-      ``shard_documents``.
+      ``shard_documents``, but names that begin with ``__cl_`` are its own and
+      its folders are named by ``shard_col``, which ``docs`` must not hold.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import bisect
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import staged, text_or_empty
+from cohortlens.llm.common import numbered, staged, text_or_empty
 
 SHARDS = 40
 PARTS = 16
@@ -47,9 +49,8 @@ def _hex(col: Column) -> Column:
     return F.lpad(F.hex(col.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
 
 
-def sort_key() -> Column:
-    low = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    return F.concat(_hex(F.xxhash64(text_or_empty("text"))), _hex(low))
+def sort_key(row: str = "__cl_row") -> Column:
+    return F.concat(_hex(F.xxhash64(text_or_empty("text"))), _hex(F.xxhash64("doc_id", row)))
 
 
 def find_splitters(rows: DataFrame, targets: list[float], tolerance: float) -> tuple[list[str], list[int]]:
@@ -139,7 +140,7 @@ def assign(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS, tolerance:
 def histogram_shards(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     rows = staged(
-        docs.select(
+        numbered(docs.select("doc_id", "text")).select(
             "doc_id",
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 16).alias("size"),
             F.crc32(text_or_empty("text").cast("binary")).alias("text_crc32"),
@@ -152,16 +153,21 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS,
     )
 
 
-def shard_documents(docs: DataFrame, path: str, shards: int = SHARDS, parts: int = PARTS) -> None:
+def shard_documents(docs: DataFrame, path: str, shards: int = SHARDS, parts: int = PARTS, shard_col: str = "shard") -> None:
     """Write ``docs`` with all columns to ``path``: a folder per shard, ``parts`` files in it, each sorted by key."""
-    keyed = docs.withColumn("key", sort_key()).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 16)
-    slim = staged(keyed.select("key", "size"), "shard-keys")
+    if shard_col in docs.columns:
+        raise ValueError(f"docs hold a column {shard_col!r}: name another shard_col")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 16
+    # staged: a row keeps its number, and so its shard, when a lost task is run again
+    keyed = staged(numbered(docs).withColumn("__cl_key", sort_key()).withColumn("__cl_size", size).drop("__cl_row"), "shard-rows")
+    slim = keyed.select(F.col("__cl_key").alias("key"), F.col("__cl_size").alias("size"))
     total = slim.agg(F.sum("size")).first()[0] or 0
     if not total:
-        keyed.drop("key", "size").withColumn("shard", F.lit(0)).write.partitionBy("shard").parquet(path)
+        keyed.drop("__cl_key", "__cl_size").withColumn(shard_col, F.lit(0)).write.partitionBy(shard_col).parquet(path)
         return
     splitters, _ = find_splitters(slim, [total * i / shards for i in range(1, shards)], TOLERANCE * total / shards)
-    shard = F.size(F.filter(F.array(*map(F.lit, splitters)), lambda s: s <= F.col("key")))
-    placed = keyed.drop("size").withColumn("shard", shard)
-    dealt = placed.withColumn("__cl_part", F.pmod(F.xxhash64("key"), F.lit(parts))).repartition(shards * parts, "shard", "__cl_part")
-    dealt.sortWithinPartitions("shard", "key").drop("key", "__cl_part").write.partitionBy("shard").parquet(path)
+    shard = F.size(F.filter(F.array(*map(F.lit, splitters)), lambda s: s <= F.col("__cl_key")))
+    placed = keyed.drop("__cl_size").withColumn(shard_col, shard)
+    part = F.pmod(F.xxhash64("__cl_key"), F.lit(parts))
+    dealt = placed.withColumn("__cl_part", part).repartition(shards * parts, shard_col, "__cl_part")
+    dealt.sortWithinPartitions(shard_col, "__cl_key").drop("__cl_key", "__cl_part").write.partitionBy(shard_col).parquet(path)

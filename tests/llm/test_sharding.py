@@ -51,15 +51,46 @@ def test_splitters_are_exact_counts(spark):
 
 
 def test_files_and_empty(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"text {i}", i) for i in range(200)] + [(1, None, 1)], "doc_id bigint, text string, slot int")
+    rows = [(i, f"text {i}", i, "k", 7) for i in range(200)] + [(1, None, 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, slot int, key string, size int")
     shard_documents(docs, str(tmp_path / "out"), shards=4, parts=2)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 201 and set(back.columns) == {*docs.columns, "shard"}
+    assert set(back.columns) == {*docs.columns, "shard"}
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(ValueError):
+        shard_documents(docs.withColumn("shard", docs.slot), str(tmp_path / "no"), shards=4)
+    shard_documents(docs.withColumn("shard", docs.slot), str(tmp_path / "named"), shards=4, shard_col="part")
+    assert {"shard", "part"} <= set(spark.read.parquet(str(tmp_path / "named")).columns)
     assert histogram_shards(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("rows", [[(1, "x")], [(1, "x")] * 30])
 def test_fewer_keys_than_shards(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    out = histogram_shards(docs, shards=5).collect()
-    assert len(out) == len(rows) and sorted(r.slot for r in out) == list(range(len(rows)))
+    check(histogram_shards(docs, shards=5), docs, 5, 17)
+
+
+def test_equal_rows_are_divided(spark):
+    """A third of all rows share their text and have no id; one text is very long."""
+    rows = [(None, "same text")] * 1000 + [(i, f"text number {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = check(histogram_shards(docs, shards=40), docs, 40, 80)
+    hot = zlib.crc32(b"same text")
+    assert 10 <= len({r.shard for r in out if r.text_crc32 == hot}) <= 15  # a third of the bytes, together
+    long = docs.union(spark.createDataFrame([(-1, "long " * 400_000)], docs.schema))
+    check(histogram_shards(long, shards=3), long, 3, 2_000_016)
+
+
+def test_plain_construction(spark):
+    """Boundaries against sorting all keys and cutting at the wanted bytes."""
+    rows = spark.createDataFrame([(f"{(i * 2654435761) % 2**32:08X}" * 4, 10 + i % 7) for i in range(3000)], "key string, size bigint")
+    held = sorted((r.key, r.size) for r in rows.collect())
+    total = sum(n for _, n in held)
+    targets = [total * i / 8 for i in range(1, 8)]
+    splitters, _ = find_splitters(rows, targets, tolerance=0)
+    for target, s in zip(targets, splitters):
+        below, best, run = sum(n for k, n in held if k < s), 10**9, 0
+        for _, n in [("", 0), *held]:
+            run += n
+            best = min(best, abs(run - target))
+        assert abs(below - target) == best
