@@ -52,7 +52,7 @@ def query(name: str, sql: str | None = None):
     """,
 )
 def op3_exact_dedup(spark, d):
-    """Exact duplicates of all documents through a new digest index."""
+    """Exact duplicates of all documents through a new digest index, in batches of falling doc_id."""
     return exact_duplicates(read(spark, d, "documents"))
 
 

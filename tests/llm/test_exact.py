@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 from cohortlens.llm.common import shared_path
-from cohortlens.llm.exact import DigestIndex, drop_exact_duplicates, exact_duplicates
+from cohortlens.llm.exact import DigestIndex, buckets_for, drop_exact_duplicates, exact_duplicates
 
 
 def sha(text):
@@ -20,8 +20,9 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, kept string")
 
 
-def test_groups(docs):
-    out = exact_duplicates(docs).collect()
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_groups(docs, batches):
+    out = exact_duplicates(docs, buckets=4, batches=batches).collect()
     rows = docs.collect()
     assert len(out) == len(rows)
     assert sorted(r.text_sha256 for r in out) == sorted(sha(r.text) for r in rows)
@@ -56,6 +57,29 @@ def test_second_batch_and_reopened_index(spark, docs):
     assert again.rows().count() == size + 1
 
 
+def test_later_batches_lose_their_copies_to_the_index(spark, monkeypatch):
+    verdicts, admit = [], DigestIndex.admit
+    monkeypatch.setattr(DigestIndex, "admit", lambda index, rows: verdicts.append(admit(index, rows)) or verdicts[-1])
+    docs = spark.createDataFrame([(i, f"text {i % 60}") for i in range(100)], "doc_id bigint, text string")
+    out = exact_duplicates(docs, buckets=4).collect()
+    assert sum(r.kept for r in out) == 60 and all(r.keep_id == (r.doc_id if r.doc_id >= 40 else r.doc_id + 60) for r in out)
+    assert len(verdicts) == 2 and verdicts[0].count() + verdicts[1].count() > 60
+    assert verdicts[0].where("keep_row IS NULL").count() == 0 and verdicts[1].where("keep_row IS NULL").count() >= 30
+
+
+def test_compaction(spark, docs):
+    index = DigestIndex(spark, shared_path(spark, "index"), buckets=4)
+    for part in docs.randomSplit([0.5, 0.5], 3):
+        index.add(part).count()
+    small = index.compact(shared_path(spark, "index"))
+    files = small.rows().inputFiles()
+    assert sorted(map(str, small.rows().collect())) == sorted(map(str, index.rows().collect()))
+    assert len(files) <= 4 < len(index.rows().inputFiles())
+    more = spark.createDataFrame([(1, "hot"), (2, "unseen")], "doc_id bigint, text string")
+    assert {r.doc_id: r.kept for r in small.add(more).collect()} == {1: False, 2: True}
+    assert [buckets_for(n) for n in (0, 10**6, 4 * 10**8, 10**11)] == [64, 64, 128, 32768]
+
+
 def test_index_side_is_not_shuffled(spark, docs):
     index = DigestIndex(spark, shared_path(spark, "index"), buckets=8)
     index.add(docs).count()
