@@ -3,9 +3,13 @@
 Every document is tested by simple rules on its whole text.  Failures are
 summed per host (``source``), each host's failure rate of each rule is shrunk
 to the corpus by a beta prior fitted to the hosts' rates (method of
-moments), and a host whose shrunken rate exceeds ``LIMIT`` for any rule is
-judged bad.  The host verdict is joined back to its documents: a document
-stays if it passes the base rules and its host is not bad.
+moments), and a host is judged bad by its posterior: for some rule even the
+lower end of the rate, ``DEVIATIONS`` standard deviations below its mean,
+exceeds both ``TIMES`` the corpus rate and ``LEAST``, or exceeds ``LIMIT``.
+So a host far above the others goes though most of its documents pass, one
+with few documents needs more failures, and no host goes where failures are
+rare.  The host verdict is joined back to its documents: a document stays if
+it passes the base rules and its host is not bad.
 
 Only DataFrame functions run.  Word windows never leave their row; the host
 sums combine before the shuffle; eight numbers (mean and variance per rule)
@@ -39,6 +43,9 @@ RULES = {
 }
 BASE = ("short", "repeats")
 LIMIT = 0.5
+LEAST = 0.2
+TIMES = 3.0
+DEVIATIONS = 3.0
 STRONGEST = 1e6
 
 
@@ -90,7 +97,9 @@ def features(docs: DataFrame) -> DataFrame:
     return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("p")
 
 
-def host_verdicts(tested: DataFrame, limit: float = LIMIT) -> DataFrame:
+def host_verdicts(
+    tested: DataFrame, limit: float = LIMIT, least: float = LEAST, times: float = TIMES, deviations: float = DEVIATIONS
+) -> DataFrame:
     """source, host_rate (largest shrunken rate) and host_bad; ``tested``: source and fail_<rule>."""
     hosts = tested.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"fail_{r}").cast("bigint")).alias(f"k_{r}") for r in RULES)
@@ -100,21 +109,24 @@ def host_verdicts(tested: DataFrame, limit: float = LIMIT) -> DataFrame:
         *(F.avg(F.col(f"k_{r}") / F.col("n")).alias(f"m_{r}") for r in RULES),
         *(F.var_pop(F.col(f"k_{r}") / F.col("n")).alias(f"v_{r}") for r in RULES),
     ).first()
-    rates = []
+    rates, bad = [], F.lit(False)
     for r in RULES:
         m, v = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
         strength = STRONGEST if v <= 1e-12 else min(STRONGEST, max(0.0, m * (1 - m) / v - 1))
-        rates.append((F.col(f"k_{r}") + F.lit(m * strength)) / (F.col("n") + F.lit(strength)))
-    worst = F.greatest(*rates)
-    return hosts.select("source", worst.alias("host_rate"), (worst > limit).alias("host_bad"))
+        weight = F.col("n") + F.lit(strength)
+        rate = (F.col(f"k_{r}") + F.lit(m * strength)) / weight
+        lower = rate - F.lit(deviations) * F.sqrt(rate * (F.lit(1.0) - rate) / (weight + F.lit(1.0)))
+        rates.append(rate)
+        bad = bad | (lower > min(limit, max(least, times * m)))
+    return hosts.select("source", F.greatest(*rates).alias("host_rate"), bad.alias("host_bad"))
 
 
-def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate."""
+def judge(docs: DataFrame, **bounds: float) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_rate, host_bad."""
     tested = staged(features(docs).withColumns({f"fail_{r}": F.expr(rule) for r, rule in RULES.items()}), "rule-failures")
-    hosts = host_verdicts(tested, limit).withColumnRenamed("source", "host")
+    hosts = host_verdicts(tested, **bounds).withColumnRenamed("source", "host")
     base = F.col(f"fail_{BASE[0]}") | F.col(f"fail_{BASE[1]}")
     return tested.join(hosts, F.col("source").eqNullSafe(F.col("host"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~F.col("host_bad")).alias("kept"), F.round("host_rate", 6).alias("host_rate"),
+        base.alias("base_failed"), (~base & ~F.col("host_bad")).alias("kept"), F.round("host_rate", 6).alias("host_rate"), "host_bad",
     )

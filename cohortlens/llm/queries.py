@@ -144,9 +144,13 @@ def op5_histogram_sharding(spark, d):
     k AS (SELECT source, n, unnest(ks) AS k, unnest([1, 2, 3, 4]) AS rule FROM h),
     mv AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM k GROUP BY rule),
     s AS (SELECT rule, m, CASE WHEN v <= 1e-12 THEN 1e6 ELSE least(1e6, greatest(0, m * (1 - m) / v - 1)) END AS s FROM mv),
-    host AS (SELECT source, max((k + m * s) / (n + s)) AS host_rate FROM k JOIN s USING (rule) GROUP BY source)
+    post AS (SELECT source, n + s AS weight, m, (k + m * s) / (n + s) AS rate FROM k JOIN s USING (rule)),
+    host AS (
+        SELECT source, max(rate) AS host_rate,
+               bool_or(rate - 3 * sqrt(rate * (1 - rate) / (weight + 1)) > least(0.5::DOUBLE, greatest(0.2::DOUBLE, 3 * m))) AS host_bad
+        FROM post GROUP BY source)
     SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-           f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT (host_rate > 0.5) AS kept, round(host_rate, 6) AS host_rate
+           f1 OR f2 AS base_failed, NOT (f1 OR f2) AND NOT host_bad AS kept, round(host_rate, 6) AS host_rate, host_bad
     FROM t JOIN host ON t.source IS NOT DISTINCT FROM host.source
     """,
 )
