@@ -16,9 +16,14 @@ nested: a class that opens inside the gap of another is its child until a
 token of the outer one follows.  A slot is the gap after a token of a class,
 and the text that the template does not hold fills the slots.  Text inside
 containers for menus, headers, footers, side bars, notices, adverts, forms
-and reader comments is left out; they are told by their element, or by a whole
-class, id or role from a short list, which never leaves out an article inside
-them nor a heading or paragraph tag inside an article.  Where a token of the template is inside
+and reader comments is left out.  They are told by their element, by a whole
+class, id or role from a short list, or by a hyphened part of one
+(``comment-list``); a part leaves out nothing that holds an article or the
+first-level heading, nor a paragraph or list item by itself, and no word
+leaves out a heading inside an article.  Of several articles those inside such
+containers, or named so themselves, are left out; where all articles of a page
+are inside, the ones with a first-level heading are taken, or all of them if
+the page says nothing else.  ``br`` is a blank.  Where a token of the template is inside
 ``article``, ``main`` or role main, the slots after such tokens are the main
 ones and only their text is taken; else the text of all slots is.
 
@@ -71,7 +76,8 @@ LEFT_OUT_WORDS = frozenset(
     "comment comments disqus social share sharing related recommended newsletter subscribe pagination pager "
     "cookie-notice cookie-banner cookie-bar cookie-consent site-header site-footer page-footer main-nav main-menu".split()
 )
-PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEGATIONS = frozenset("no not non has with without".split())  # as in no-sidebar
 # what a start tag ends when it is open innermost: HTML lets these go unclosed
 ENDS = {name: ("p",) for name in (
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
@@ -90,16 +96,40 @@ _WORD = re.compile("[a-z0-9]+")
 
 
 class Block:
-    __slots__ = ("text", "main", "token")
+    __slots__ = ("text", "main", "token", "place")
 
-    def __init__(self, text: str, main: bool, token: int):
-        self.text, self.main, self.token = text, main, token
+    def __init__(self, text: str, main: bool, token: int, place: Place | None = None):
+        self.text, self.main, self.token, self.place = text, main, token, place
+
+
+class Place:
+    """What the containers around a point of a page say of it."""
+
+    __slots__ = ("out", "article", "maybe")
+
+    def __init__(self, out: int = 0, article: Article | None = None, maybe: tuple[list[bool], ...] = ()):
+        self.out = out  # 1: inside a container left out by a whole word, 2: by its element
+        self.article = article
+        self.maybe = maybe  # containers with a listed part in a name; whether each holds an article or heading
+
+
+class Article:
+    __slots__ = ("listed", "headed")
+
+    def __init__(self, listed: bool):
+        self.listed = listed  # inside a container left out by a word, or named so itself
+        self.headed = False  # holds a first-level heading
 
 
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
 
+def _names_left_out(name: str) -> bool:
+    parts = _WORD.findall(name)
+    return len(parts) > 1 and NEGATIONS.isdisjoint(parts) and not LEFT_OUT_WORDS.isdisjoint(parts)
+
+
 class Page:
     """What one page holds: text blocks outside left-out containers, tags, and whether there is an article slot.
 
@@ -110,28 +140,63 @@ class Page:
         self.blocks: list[Block] = []
         self.events: list[tuple[int, Block | None, bool]] = []
         self.has_main = False
-        self._stack: list[tuple[str, str, int, bool]] = []  # name, path, left out (1: by a word, 2: by its element), main
+        self._articles: list[Article] = []
+        self._places: list[Place] = []  # of every event
+        self._stack: list[tuple[str, str, Place]] = []  # name, path, place
         self._text: list[str] = []
-        self._in_main = False
+        self._at = Place()
         self._read(html)
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Once all containers are known: which articles are the main ones, and what is left out."""
+        best = [a for a in self._articles if not a.listed] or [a for a in self._articles if a.headed]
+        if not best and not any(self._held(b.place) and b.place.article is None for b in self.blocks):
+            best = self._articles
+        chosen = {id(a) for a in best}
+        self.has_main = bool(chosen)
+
+        def main(place: Place) -> bool:
+            return place.article is not None and id(place.article) in chosen and all(h[0] for h in place.maybe)
+
+        def stays(place: Place) -> bool:
+            return self._held(place) and (place.article is None or id(place.article) in chosen)
+
+        self.blocks = [b for b in self.blocks if stays(b.place)]
+        for b in self.blocks:
+            b.main = main(b.place)
+        self.events = [
+            (token, block, not place.out and main(place))
+            for (token, block, _), place in zip(self.events, self._places)
+            if block is None or stays(place)
+        ]
+
+    @staticmethod
+    def _held(place: Place) -> bool:
+        return not place.out and all(h[0] for h in place.maybe)
+
+    def _event(self, token: int, block: Block | None, place: Place) -> None:
+        self.events.append((token, block, False))
+        self._places.append(place)
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
                 path = self._stack[-1][1] if self._stack else ""
-                block = Block(text, self._in_main, _hash("text", path, text))
+                block = Block(text, False, _hash("text", path, text), self._at)
                 self.blocks.append(block)
-                self.events.append((block.token, block, block.main))
+                self._event(block.token, block, self._at)
             self._text = []
 
     def _say(self, raw: str) -> None:
-        name, _, out, main = self._stack[-1] if self._stack else ("", "", False, False)
-        if raw and not out:
-            if main != self._in_main:
+        place = self._stack[-1][2] if self._stack else Place()
+        if raw and not place.out:
+            if place.article is not self._at.article or place.maybe != self._at.maybe:
                 self._flush()
-                self._in_main = main
+            if not self._text:
+                self._at = place
             self._text.append(_html.unescape(raw) if "&" in raw else raw)
 
     def _open(self, name: str, attributes: str) -> None:
@@ -141,21 +206,39 @@ class Page:
         inline = name in INLINE
         if not inline:
             self._flush()
+        elif name == "br":
+            self._say(" ")
         while self._stack and self._stack[-1][0] in ENDS.get(name, ()):
             self._stack.pop()
-        _, path, out, main = self._stack[-1] if self._stack else ("", "", 0, False)
-        if is_main and out == 1:  # an article is kept whatever the class of what holds it
+        _, path, place = self._stack[-1] if self._stack else ("", "", Place())
+        whole = [w for _, v in names for w in v.lower().split()]
+        framed = name not in ("html", "body")
+        listed = framed and not LEFT_OUT_WORDS.isdisjoint(whole)
+        out, article, maybe = place.out, place.article, place.maybe
+        if is_main and out < 2:  # an article inside or named by a listed word waits for what the rest of the page holds
+            if not (article is not None and not article.listed and not out and not listed):
+                article = Article(bool(out or listed))
+                self._articles.append(article)
             out = 0
-        whole = {w for _, v in names for w in v.lower().split()}
-        worded = not is_main and name not in ("html", "body") and not whole.isdisjoint(LEFT_OUT_WORDS)
-        drops = 2 if name in LEFT_OUT else int(worded and not (main and name in PARAGRAPH))
+            for held in maybe:
+                held[0] |= not article.listed
+        elif name in LEFT_OUT:
+            out = 2
+        elif listed and not (article is not None and name in HEADING):
+            out = max(out, 1)
+        elif framed and name not in LEAF and not inline and any(_names_left_out(w) for w in whole):
+            maybe = (*maybe, [False])
+        if name == "h1" and not out:
+            for held in maybe:
+                held[0] = True
+            if article is not None:
+                article.headed = True
         here = f"{path}/{name}.{'.'.join(sorted(w for w in words if not w.isdigit()))}"  # numbers of articles differ by page
-        inside = (main or is_main) and not (out or drops)
-        self.events.append((_hash("tag", here), None, inside))
-        if name in VOID or ((inline or name in LEAF) and not drops and not is_main):
+        inner = place if (out, article, maybe) == (place.out, place.article, place.maybe) else Place(out, article, maybe)
+        self._event(_hash("tag", here), None, inner)
+        if name in VOID or ((inline or name in LEAF) and out == place.out and not is_main):
             return
-        self._stack.append((name, here, max(out, drops), inside))
-        self.has_main |= is_main and not (out or drops)
+        self._stack.append((name, here, inner))
 
     def _close(self, name: str) -> None:
         if name not in INLINE:
@@ -168,7 +251,7 @@ class Page:
         else:
             here = f"{self._stack[-1][1] if self._stack else ''}/{name}"
         if name not in INLINE:
-            self.events.append((_hash("end", here), None, bool(self._stack) and self._stack[-1][3]))
+            self._event(_hash("end", here), None, self._stack[-1][2] if self._stack else Place())
 
     def _read(self, html: str) -> None:
         at = 0

@@ -86,10 +86,32 @@ def test_words_drop_whole_names_only():
     for page, want in [
         ("<div class='content no-sidebar'><article><h1>T</h1><p>x</p></article></div>", "T\nx"),
         ("<div class='sidebar'><article><p>x</p></article><p>side</p></div>", "x"),
-        ("<article><h1 class='page-header'>T</h1><p class='notice-date'>May</p><p class='notice'>n</p><div class='ad'>Buy</div>x</article>", "T\nMay\nn\nx"),
+        ("<article><h1 class='page-header'>T</h1><p class='notice-date'>May</p><p class='notice'>n</p><div class='ad'>Buy</div>x</article>", "T\nMay\nx"),
         ("<p class='ad'>Buy<p>Real text", "Real text"),
         ("<ul><li class='ad'>Buy<li>item</ul>", "item"),
         ("<table><tr><td class='promo'>Buy<td>cell<tr class='promo'><td>no<tr><td>yes</table>", "cell\nyes"),
         ("<p class='ad'>Buy<div>Real</div>", "Real"),
     ]:
         assert Page(page).main_text(None) == want, page
+
+
+def test_containers_around_and_inside_articles():
+    for page, want in [
+        ("<article><p>Body</p></article><div class='comments'><article class='comment'><p>first!</p></article></div>", "Body"),
+        ("<article><p>Body</p></article><article class='comment'><p>me too</p></article>", "Body"),
+        ("<main><h1>T</h1><article><p>Body</p><div id='comments'><article><p>first!</p></article></div></article></main>", "T\nBody"),
+        ("<div id='sidebar'><article><p>teaser</p></article></div><div><h1>T</h1><p>Body</p></div>", "T\nBody"),
+        ("<div class='widget'><article><h1>T</h1><p>Body</p></article></div><div>Home</div>", "T\nBody"),
+        ("<article><p class='ad'>Buy now</p><p>Body</p><p class='comment'>me too</p></article>", "Body"),
+        ("<article><p>Body</p><ul class='comment-list'><li>first!</ul><div class='ad-slot'>Buy</div>tail</article>", "Body\ntail"),
+        ("<div class='top-nav'>Home</div><p>Body</p><section class='related-posts'><h3>More</h3><p>x</p></section>"
+         "<div class='social-links'>s</div>", "Body"),
+        ("<div class='post-header'><h1>T</h1></div><p>Body</p>", "T\nBody"),
+        ("<div class='layout-sidebar'><article><p>Body</p></article></div>", "Body"),
+        ("<div class='content no-sidebar'><p>Body</p></div>", "Body"),
+        ("<article>one<br>two<wbr>three <br/> four</article>", "one twothree four"),
+        ("<article><h2 class='header'>Part</h2><p>Body</p></article>", "Part\nBody"),
+        ("<aside><article>teaser</article></aside><p>Body</p>", "Body"),
+        ("<article><p>" + "long word " * 300_000 + "</p></article>", ("long word " * 300_000).strip()),
+    ]:
+        assert Page(page).main_text(None) == want, page[:300]
