@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import numbered, shared_path, staged, text_or_empty
 
-BUCKETS = 64
-BUCKET_ROWS = 5_000_000  # some 200 MB of digests and ids
+BUCKETS = 16
+BUCKET_ROWS = 2_000_000  # some 80 MB of digests and ids
 BATCHES = 2
 
 

@@ -77,7 +77,7 @@ def test_compaction(spark, docs):
     assert len(files) <= 4 < len(index.rows().inputFiles())
     more = spark.createDataFrame([(1, "hot"), (2, "unseen")], "doc_id bigint, text string")
     assert {r.doc_id: r.kept for r in small.add(more).collect()} == {1: False, 2: True}
-    assert [buckets_for(n) for n in (0, 10**6, 4 * 10**8, 10**11)] == [64, 64, 128, 32768]
+    assert [buckets_for(n) for n in (0, 10**6, 4 * 10**8, 10**11)] == [16, 16, 256, 65536]
 
 
 def test_index_side_is_not_shuffled(spark, docs):
