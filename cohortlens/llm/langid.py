@@ -8,13 +8,12 @@ per character of its *whole* text.
 
 Learning uses text and ``lang`` of rows whose crc32(doc_id) mod 3 is not 1:
 remainder 0 is counted, remainder 2 calibrates rejection.  Copies count as
-one text.  Of the distinct texts of remainder 0, each language takes texts in
-the order of a hash until ``SAMPLE_CHARS`` characters are full, but
-``MIN_TEXTS`` texts at least (the documented bound of the fit; counts are
-summed by Spark, the driver gets the distinct n-grams of that sample).  Distinct
-texts of remainder 2, taken in the same way until ``CALIBRATION_CHARS``
-characters of each language are full, calibrate unless they were counted; their
-means and quantile are taken by Spark.  Prediction reads every text.
+one text.  All distinct texts of remainder 0 are counted (counts are summed by
+Spark, the driver gets the distinct n-grams with their counts), and all distinct
+texts of remainder 2 calibrate unless they were counted; their means and
+quantile are taken by Spark.  Only where a caller gives ``sample_chars``, each
+language takes texts in the order of a hash until so many characters are full,
+but ``MIN_TEXTS`` texts at least.  Prediction reads every text.
 
 Rejection: a text is rejected when it holds no letter, or when its excess
 cross-entropy over its language's mean, in units that widen for short texts,
@@ -52,8 +51,6 @@ from cohortlens.llm.common import staged
 from cohortlens.llm.pretokens import text_slices
 
 ORDER = 5
-SAMPLE_CHARS = 1_500_000
-CALIBRATION_CHARS = 8_000_000
 MIN_TEXTS = 50
 SLICE_CHARS = 100_000  # what a worker scores at once; its arrays take about 250 bytes a character
 KNOWN_GRAMS = 300_000  # n-grams whose log probabilities a worker keeps: 8 bytes each and 4 per language
@@ -266,6 +263,18 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _code_points(grams: pa.ChunkedArray) -> np.ndarray:
+    """Rows of ORDER code points, without a Python object for each n-gram."""
+    lines = []
+    for chunk in grams.chunks:
+        chunk = pa.concat_arrays([chunk.cast(pa.large_string())])
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int64)
+        line = data[int(at[0]) : int(at[-1])].to_pybytes().decode() if len(chunk) else ""
+        lines.append(np.frombuffer(line.encode("utf-32-le"), np.uint32).reshape(-1, ORDER))
+    return np.concatenate(lines) if lines else np.zeros((0, ORDER), np.uint32)
+
+
 def key_cuts(rows: DataFrame, bits: int, budget: float, least: int) -> dict[str, int]:
     """Of each lang, the largest key taken when rows are taken by rising key until ``budget`` chars are full, ``least`` rows at least.
 
@@ -299,8 +308,8 @@ def key_cuts(rows: DataFrame, bits: int, budget: float, least: int) -> dict[str,
     return cuts
 
 
-def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars: int = CALIBRATION_CHARS) -> Broadcast:
-    """Learn an ``Identifier`` from doc_id, text and lang."""
+def fit(docs: DataFrame, sample_chars: int | None = None, calibration_chars: int | None = None) -> Broadcast:
+    """Learn an ``Identifier`` from doc_id, text and lang; of all texts to learn from unless a number of characters is given."""
     # a hash of the text tells copies and orders the texts, the same at every run and partitioning
     draw = F.shiftrightunsigned(F.xxhash64("text", F.lit(1)), 64 - _DRAW_BITS)
     known = docs.select(F.col("text").cast("string").alias("text"), "lang", remainder().alias("part"))
@@ -308,19 +317,25 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars: in
     texts = known.groupBy("part", "lang", "key").agg(F.max(F.length("text")).cast("bigint").alias("chars"))
     texts = staged(texts, "labelled-texts")
 
-    def cuts_of(part: int, chars: int) -> DataFrame:
+    def taker(part: int, chars: int | None):
+        """Takes the rows of that part, from ``known`` or from ``texts``."""
+        if chars is None:
+            return lambda rows: rows.where(F.col("part") == part)
         cuts = key_cuts(texts.where(F.col("part") == part).drop("part"), _DRAW_BITS, chars, MIN_TEXTS)
-        return F.broadcast(docs.sparkSession.createDataFrame(sorted(cuts.items()), "lang string, cut bigint"))
+        cuts = F.broadcast(docs.sparkSession.createDataFrame(sorted(cuts.items()), "lang string, cut bigint"))
+        return lambda rows: rows.where(F.col("part") == part).join(cuts, "lang").where("key <= cut")
 
-    cuts = cuts_of(0, sample_chars)
-    sample = known.where("part = 0").join(cuts, "lang").where("key <= cut").dropDuplicates(["lang", "key"])
+    take = taker(0, sample_chars)
+    sample = take(known).dropDuplicates(["lang", "key"])
     counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, gram string, n bigint")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
-    langs = np.array(table["lang"].to_pylist(), object)
-    grams = np.frombuffer("".join(table["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-    counts = table["n"].to_numpy()
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    grams, counts = _code_points(table["gram"]), table["n"].to_numpy()
     alphabet = len(np.unique(grams)) + 1
-    found = Identifier({x: KneserNey(grams[langs == x], counts[langs == x], alphabet) for x in sorted(set(langs))})
+    of = langs.indices.to_numpy()
+    names = enumerate(langs.dictionary.to_pylist())
+    found = Identifier({x: KneserNey(grams[of == i], counts[of == i], alphabet) for i, x in names})
+    del table, grams, counts, of
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(found)
 
@@ -343,10 +358,10 @@ def fit(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars: in
                 )
 
     if found.models:
-        held = known.where("part = 2").join(cuts_of(2, calibration_chars), "lang").where("key <= cut")
+        held = taker(2, calibration_chars)(known)
         scored = held.select("lang", "text", "key").mapInArrow(score, "lang string, key bigint, bits double, chars bigint")
         distinct = scored.groupBy("lang", "key").agg(F.max("bits").alias("bits"), F.max("chars").alias("chars"))
-        taken = texts.where("part = 0").join(cuts, "lang").where("key <= cut").select("key")
+        taken = take(texts).select("key")
         rows = staged(distinct.join(taken, "key", "left_anti"), "calibration")
         micro = F.sum(F.round(F.col("bits") * F.col("chars") * 1e6).cast("decimal(38,0)"))  # whole numbers: the same in any order
         sums = rows.groupBy("lang").agg(micro.alias("micro"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).collect()
@@ -388,7 +403,7 @@ def _predicted(rows: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
     return sent.mapInArrow(run, schema.schema)
 
 
-def identify_languages(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def identify_languages(docs: DataFrame, sample_chars: int | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_char, rejected of every row."""
     model = fit(docs, sample_chars)
     rows = docs.select("doc_id", (remainder() == 1).alias("held_out"), "text")
@@ -398,6 +413,6 @@ def identify_languages(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Dat
     )
 
 
-def drop_rejected(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def drop_rejected(docs: DataFrame, sample_chars: int | None = None) -> DataFrame:
     """The rows whose language is accepted, with all their columns."""
     return _predicted(docs, fit(docs, sample_chars), docs.columns).where("NOT __cl_rejected").select(*docs.columns)

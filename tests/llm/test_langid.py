@@ -126,3 +126,20 @@ def test_met_ngrams_score_as_new_ones(monkeypatch):
             got = np.concatenate([one.bits(texts[i:i + 7])[0] for i in range(0, 30, 7)])
             assert np.allclose(got, want, rtol=1e-9, atol=0)
         assert len(one._hashes) <= most
+
+
+def test_all_texts_are_counted_and_calibrate(spark, monkeypatch):
+    """As many texts as the former bounds (1.5 and 8 million characters of a language) did not hold."""
+    size = 60_000
+    rows = [(i, f"ab{chr(0x4E00 + i)} " * size, "aa") for i in range(120)]  # one character of its own in each text
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    part = {r.doc_id: r.part for r in docs.select("doc_id", langid.remainder().alias("part")).collect()}
+    counted = {i for i in part if part[i] == 0}
+    assert len(counted) * 4 * size > 1_500_000
+    grams = []
+    whole = langid.KneserNey.__init__
+    monkeypatch.setattr(langid.KneserNey, "__init__", lambda self, g, n, a: (grams.append(np.unique(g)), whole(self, g, n, a))[1])
+    fit(docs)
+    assert {int(c) - 0x4E00 for c in grams[0] if c >= 0x4E00} == counted
+    fit(docs, sample_chars=1_000)
+    assert {int(c) - 0x4E00 for c in grams[1] if c >= 0x4E00} < counted or len(counted) <= MIN_TEXTS
